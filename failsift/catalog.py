@@ -44,15 +44,20 @@ def has_text(code: str, message: str, *needles: str, active: bool = True) -> Che
     return Check(code, message, test, "literal", active)
 
 
-def has_pattern(code: str, message: str, pattern: str, needles: Iterable[str] = ()) -> Check:
+def has_pattern(code: str, message: str, pattern: str, needles: Iterable[str | tuple[str, ...]] = ()) -> Check:
     """The pattern occurs in the log.
 
-    ``needles`` are texts every match must contain. They are tested first, as a
-    substring test is far cheaper than running the pattern over a whole log.
+    ``needles`` are texts every match must contain, a tuple being any of its
+    texts. They are tested first, as a substring test is far cheaper than
+    running the pattern over a whole log.
     """
 
+    def guard(log: Column, needle: str | tuple[str, ...]) -> Column:
+        texts = (needle,) if isinstance(needle, str) else needle
+        return reduce(lambda a, b: a | b, [log.contains(t) for t in texts])
+
     def test(reason: Column, log: Column) -> Column:
-        guards = [log.contains(n) for n in needles]
+        guards = [guard(log, n) for n in needles]
         return reduce(lambda a, b: a & b, [*guards, log.rlike(LINE_FLAGS + pattern)])
 
     return Check(code, message, test, "pattern")
@@ -86,6 +91,7 @@ CHECKS: tuple[Check, ...] = (
         "cannot_allocate",
         "could not allocate memory",
         "osCommitMemory: VirtualAlloc MEM_COMMIT failed|out of memory allocating [0-9]+ bytes",
+        [("osCommitMemory: VirtualAlloc MEM_COMMIT failed", "out of memory allocating ")],
     ),
     has_text("MoveFileEx", "MoveFileEx-related failure", "MoveFileEx"),
     has_pattern(

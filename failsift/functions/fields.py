@@ -9,6 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column) -> Column:
+    """The value as a generated one, computed once per row.
+
+    Spark pushes a filter below a projection by repeating the projected
+    expression for every mention; it does not do so below a generator. Meant for
+    costly values, such as parsed JSON, that several conditions look at.
+    """
+    return F.explode(F.array(value))
+
+
 def has_keys(json: Column, names: Iterable[str]) -> Column:
     """The text is a JSON object holding every key, null values included."""
     keys = F.json_object_keys(json)

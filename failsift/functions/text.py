@@ -35,10 +35,10 @@ _FOLDS = _latin_folds()
 
 def normalise(log: Column) -> Column:
     """The log as space-separated tokens with a space at both ends."""
-    low = F.lower(log)
-    ascii_only = F.octet_length(low) == F.char_length(low)
-    plain = F.regexp_replace(low, "[^a-z0-9]+", " ")
-    bare = F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), "".join(_FOLDS), "".join(_FOLDS.values()))
+    ascii_only = F.octet_length(log) == F.char_length(log)
+    plain = F.regexp_replace(F.lower(log), "[^a-z0-9]+", " ")
+    unmarked = F.regexp_replace(F.lower(log), r"\p{Mn}+", "")
+    bare = F.translate(unmarked, "".join(_FOLDS), "".join(_FOLDS.values()))
     folded = F.regexp_replace(bare, _SEPARATORS, " ")
     return F.concat(F.lit(" "), F.trim(F.when(ascii_only, plain).otherwise(folded)), F.lit(" "))
 

@@ -7,7 +7,6 @@ step: the log text is read once, never shuffled and dropped before any join.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +37,8 @@ def classify(
     Reason checks need no log and log checks no reason; a column the checks do
     not use may be absent from ``jobs``.
     """
-    checks = active_checks() if checks is None else checks
-    reason_col, log_col = _columns(jobs, reason, log)
-    hits = [
-        F.when(test, F.struct(F.lit(code).alias("type"), F.lit(message).alias("message")))
-        for (code, message), test in _predicates(checks, reason_col, log_col).items()
-    ]
     return (
-        jobs.select(*keys, F.explode(F.array(*hits)).alias("hit"))
+        jobs.select(*keys, F.explode(F.array(*_hits(jobs, checks, reason, log))).alias("hit"))
         .where(F.col("hit").isNotNull())
         .select(*keys, "hit.type", "hit.message")
     )
@@ -59,9 +52,17 @@ def unclassified(
     log: str = "trace",
 ) -> DataFrame:
     """Keys of the jobs that meet no check."""
+    found = F.array_compact(F.array(*_hits(jobs, checks, reason, log)))
+    return jobs.select(*keys, F.explode_outer(found).alias("hit")).where(F.col("hit").isNull()).select(*keys)
+
+
+def _hits(jobs: DataFrame, checks: Sequence[Check] | None, reason: str, log: str) -> list[Column]:
+    """One (type, message) per check, null where it is not met."""
     checks = active_checks() if checks is None else checks
-    tests = _predicates(checks, *_columns(jobs, reason, log)).values()
-    return jobs.where(~reduce(lambda a, b: a | b, tests)).select(*keys)
+    return [
+        F.when(test, F.struct(F.lit(code).alias("type"), F.lit(message).alias("message")))
+        for (code, message), test in _predicates(checks, *_columns(jobs, reason, log)).items()
+    ]
 
 
 def _columns(jobs: DataFrame, reason: str, log: str) -> tuple[Column, Column]:

@@ -6,104 +6,123 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failsift import schemas
-from failsift.functions.fields import canonical_json, has_keys, is_json_text, is_uri
+from failsift.functions.fields import canonical_json, has_keys, is_json_text, is_uri, once
 from failsift.functions.times import api_time, event_time
 
 
-def _event(payload: str) -> Column:
-    return F.from_json(payload, schemas.JOB_EVENT)
+_EVENT_KEYS = ["build_id", "build_status", "project_id", "build_finished_at"]
 
 
-def _event_ok(payload: str) -> Column:
-    """All four keys present and well typed; only the finish time may be null."""
-    ev = _event(payload)
-    return (
-        has_keys(F.col(payload), ["build_id", "build_status", "project_id", "build_finished_at"])
-        & is_json_text(F.col(payload), "build_status")
+def _parsed_events(raw: DataFrame, payload: str) -> DataFrame:
+    """The raw rows with the parsed event and whether it is valid: all four keys are
+    present and well typed, and only the finish time may be null."""
+    text = F.col(payload)
+    parsed = F.struct(
+        F.from_json(text, schemas.JOB_EVENT).alias("ev"),
+        (has_keys(text, _EVENT_KEYS) & is_json_text(text, "build_status")).alias("whole"),
+    )
+    ev = F.col("parsed.ev")
+    finish = event_time(ev["build_finished_at"])
+    valid = (
+        F.col("parsed.whole")
         & ev["build_id"].isNotNull()
         & ev["project_id"].isNotNull()
-        & (ev["build_finished_at"].isNull() | event_time(ev["build_finished_at"]).isNotNull())
+        & (ev["build_finished_at"].isNull() | finish.isNotNull())
+    )
+    return raw.select("*", once(parsed).alias("parsed")).select(
+        *raw.columns, ev.alias("ev"), F.coalesce(valid, F.lit(False)).alias("valid")
     )
 
 
 def job_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Decoded job events; the other columns of ``raw`` are kept."""
     keep = [c for c in raw.columns if c != payload]
-    ev = F.col("ev")
-    return raw.where(_event_ok(payload)).select(*keep, _event(payload).alias("ev")).select(
-        *keep,
-        ev["build_id"].alias("build_id"),
-        ev["build_status"].alias("build_status"),
-        ev["project_id"].alias("project_id"),
-        event_time(ev["build_finished_at"]).alias("build_finished_at"),
+    return (
+        _parsed_events(raw, payload)
+        .where("valid")
+        .select(
+            *keep,
+            "ev.build_id",
+            "ev.build_status",
+            "ev.project_id",
+            event_time(F.col("ev.build_finished_at")).alias("build_finished_at"),
+        )
     )
 
 
 def rejected_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """The raw rows :func:`job_events` leaves out."""
-    return raw.where(~F.coalesce(_event_ok(payload), F.lit(False)))
+    return _parsed_events(raw, payload).where(~F.col("valid")).select(*raw.columns)
 
 
 def system_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """``kind`` is project_create, other_project or other; decoding never fails."""
     keep = [c for c in raw.columns if c != payload]
-    ev = F.from_json(payload, schemas.SYSTEM_EVENT)
-    is_project = (
-        is_json_text(F.col(payload), "event_name")
-        & ev["event_name"].isNotNull()
-        & ev["project_id"].isNotNull()
+    text = F.col(payload)
+    parsed = F.struct(
+        F.from_json(text, schemas.SYSTEM_EVENT).alias("ev"), is_json_text(text, "event_name").alias("named")
     )
-    return raw.select(
+    name, project = F.col("parsed.ev.event_name"), F.col("parsed.ev.project_id")
+    is_project = F.col("parsed.named") & name.isNotNull() & project.isNotNull()
+    return raw.select(*keep, once(parsed).alias("parsed")).select(
         *keep,
-        F.when(is_project & (ev["event_name"] == schemas.EVENT_PROJECT_CREATE), "project_create")
+        F.when(is_project & (name == schemas.EVENT_PROJECT_CREATE), "project_create")
         .when(is_project, "other_project")
         .otherwise("other")
         .alias("kind"),
-        F.when(is_project, ev["project_id"]).alias("project_id"),
+        F.when(is_project, project).alias("project_id"),
     )
 
 
 _JOB_KEYS = ["id", "web_url", "created_at", "name"]
 
 
-def _job_ok(blob: str) -> Column:
-    job = F.from_json(blob, schemas.JOB)
-    runner = F.get_json_object(blob, "$.runner")
-    return (
-        has_keys(F.col(blob), _JOB_KEYS)
-        & is_json_text(F.col(blob), "web_url", "created_at", "name")
+def _parsed_jobs(raw: DataFrame, blob: str) -> DataFrame:
+    """The raw rows with the parsed job and whether it is valid. A runner may be absent
+    or null, but a runner object must have an id and a description."""
+    text = F.col(blob)
+    parsed = F.struct(
+        F.from_json(text, schemas.JOB).alias("job"),
+        F.get_json_object(text, "$.runner").alias("runner"),
+        (has_keys(text, _JOB_KEYS) & is_json_text(text, "web_url", "created_at", "name")).alias("whole"),
+    )
+    job, runner = F.col("parsed.job"), F.col("parsed.runner")
+    valid = (
+        F.col("parsed.whole")
         & job["id"].isNotNull()
         & is_uri(job["web_url"])
         & api_time(job["created_at"]).isNotNull()
         & (job["finished_at"].isNull() | api_time(job["finished_at"]).isNotNull())
         & (runner.isNull() | has_keys(runner, ["id", "description"]))
     )
+    return raw.select("*", once(parsed).alias("parsed")).select(
+        *raw.columns, job.alias("job"), F.coalesce(valid, F.lit(False)).alias("valid")
+    )
 
 
 def job_records(raw: DataFrame, blob: str = "job_blob") -> DataFrame:
     """Decoded job records, with the whole object in canonical form as ``job_blob``."""
-    job = F.col("job")
     return (
-        raw.where(_job_ok(blob))
-        .select(F.from_json(blob, schemas.JOB).alias("job"), F.col(blob).alias("raw_blob"))
+        _parsed_jobs(raw.select(blob), blob)
+        .where("valid")
         .select(
-            job["id"].alias("job_id"),
-            job["web_url"].alias("web_url"),
-            job["runner"]["id"].alias("runner_id"),
-            job["runner"]["description"].alias("runner_name"),
-            api_time(job["created_at"]).alias("created_at"),
-            api_time(job["finished_at"]).alias("finished_at"),
-            job["failure_reason"].alias("failure_reason"),
-            job["name"].alias("job_name"),
-            job["status"].alias("status"),
-            canonical_json(F.col("raw_blob")).alias("job_blob"),
+            F.col("job.id").alias("job_id"),
+            "job.web_url",
+            F.col("job.runner.id").alias("runner_id"),
+            F.col("job.runner.description").alias("runner_name"),
+            api_time(F.col("job.created_at")).alias("created_at"),
+            api_time(F.col("job.finished_at")).alias("finished_at"),
+            "job.failure_reason",
+            F.col("job.name").alias("job_name"),
+            "job.status",
+            canonical_json(F.col(blob)).alias("job_blob"),
         )
     )
 
 
 def rejected_jobs(raw: DataFrame, blob: str = "job_blob") -> DataFrame:
     """The raw rows :func:`job_records` leaves out."""
-    return raw.where(~F.coalesce(_job_ok(blob), F.lit(False)))
+    return _parsed_jobs(raw, blob).where(~F.col("valid")).select(*raw.columns)
 
 
 def projects(raw: DataFrame, payload: str = "payload") -> DataFrame:

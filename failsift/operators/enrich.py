@@ -65,5 +65,6 @@ def imported_failures(view: DataFrame) -> DataFrame:
 
 
 def index_rows(jobs: DataFrame) -> DataFrame:
-    """(job_id, job_url, job_blob) of job records."""
-    return jobs.select("job_id", F.col("web_url").alias("job_url"), "job_blob")
+    """Job records as the job table takes them. The creation time stands beside the
+    object, so that a search can sort by it without reading JSON."""
+    return jobs.select("job_id", F.col("web_url").alias("job_url"), "created_at", "job_blob")

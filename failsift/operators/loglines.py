@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failsift.operators.sizing import by_ids
+from failsift.operators.sizing import JobIds
 
 
 def grep(logs: DataFrame, pattern: str) -> DataFrame:
@@ -42,12 +42,9 @@ def grep_jobs(logs: DataFrame, ids: DataFrame, pattern: str) -> DataFrame:
     A short selection picks the logs before they are searched. A long one is
     joined with the lines found, so that no join ever moves a whole log.
     """
-    chosen = by_ids(logs, ids)
-    lines = (
-        grep(chosen, pattern)
-        if chosen is not None
-        else grep(logs, pattern).join(ids.select("job_id").distinct(), "job_id", "left_semi")
-    )
+    wanted = JobIds(ids)
+    chosen = wanted.pick(logs)
+    lines = wanted.semi_join(grep(logs, pattern)) if chosen is None else grep(chosen, pattern)
     return lines.orderBy(F.col("job_id").cast("string").desc(), "line_no")
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from failsift.functions.fields import or_not_available, raw_log_url
+from failsift.functions.fields import once, or_not_available, raw_log_url
 from failsift.functions.text import normalise, terms_of
 from failsift.functions.times import api_time, shown_time
 
@@ -61,8 +61,9 @@ def but_not(wanted: Column, unwanted: Column) -> Column:
 
 def matches(logs: DataFrame, condition: Column) -> DataFrame:
     """Ids of the logs that meet the condition; logs without ``norm`` get it on the way."""
-    rows = logs if "norm" in logs.columns else with_norm(logs)
-    return rows.where(condition).select("job_id")
+    if "norm" in logs.columns:
+        return logs.where(condition).select("job_id")
+    return with_norm(logs).select("job_id", once(condition).alias("met")).where("met").select("job_id")
 
 
 def is_search(keyword: str | None) -> bool:
@@ -73,9 +74,10 @@ def is_search(keyword: str | None) -> bool:
 def result_rows(jobs: DataFrame, found: DataFrame) -> DataFrame:
     """The result fields of every found job, read from the job object."""
     field = lambda path: F.get_json_object("job_blob", path)
+    created = F.col("created_at") if "created_at" in jobs.columns else api_time(field("$.created_at"))
     return jobs.join(found.select("job_id"), "job_id", "left_semi").select(
         "job_id",
-        api_time(field("$.created_at")).alias("created_at"),
+        created.alias("created_at"),
         "job_url",
         field("$.runner.id").cast("bigint").alias("runner_id"),
         field("$.runner.description").alias("runner_name"),

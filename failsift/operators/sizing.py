@@ -11,20 +11,33 @@ from failsift.session import settle
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def by_ids(wide: DataFrame, ids: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame | None:
-    """The rows of ``wide`` whose job_id is among ``ids``, or None if the set is too long.
-
-    The ids are stored and counted first. A short set is broadcast, so the wide
-    rows stay where they are, and its bounds reach the scan as a range filter.
-    With None the caller reduces the wide rows before it joins.
-    """
-    wanted = settle(ids.select("job_id").distinct())
-    size = wanted.agg(
-        F.count("*").alias("n"), F.min("job_id").alias("low"), F.max("job_id").alias("high")
-    ).first()
-    if size["n"] > limit:
-        return None
-    if size["n"] == 0:
-        return wide.where(F.lit(False))
-    in_bounds = wide.where(F.col("job_id").between(size["low"], size["high"]))
-    return in_bounds.join(F.broadcast(wanted), "job_id", "left_semi")
+class JobIds:
+    """A stored and counted set of job ids."""
+
+    def __init__(self, ids: DataFrame):
+        self.rows = settle(ids.select("job_id").distinct())
+        self.count, self.low, self.high = self.rows.agg(
+            F.count("*"), F.min("job_id"), F.max("job_id")
+        ).first()
+
+    def pick(self, wide: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame | None:
+        """The rows of ``wide`` with these ids, or None if the set is too long to broadcast.
+
+        A short set goes to every task, so the wide rows stay where they are, and
+        its bounds reach the scan as a range filter. With None the caller reduces
+        the wide rows before it joins them.
+        """
+        if self.count > limit:
+            return None
+        if self.count == 0:
+            return wide.where(F.lit(False))
+        in_bounds = wide.where(F.col("job_id").between(self.low, self.high))
+        return in_bounds.join(F.broadcast(self.rows), "job_id", "left_semi")
+
+    def semi_join(self, narrow: DataFrame) -> DataFrame:
+        return narrow.join(self.rows, "job_id", "left_semi")
+
+    def select_from(self, wide: DataFrame) -> DataFrame:
+        """The rows with these ids, by whichever way the size of the set allows."""
+        picked = self.pick(wide)
+        return self.semi_join(wide) if picked is None else picked

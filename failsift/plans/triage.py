@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from failsift.catalog import active_checks
 from failsift.operators import decode, enrich, retry
 from failsift.operators.classify import classify
-from failsift.operators.sizing import by_ids
+from failsift.operators.sizing import JobIds
 
 
 class Triage(NamedTuple):
@@ -28,11 +28,11 @@ def hits_of(failed: DataFrame, logs: DataFrame) -> DataFrame:
     """
     by_reason = classify(failed, active_checks("reason"))
     log_checks = active_checks("literal") + active_checks("pattern")
-    chosen = by_ids(logs, failed)
-    if chosen is not None:
-        by_log = classify(chosen, log_checks)
-    else:
-        by_log = classify(logs, log_checks).join(failed.select("job_id").distinct(), "job_id", "left_semi")
+    wanted = JobIds(failed)
+    chosen = wanted.pick(logs)
+    by_log = (
+        wanted.semi_join(classify(logs, log_checks)) if chosen is None else classify(chosen, log_checks)
+    )
     return by_reason.unionByName(by_log)
 
 

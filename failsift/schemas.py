@@ -23,7 +23,7 @@ CI_FAILURE = (
     "runner_name STRING, job_name STRING, project_path STRING"
 )
 
-JOB_TABLE = "job_id BIGINT, job_url STRING, job_blob STRING"
+JOB_TABLE = "job_id BIGINT, job_url STRING, created_at TIMESTAMP, job_blob STRING"
 
 JOB_LOG = "job_id BIGINT, trace STRING, norm STRING"
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from failsift import schemas
 from failsift.operators.index import term_rows
 from failsift.operators.search import with_norm
-from failsift.operators.sizing import by_ids
+from failsift.operators.sizing import JobIds
 from failsift.operators.upsert import one_per_key
 from failsift.session import settle
 
@@ -90,9 +90,7 @@ def append_logs(logs: DataFrame, root: str, batch: str) -> int:
     again = settle(logs.select("job_id").join(stored, "job_id", "left_semi"))
     fresh = logs
     if not again.isEmpty():
-        fresh_ids = logs.select("job_id").join(again, "job_id", "left_anti")
-        picked = by_ids(logs, fresh_ids)
-        fresh = picked if picked is not None else logs.join(again, "job_id", "left_anti")
+        fresh = JobIds(logs.select("job_id").join(again, "job_id", "left_anti")).select_from(logs)
     added = _write(with_norm(fresh.select("job_id", "trace")), root, "job_log", batch)
     written = read_table(spark, root, "job_log").where(F.col("batch") == batch)
     write_index(term_rows(written), root, batch, min(TERM_SLICES, 1 + added // _LOGS_PER_SLICE))

@@ -62,4 +62,6 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     out = rows[["ts", "seq"]].assign(
         root=key[0], decision=decisions, retries_remaining=pd.array(left, dtype="Int64")
     )
-    yield out.loc[out["decision"].notna(), ["root", "ts", "seq", "decision", "retries_remaining"]]
+    out = out.loc[out["decision"].notna(), ["root", "ts", "seq", "decision", "retries_remaining"]]
+    if len(out):
+        yield out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from failsift.operators import decode, enrich
-from failsift.operators.sizing import by_ids
+from failsift.operators.sizing import JobIds
 from failsift.plans.triage import triage
 from failsift.session import settle
 from failsift.sources.store import append_logs, append_new
@@ -33,16 +33,13 @@ def record_batch(
     and logs are cut to its ids before they are joined.
     """
     events = settle(events)
-    ids = events.select(F.col("build_id").alias("job_id"))
-    near = by_ids(jobs, ids)
-    known = jobs if near is None else near
-    result = triage(events, known, projects, logs)
-    stored_jobs = known.join(result.jobs.select("job_id"), "job_id", "left_semi")
-    append_new(enrich.index_rows(stored_jobs), root, "job", batch)
-    their_logs = by_ids(logs, result.jobs)
-    if their_logs is None:
-        their_logs = logs.join(result.jobs.select("job_id").distinct(), "job_id", "left_semi")
-    append_logs(their_logs, root, batch)
+    ids = JobIds(events.select(F.col("build_id").alias("job_id")))
+    batch_jobs = settle(ids.select_from(jobs))
+    batch_logs = ids.select_from(logs)
+    result = triage(events, batch_jobs, projects, batch_logs)
+    done = JobIds(result.jobs)
+    append_new(enrich.index_rows(done.select_from(batch_jobs)), root, "job", batch)
+    append_logs(done.select_from(batch_logs), root, batch)
     append_new(result.failures, root, "ci_failure", batch)
     append_new(result.commands, root, "retry_command", batch)
 

@@ -166,14 +166,14 @@ WHERE regexp_matches(line, '[Ff]ailed|error')"""
 
 _TESTS = r"""
 SELECT DISTINCT test_name FROM (
-  SELECT unnest(string_split(unnest(regexp_extract_all(trace, '(?m)^TEST="([^"\n]*)"', 1)), ' ')) AS test_name
-  FROM job_log) t
+  SELECT unnest(string_split(names, ' ')) AS test_name FROM (
+    SELECT unnest(regexp_extract_all(trace, '(?m)^TEST="([^"\n]*)"', 1)) AS names FROM job_log) n) t
 WHERE test_name <> ''"""
 
 _WINDOWS = """
 SELECT id, started_at FROM ci_build
 WHERE name LIKE '%windows%' AND project_id = 1 AND started_at IS NOT NULL AND status = 'failed'
-  AND started_at > TIMESTAMP '2024-01-10'"""
+  AND started_at > TIMESTAMP '2024-01-02'"""
 
 _KIND = """
 SELECT event_id,
@@ -247,8 +247,8 @@ FROM finished f JOIN hit h ON h.job_id = f.job_id WHERE f.build_status = 'failed
 
 _AGES = """
 SELECT CAST(floor(job_id / 100) AS BIGINT) AS page, count(*) AS jobs,
-  CASE WHEN bool_and(created_at > TIMESTAMP '2024-01-20') THEN 'too_young'
-       WHEN bool_and(created_at < TIMESTAMP '2024-01-10') THEN 'too_old' ELSE 'found' END AS age
+  CASE WHEN bool_and(created_at > TIMESTAMP '2024-01-03') THEN 'too_young'
+       WHEN bool_and(created_at < TIMESTAMP '2024-01-02') THEN 'too_old' ELSE 'found' END AS age
 FROM job GROUP BY 1"""
 
 _IN_RANGE = """
@@ -339,7 +339,7 @@ ORACLE: dict[str, str] = {
     "failure_upsert": with_views("job_log", "SELECT job_id, type FROM hit WHERE job_id % 2 <> 0", hit=_HIT),
     "job_upsert": with_views(
         "job",
-        "SELECT d.job_id, d.web_url AS job_url, c.job_blob FROM decoded d "
+        "SELECT d.job_id, d.web_url AS job_url, d.created_at, c.job_blob FROM decoded d "
         "JOIN canonical c ON c.job_id = d.job_id WHERE d.job_id % 3 <> 0",
         decoded=_DECODED,
         canonical=_CANONICAL,
@@ -367,8 +367,8 @@ ORACLE: dict[str, str] = {
         idx=_INDEX_ROW,
         stored=_STORED_LOG,
     ),
-    "backfill_range": with_views("job", _IN_RANGE.format("2024-01-10", "2024-01-20")),
-    "backfill_default_range": with_views("job", _IN_RANGE.format("2024-01-06", "2024-02-05")),
+    "backfill_range": with_views("job", _IN_RANGE.format("2024-01-02", "2024-01-03")),
+    "backfill_default_range": with_views("job", _IN_RANGE.format("2024-01-02 12:00:00", "2024-02-01 12:00:00")),
     "page_age_class": with_views("job", _AGES),
     "archive_backfill": with_views(
         "job job_log",
@@ -377,7 +377,7 @@ ORACLE: dict[str, str] = {
         norm=_NORM,
         term=_TERM,
         decoded=_DECODED,
-        in_range=_IN_RANGE.format("2024-01-10", "2024-01-20"),
+        in_range=_IN_RANGE.format("2024-01-02", "2024-01-03"),
     ),
     "tokenise": with_views("job_log", _NORM),
     "term_index": _index("SELECT * FROM term"),
@@ -390,7 +390,7 @@ ORACLE: dict[str, str] = {
     "search_initial": _search("starts_with(norm, ' el ')"),
     "search_near": _near(["que", "la", "de"], 4),
     "search_near_default": _near(["hard", "failed"], 10),
-    "search_near_phrases": _near(["test t7", "resource busy"], 6),
+    "search_near_phrases": _near(["spawnp resource", "hard"], 3),
     "index_phrase": _search("contains(norm, ' command failed with error code ')"),
     "index_all": _search("contains(norm, ' failed ') AND contains(norm, ' connect ') AND contains(norm, ' t1 ')"),
     "index_any": _search("contains(norm, ' movefileex ') OR contains(norm, ' sigquit ')"),

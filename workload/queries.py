@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 HOOK_URL = "http://127.0.0.1:8080/hook"
-RANGE = (datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 20, tzinfo=timezone.utc))
+RANGE = backfill_window("2024-01-02", "2024-01-03")
 
 
 def query(fn: Query) -> Query:
@@ -226,7 +226,7 @@ def backfill_range(spark, sf):
 @query
 def backfill_default_range(spark, sf):
     jobs = view(spark, sf, "job").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    start, end = backfill_window(now=datetime(2024, 2, 5, tzinfo=timezone.utc))
+    start, end = backfill_window(now=datetime(2024, 2, 1, 12, tzinfo=timezone.utc))
     return backfill.in_range(jobs, start, end).select("job_id", "created_at", "status")
 
 
@@ -253,12 +253,12 @@ def archive_backfill(spark, sf):
 # Search
 
 
-def _norms(spark, sf):
-    return search.with_norm(view(spark, sf, "job_log").select("job_id", "trace")).select("job_id", "norm")
+def _logs(spark, sf):
+    return view(spark, sf, "job_log").select("job_id", "trace")
 
 
 def _terms(spark, sf):
-    return index.term_rows(_norms(spark, sf))
+    return index.term_rows(_logs(spark, sf))
 
 
 @query
@@ -273,40 +273,40 @@ def term_index(spark, sf):
 
 @query
 def search_phrase(spark, sf):
-    return search.matches(_norms(spark, sf), search.phrase("failed to connect to GitLab"))
+    return search.matches(_logs(spark, sf), search.phrase("failed to connect to GitLab"))
 
 
 @query
 def search_concat(spark, sf):
-    return search.matches(_norms(spark, sf), search.phrase("cannot connect", "to the Docker"))
+    return search.matches(_logs(spark, sf), search.phrase("cannot connect", "to the Docker"))
 
 
 @query
 def search_all(spark, sf):
     both = search.all_of(search.phrase("Failed"), search.phrase("hard_3"))
-    return search.matches(_norms(spark, sf), both)
+    return search.matches(_logs(spark, sf), both)
 
 
 @query
 def search_any(spark, sf):
     either = search.any_of(search.phrase("MoveFileEx"), search.phrase("sigquit: quit"))
-    return search.matches(_norms(spark, sf), either)
+    return search.matches(_logs(spark, sf), either)
 
 
 @query
 def search_not(spark, sf):
     rest = search.but_not(search.phrase("error code"), search.phrase("11"))
-    return search.matches(_norms(spark, sf), rest)
+    return search.matches(_logs(spark, sf), rest)
 
 
 @query
 def search_prefix(spark, sf):
-    return search.matches(_norms(spark, sf), search.prefix("cannot modi"))
+    return search.matches(_logs(spark, sf), search.prefix("cannot modi"))
 
 
 @query
 def search_initial(spark, sf):
-    return search.matches(_norms(spark, sf), search.initial("El"))
+    return search.matches(_logs(spark, sf), search.initial("El"))
 
 
 @query
@@ -321,7 +321,7 @@ def search_near_default(spark, sf):
 
 @query
 def search_near_phrases(spark, sf):
-    return index.jobs_with_near(_terms(spark, sf), "test t7", "resource busy", distance=6)
+    return index.jobs_with_near(_terms(spark, sf), "spawnp resource", "hard", distance=3)
 
 
 @query
@@ -360,17 +360,17 @@ def _job_rows(spark, sf):
 
 @query
 def search_page(spark, sf):
-    return lookup.find(_job_rows(spark, sf), _norms(spark, sf), search.phrase("failed"), page=2)
+    return lookup.find(_job_rows(spark, sf), _logs(spark, sf), search.phrase("failed"), page=2)
 
 
 @query
 def search_last_page(spark, sf):
-    return search.shown(lookup.find(_job_rows(spark, sf), _norms(spark, sf), "resource busy"))
+    return search.shown(lookup.find(_job_rows(spark, sf), _logs(spark, sf), "resource busy"))
 
 
 @query
 def search_count(spark, sf):
-    return lookup.total(_norms(spark, sf), search.phrase("failed"))
+    return lookup.total(_logs(spark, sf), search.phrase("failed"))
 
 
 # Log lines
@@ -400,12 +400,12 @@ def _builds(spark, sf):
 
 @query
 def windows_failed_jobs(spark, sf):
-    return loglines.windows_failures(_builds(spark, sf), "2024-01-10")
+    return loglines.windows_failures(_builds(spark, sf), "2024-01-02")
 
 
 @query
 def windows_logs_to_fetch(spark, sf):
-    failed = loglines.windows_failures(_builds(spark, sf), "2024-01-10").withColumnRenamed("id", "job_id")
+    failed = loglines.windows_failures(_builds(spark, sf), "2024-01-02").withColumnRenamed("id", "job_id")
     return upsert.missing(failed, _stored_logs(spark, sf))
 
 
