@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from failsift import schemas
 from failsift.operators.index import term_rows
@@ -66,7 +67,7 @@ def append_new(rows: DataFrame, root: str, name: str, batch: str) -> int:
     """Add the rows whose key is new; gives their number. For tables of narrow rows."""
     spark = rows.sparkSession
     table = TABLES[name]
-    columns = spark.createDataFrame([], table.schema).columns
+    columns = StructType.fromDDL(table.schema).fieldNames()
     incoming = settle(one_per_key(rows.select(*columns), table.key))
     low, high = incoming.agg(F.min("job_id"), F.max("job_id")).first()
     if low is None:

@@ -33,6 +33,8 @@ def record_batch(
     and logs are cut to its ids before they are joined.
     """
     events = settle(events)
+    if events.isEmpty():
+        return
     ids = JobIds(events.select(F.col("build_id").alias("job_id")))
     batch_jobs = settle(ids.select_from(jobs))
     batch_logs = ids.select_from(logs)
