@@ -25,10 +25,13 @@ def retry_budget_stream(commands: DataFrame, delay: str = "1 hour") -> DataFrame
     put in the order of (ts, seq) there.
     """
     rows = commands if "accepted" in commands.columns else commands.withColumn("accepted", F.lit(True))
+    return decide_stream(rows.select("root", "ts", "seq", "cmd", "accepted").withWatermark("ts", delay))
+
+
+def decide_stream(commands: DataFrame) -> DataFrame:
+    """The decisions for commands that already carry a watermark on ``ts``."""
     return (
-        rows.select("root", "ts", "seq", "cmd", "accepted")
-        .withWatermark("ts", delay)
-        .groupBy("root")
+        commands.groupBy("root")
         .applyInPandasWithState(_decide, DECISIONS, "used INT", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
