@@ -21,16 +21,17 @@ def _parsed_events(raw: DataFrame, payload: str) -> DataFrame:
         F.from_json(text, schemas.JOB_EVENT).alias("ev"),
         (has_keys(text, _EVENT_KEYS) & is_json_text(text, "build_status")).alias("whole"),
     )
-    ev = F.col("parsed.ev")
-    finish = event_time(ev["build_finished_at"])
+    ev, finish = F.col("parsed.ev"), F.col("finish")
     valid = (
         F.col("parsed.whole")
         & ev["build_id"].isNotNull()
         & ev["project_id"].isNotNull()
         & (ev["build_finished_at"].isNull() | finish.isNotNull())
     )
-    return raw.select("*", once(parsed).alias("parsed")).select(
-        *raw.columns, ev.alias("ev"), F.coalesce(valid, F.lit(False)).alias("valid")
+    return (
+        raw.select("*", once(parsed).alias("parsed"))
+        .select("*", once(event_time(ev["build_finished_at"])).alias("finish"))
+        .select(*raw.columns, ev.alias("ev"), "finish", F.coalesce(valid, F.lit(False)).alias("valid"))
     )
 
 
@@ -45,7 +46,7 @@ def job_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
             "ev.build_id",
             "ev.build_status",
             "ev.project_id",
-            event_time(F.col("ev.build_finished_at")).alias("build_finished_at"),
+            F.col("finish").alias("build_finished_at"),
         )
     )
 
@@ -87,16 +88,22 @@ def _parsed_jobs(raw: DataFrame, blob: str) -> DataFrame:
         (has_keys(text, _JOB_KEYS) & is_json_text(text, "web_url", "created_at", "name")).alias("whole"),
     )
     job, runner = F.col("parsed.job"), F.col("parsed.runner")
+    created, finished_at = F.col("times.created"), F.col("times.finished")
+    times = F.struct(
+        api_time(job["created_at"]).alias("created"), api_time(job["finished_at"]).alias("finished")
+    )
     valid = (
         F.col("parsed.whole")
         & job["id"].isNotNull()
         & is_uri(job["web_url"])
-        & api_time(job["created_at"]).isNotNull()
-        & (job["finished_at"].isNull() | api_time(job["finished_at"]).isNotNull())
+        & created.isNotNull()
+        & (job["finished_at"].isNull() | finished_at.isNotNull())
         & (runner.isNull() | has_keys(runner, ["id", "description"]))
     )
-    return raw.select("*", once(parsed).alias("parsed")).select(
-        *raw.columns, job.alias("job"), F.coalesce(valid, F.lit(False)).alias("valid")
+    return (
+        raw.select("*", once(parsed).alias("parsed"))
+        .select("*", once(times).alias("times"))
+        .select(*raw.columns, job.alias("job"), "times", F.coalesce(valid, F.lit(False)).alias("valid"))
     )
 
 
@@ -110,8 +117,8 @@ def job_records(raw: DataFrame, blob: str = "job_blob") -> DataFrame:
             "job.web_url",
             F.col("job.runner.id").alias("runner_id"),
             F.col("job.runner.description").alias("runner_name"),
-            api_time(F.col("job.created_at")).alias("created_at"),
-            api_time(F.col("job.finished_at")).alias("finished_at"),
+            F.col("times.created").alias("created_at"),
+            F.col("times.finished").alias("finished_at"),
             "job.failure_reason",
             F.col("job.name").alias("job_name"),
             "job.status",

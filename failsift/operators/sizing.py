@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from failsift.session import settle
 
-# A set of ids this long takes about 8 MB; a longer one is never broadcast.
-MAX_BROADCAST_IDS = 1_000_000
+# A set of ids this long takes some 200 MB as a hash table; a longer one is never broadcast.
+MAX_BROADCAST_IDS = 4_000_000
 
 
 class JobIds:

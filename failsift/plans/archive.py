@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from failsift.operators import backfill, decode, enrich
-from failsift.operators.sizing import JobIds
 from failsift.operators.upsert import missing
 from failsift.sources.store import append_logs, append_new, read_table
 
@@ -26,5 +25,4 @@ def backlog(spark: SparkSession, root: str) -> DataFrame:
 
 def drain_backlog(logs: DataFrame, root: str, batch: str) -> int:
     """Store and index the logs of the jobs that have none yet."""
-    waiting = JobIds(backlog(logs.sparkSession, root))
-    return append_logs(waiting.select_from(logs), root, batch)
+    return append_logs(backlog(logs.sparkSession, root), logs, root, batch)

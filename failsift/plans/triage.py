@@ -11,6 +11,7 @@ from failsift.catalog import active_checks
 from failsift.operators import decode, enrich, retry
 from failsift.operators.classify import classify
 from failsift.operators.sizing import JobIds
+from failsift.session import settle
 
 
 class Triage(NamedTuple):
@@ -37,8 +38,12 @@ def hits_of(failed: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def triage(events: DataFrame, jobs: DataFrame, projects: DataFrame, logs: DataFrame) -> Triage:
-    """The whole flow for decoded events: finished jobs, their failures, their retry commands."""
-    done = enrich.finished_jobs(decode.finished(events), jobs, projects)
+    """The whole flow for decoded events: finished jobs, their failures, their retry commands.
+
+    The finished jobs and the hits are stored when this is called, both without
+    log text, so that the logs are read once however the results are used.
+    """
+    done = settle(enrich.finished_jobs(decode.finished(events), jobs, projects))
     failed = done.where(F.col("build_status") == "failed")
-    hits = hits_of(failed, logs)
+    hits = settle(hits_of(failed, logs))
     return Triage(done, enrich.failure_rows(failed, hits), retry.retry_commands(done, hits))

@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A scan decodes this many rows at a time. Logs of a megabyte and more would make the
+# default of 4096 rows outgrow an executor.
+ROWS_PER_BATCH = 256
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "failsift") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own configuration."""
     return (
@@ -17,6 +22,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "fa
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.parquet.columnarReaderBatchSize", str(ROWS_PER_BATCH))
         .getOrCreate()
     )
 

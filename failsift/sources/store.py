@@ -79,19 +79,16 @@ def append_new(rows: DataFrame, root: str, name: str, batch: str) -> int:
     return _write(fresh.select(*columns), root, name, batch)
 
 
-def append_logs(logs: DataFrame, root: str, batch: str) -> int:
-    """Add the logs (job_id, trace) of jobs without one, and index their tokens.
+def append_logs(jobs: DataFrame, logs: DataFrame, root: str, batch: str) -> int:
+    """Store and index the logs of the given jobs that have none yet; gives their number.
 
-    ``logs`` has one row per job. The comparison with the stored ids is between
-    ids alone; what it yields is normally empty or short, and the logs are held
-    against that, so that their text is not shuffled.
+    ``logs`` (job_id, trace) has one row per job. Which logs are wanted is worked
+    out between ids alone, and the logs are then read once.
     """
     spark = logs.sparkSession
     stored = _other_batches(spark, root, "job_log", batch).select("job_id")
-    again = settle(logs.select("job_id").join(stored, "job_id", "left_semi"))
-    fresh = logs
-    if not again.isEmpty():
-        fresh = JobIds(logs.select("job_id").join(again, "job_id", "left_anti")).select_from(logs)
+    waiting = JobIds(jobs.select("job_id").join(stored, "job_id", "left_anti"))
+    fresh = waiting.select_from(logs)
     added = _write(with_norm(fresh.select("job_id", "trace")), root, "job_log", batch)
     written = read_table(spark, root, "job_log").where(F.col("batch") == batch)
     write_index(term_rows(written), root, batch, min(TERM_SLICES, 1 + added // _LOGS_PER_SLICE))

@@ -37,11 +37,10 @@ def record_batch(
         return
     ids = JobIds(events.select(F.col("build_id").alias("job_id")))
     batch_jobs = settle(ids.select_from(jobs))
-    batch_logs = ids.select_from(logs)
-    result = triage(events, batch_jobs, projects, batch_logs)
-    done = JobIds(result.jobs)
-    append_new(enrich.index_rows(done.select_from(batch_jobs)), root, "job", batch)
-    append_logs(done.select_from(batch_logs), root, batch)
+    result = triage(events, batch_jobs, projects, logs)
+    done = batch_jobs.join(result.jobs.select("job_id"), "job_id", "left_semi")
+    append_new(enrich.index_rows(done), root, "job", batch)
+    append_logs(result.jobs, logs, root, batch)
     append_new(result.failures, root, "ci_failure", batch)
     append_new(result.commands, root, "retry_command", batch)
 

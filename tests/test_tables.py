@@ -63,9 +63,9 @@ def test_logs_are_stored_and_indexed_once(spark, tmp_path):
     schema = "job_id BIGINT, trace STRING"
     first = spark.createDataFrame([(1, "Alpha beta"), (2, "beta gamma")], schema)
     second = spark.createDataFrame([(2, "changed"), (3, "alpha gamma")], schema)
-    assert store.append_logs(first, root, "b1") == 2
-    assert store.append_logs(second, root, "b2") == 1
-    assert store.append_logs(second, root, "b2") == 1
+    assert store.append_logs(first, first, root, "b1") == 2
+    assert store.append_logs(second, second, root, "b2") == 1
+    assert store.append_logs(second, second, root, "b2") == 1
     got = rows_of(store.read_table(spark, root, "job_log").select("job_id", "norm"))
     assert got == [(1, " alpha beta "), (2, " beta gamma "), (3, " alpha gamma ")]
     terms = store.read_index(spark, root, "alpha", "gamma")
@@ -261,9 +261,10 @@ def test_no_join_moves_a_log(spark, flow, tmp_path):
     path = str(tmp_path / "logs")
     search.with_norm(logs).write.parquet(path)
     stored = spark.read.parquet(path)
-    plan = triage(events, jobs, projects, stored).failures._jdf.queryExecution().executedPlan().toString()
+    plan = hits_of(jobs, stored)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert all("trace" not in line for line in exchanges)
+    assert "trace" not in triage(events, jobs, projects, stored).failures._jdf.queryExecution().toString()
     assert "ReadSchema: struct<job_id:bigint,trace:string>" in plan
 
 

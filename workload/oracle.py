@@ -282,7 +282,7 @@ ORACLE: dict[str, str] = {
     "classify_regex": with_views("job_log", _hits(_PATTERN)),
     "classify_reason": with_views("job_log", _hits(_REASON)),
     "classify_all": with_views("job_log", _HIT),
-    "unclassified_jobs": with_views(
+    "unclassified": with_views(
         "job_log", "SELECT job_id FROM job_log WHERE job_id NOT IN (SELECT job_id FROM hit)", hit=_HIT
     ),
     "enum_gap": with_views(
@@ -330,7 +330,7 @@ ORACLE: dict[str, str] = {
         "AND job_id IN (SELECT job_id FROM hit) THEN 'retry' ELSE 'clear' END AS cmd FROM finished",
         **_ENRICHED,
     ),
-    "retry_candidates_of_failed": with_views(
+    "retry_candidates": with_views(
         _ENRICHED_VIEWS,
         "SELECT job_id, project_id, job_id IN (SELECT job_id FROM hit) AS retry FROM finished "
         "WHERE build_status = 'failed'",

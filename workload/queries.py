@@ -16,7 +16,7 @@ from failsift.operators import backfill, decode, enrich, hooks, index, loglines,
 from failsift.operators.classify import classify, label_gaps, retry_candidates, unclassified
 from failsift.plans import archive, lookup
 from failsift.plans.triage import Triage, triage
-from failsift.session import work_dir
+from failsift.session import settle, work_dir
 from failsift.sources import store
 from failsift.sources.files import log_urls
 from failsift.streaming.budget import retry_budget_stream
@@ -31,11 +31,13 @@ RANGE = backfill_window("2024-01-02", "2024-01-03")
 
 
 def query(fn: Query) -> Query:
+    """Register a query under its name, less a closing underscore."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
 
-    QUERIES[fn.__name__] = run
+    QUERIES[fn.__name__.rstrip("_")] = run
     return fn
 
 
@@ -63,7 +65,7 @@ def classify_all(spark, sf):
 
 
 @query
-def unclassified_jobs(spark, sf):
+def unclassified_(spark, sf):
     return unclassified(view(spark, sf, "job_log"))
 
 
@@ -176,21 +178,21 @@ def retry_commands(spark, sf):
 
 
 @query
-def retry_candidates_of_failed(spark, sf):
+def retry_candidates_(spark, sf):
     failed = _finished_jobs(spark, sf).where(F.col("build_status") == "failed")
     return retry_candidates(failed.select("job_id", "project_id"), classify(view(spark, sf, "job_log")))
 
 
 @query
 def failure_upsert(spark, sf):
-    hits = classify(view(spark, sf, "job_log")).select("job_id", "type")
+    hits = settle(classify(view(spark, sf, "job_log")).select("job_id", "type"))
     stored = hits.where(F.col("job_id") % 2 == 0)
     return upsert.new_rows(hits.unionByName(hits), stored, ["job_id", "type"])
 
 
 @query
 def job_upsert(spark, sf):
-    rows = enrich.index_rows(_jobs(spark, sf))
+    rows = settle(enrich.index_rows(_jobs(spark, sf)))
     stored = rows.where(F.col("job_id") % 3 == 0)
     return upsert.new_rows(rows.unionByName(rows), stored, ["job_id"])
 
