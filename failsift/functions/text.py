@@ -13,21 +13,24 @@ _SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def _latin_folds() -> dict[str, str]:
-    """Lower-case Latin letters with exactly one diacritic, mapped to the bare letter.
+    """Lower-case letters with exactly one diacritic, mapped to the bare letter, and the
+    combining marks that make them, mapped to nothing.
 
     Built from the Unicode decompositions; letters whose base is itself composed
     carry two diacritics and stay as they are, as do ß, ø and ł.
     """
-    folds = {}
+    letters, marks = {}, {}
     for code in chain(range(0x00C0, 0x0250), range(0x1E00, 0x1F00)):
         letter = chr(code)
         parts = unicodedata.decomposition(letter).split()
-        if letter != letter.lower() or len(parts) != 2 or parts[0].startswith("<"):
+        if len(parts) != 2 or parts[0].startswith("<"):
             continue
         base, mark = (chr(int(p, 16)) for p in parts)
-        if unicodedata.category(mark) == "Mn" and not unicodedata.decomposition(base):
-            folds[letter] = base
-    return folds
+        marks[mark] = ""
+        if letter == letter.lower() and not unicodedata.decomposition(base):
+            letters[letter] = base
+    # The sigma that ends a word is the same letter.
+    return letters | {"ς": "σ"} | marks
 
 
 _FOLDS = _latin_folds()
@@ -37,8 +40,8 @@ def normalise(log: Column) -> Column:
     """The log as space-separated tokens with a space at both ends."""
     ascii_only = F.octet_length(log) == F.char_length(log)
     plain = F.regexp_replace(F.lower(log), "[^a-z0-9]+", " ")
-    unmarked = F.regexp_replace(F.lower(log), r"\p{Mn}+", "")
-    bare = F.translate(unmarked, "".join(_FOLDS), "".join(_FOLDS.values()))
+    # Characters without a counterpart, here the marks at the end, are removed.
+    bare = F.translate(F.lower(log), "".join(_FOLDS), "".join(_FOLDS.values()))
     folded = F.regexp_replace(bare, _SEPARATORS, " ")
     return F.concat(F.lit(" "), F.trim(F.when(ascii_only, plain).otherwise(folded)), F.lit(" "))
 
@@ -50,7 +53,6 @@ def tokens(norm: Column) -> Column:
 
 def terms_of(text: str) -> list[str]:
     """Tokens of a short search text, by the same rule as :func:`normalise`."""
-    bare = (c for c in text.lower() if unicodedata.category(c) != "Mn")
-    folded = (_FOLDS.get(c, c) for c in bare)
-    spaced = (c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in folded)
-    return "".join(spaced).split()
+    folded = "".join(_FOLDS.get(c, c) for c in text.lower())
+    kinds = ((c, unicodedata.category(c)) for c in folded)
+    return "".join(c if kind[0] in "LN" or kind == "Co" else " " for c, kind in kinds).split()

@@ -141,7 +141,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream_view(spark: SparkSession, sf_dir: str, source: str, name: str) -> DataFrame:
     """A view over one table, read as a file stream."""
     schema = table(spark, sf_dir, source).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    # Written as a glob, the path may be a file as well as a folder.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/{source}[.]parquet")
     stream.createOrReplaceTempView(source)
     return spark.sql(VIEWS[name])
 
