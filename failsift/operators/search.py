@@ -99,7 +99,9 @@ def result_page(results: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> Dat
         fetched.withColumn("has_next", F.count("*").over(one_page) > size)
         .withColumn(
             "rank",
-            F.row_number().over(one_page.orderBy(F.col("created_at").desc(), F.col("job_id").desc())),
+            F.row_number()
+            .over(one_page.orderBy(F.col("created_at").desc(), F.col("job_id").desc()))
+            .cast("bigint"),
         )
         .where(F.col("rank") <= size)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,39 +32,44 @@ def decide_stream(commands: DataFrame) -> DataFrame:
     """The decisions for commands that already carry a watermark on ``ts``."""
     return (
         commands.groupBy("root")
-        .applyInPandasWithState(_decide, DECISIONS, "used INT", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(_decider(MAX_RETRIES, _FORGET_AFTER_MS), DECISIONS, "used INT", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(batches).sort_values(["ts", "seq"])
-    used = state.get[0] if state.exists else 0
-    decisions, left = [], []
-    for cmd, accepted in zip(rows["cmd"], rows["accepted"]):
-        decision, remaining = None, None
-        if cmd == "clear":
-            used = 0
-        elif used >= MAX_RETRIES:
-            decision, used = "exceeded", 0
-        elif not accepted:
-            decision, used = "request_failed", 0
-        else:
-            used += 1
-            decision, remaining = "retry", MAX_RETRIES - used
-        decisions.append(decision)
-        left.append(remaining)
-    if used:
-        last_ms = int(rows["ts"].max().timestamp() * 1000)
-        state.update((used,))
-        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + _FORGET_AFTER_MS)
-    elif state.exists:
-        state.remove()
-    out = rows[["ts", "seq"]].assign(
-        root=key[0], decision=decisions, retries_remaining=pd.array(left, dtype="Int64")
-    )
-    out = out.loc[out["decision"].notna(), ["root", "ts", "seq", "decision", "retries_remaining"]]
-    if len(out):
-        yield out
+def _decider(budget: int, forget_after_ms: int) -> Callable:
+    """The state function, made here so that it travels to the workers as a whole."""
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches).sort_values(["ts", "seq"])
+        used = state.get[0] if state.exists else 0
+        decisions, left = [], []
+        for cmd, accepted in zip(rows["cmd"], rows["accepted"]):
+            decision, remaining = None, None
+            if cmd == "clear":
+                used = 0
+            elif used >= budget:
+                decision, used = "exceeded", 0
+            elif not accepted:
+                decision, used = "request_failed", 0
+            else:
+                used += 1
+                decision, remaining = "retry", budget - used
+            decisions.append(decision)
+            left.append(remaining)
+        if used:
+            last_ms = int(rows["ts"].max().timestamp() * 1000)
+            state.update((used,))
+            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + forget_after_ms)
+        elif state.exists:
+            state.remove()
+        out = rows[["ts", "seq"]].assign(
+            root=key[0], decision=decisions, retries_remaining=pd.array(left, dtype="Int64")
+        )
+        out = out.loc[out["decision"].notna(), ["root", "ts", "seq", "decision", "retries_remaining"]]
+        if len(out):
+            yield out
+
+    return decide
