@@ -51,6 +51,7 @@ def raw_log_url(web_url: Column) -> Column:
 
 def job_listing_url(api_root: str, project_id: Column, page: Column | None = None) -> Column:
     """Address of one page of the failed and successful jobs of a project."""
+    # Fixed value: the query of the listing.
     base = F.concat(
         F.lit(f"{api_root}/projects/"),
         project_id.cast("string"),

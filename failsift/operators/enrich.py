@@ -35,6 +35,12 @@ def finished_jobs(events: DataFrame, jobs: DataFrame, projects: DataFrame) -> Da
     )
 
 
+def without_finish_time(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Finished events that :func:`finished_jobs` sets aside, as their job record has no finish time."""
+    unfinished = jobs.where(F.col("finished_at").isNull()).select("job_id")
+    return events.join(unfinished, events["build_id"] == unfinished["job_id"], "left_semi")
+
+
 def failure_rows(jobs: DataFrame, hits: DataFrame) -> DataFrame:
     """One row per failed job and failure type; the date is the finish time."""
     return jobs.join(hits.select("job_id", "type"), "job_id").select(

@@ -166,6 +166,7 @@ def bookkeeping(commands: DataFrame, links: DataFrame, chunks: int | None = None
     )
     decided = retry_budget(rooted, chunks)
     granted = F.col("decision") == "retry"
+    # The wording of the notes.
     note = (
         F.when(
             granted,

@@ -71,42 +71,54 @@ def is_search(keyword: str | None) -> bool:
     return keyword not in (None, "", '""')
 
 
-def result_rows(jobs: DataFrame, found: DataFrame) -> DataFrame:
-    """The result fields of every found job, read from the job object."""
-    field = lambda path: F.get_json_object("job_blob", path)
-    created = F.col("created_at") if "created_at" in jobs.columns else api_time(field("$.created_at"))
-    return jobs.join(found.select("job_id"), "job_id", "left_semi").select(
-        "job_id",
-        created.alias("created_at"),
-        "job_url",
-        field("$.runner.id").cast("bigint").alias("runner_id"),
-        field("$.runner.description").alias("runner_name"),
-        field("$.name").alias("job_name"),
+def found_jobs(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """(job_id, created_at) of every found job; no other column enters the join."""
+    created = (
+        F.col("created_at")
+        if "created_at" in jobs.columns
+        else api_time(F.get_json_object("job_blob", "$.created_at"))
     )
+    dated = jobs.select("job_id", created.alias("created_at"))
+    return dated.join(found.select("job_id"), "job_id", "left_semi")
 
 
 def result_page(results: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page, the newest first, with ``has_next`` on every row.
+    """The rows of one page, the newest first by ``rank``, with ``has_next`` on each.
 
     One row beyond the page is fetched to tell whether another page follows.
     The window below sees that one page only.
     """
     start = (max(page, 1) - 1) * size
-    newest = results.orderBy(F.col("created_at").desc(), F.col("job_id").desc())
-    fetched = newest.offset(start).limit(size + 1)
+    newest = [F.col("created_at").desc(), F.col("job_id").desc()]
+    fetched = results.orderBy(*newest).offset(start).limit(size + 1)
     one_page = Window.partitionBy(F.lit(0))
     return (
         fetched.withColumn("has_next", F.count("*").over(one_page) > size)
-        .withColumn(
-            "rank",
-            F.row_number()
-            .over(one_page.orderBy(F.col("created_at").desc(), F.col("job_id").desc()))
-            .cast("bigint"),
-        )
+        .withColumn("rank", F.row_number().over(one_page.orderBy(*newest)).cast("bigint"))
         .where(F.col("rank") <= size)
     )
 
 
+def page_fields(jobs: DataFrame, page: DataFrame) -> DataFrame:
+    """The result fields of the jobs of one page, read from the job objects.
+
+    A page has a fixed number of rows at most, so it goes to the jobs and not
+    the other way round.
+    """
+    field = lambda path: F.get_json_object("job_blob", path)
+    rows = jobs.drop("created_at").join(F.broadcast(page), "job_id")
+    return rows.select(
+        "job_id",
+        "created_at",
+        "job_url",
+        field("$.runner.id").cast("bigint").alias("runner_id"),
+        field("$.runner.description").alias("runner_name"),
+        field("$.name").alias("job_name"),
+        "has_next",
+        "rank",
+    ).orderBy("rank")
+
+
 def shown(results: DataFrame) -> DataFrame:
     """Result rows as text, with ``N/A`` for a lost runner."""
     return results.withColumns(

@@ -27,8 +27,8 @@ def find(
         condition = search.phrase(keyword)
     else:
         condition = F.lit(False)
-    found = search.matches(logs, condition)
-    return search.result_page(search.result_rows(jobs, found), page, size)
+    found = search.found_jobs(jobs, search.matches(logs, condition))
+    return search.page_fields(jobs, search.result_page(found, page, size))
 
 
 def total(logs: DataFrame, condition: Column) -> DataFrame:

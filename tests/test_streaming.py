@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from failsift.operators import decode
+from failsift.operators import decode, hooks, index, loglines, search
+from failsift.operators.classify import classify, unclassified
 from failsift.operators.retry import retry_budget
 from failsift.plans.triage import triage
 from failsift.sources import files, store
@@ -134,3 +135,28 @@ def test_commands_may_follow_deduplication(spark, tmp_path):
 
     got = decisions(run_to_table(decide_stream(commands), tmp_path, "chained"))
     assert [got[i][0] for i in range(12)] == ["retry"] * 10 + ["exceeded", "retry"]
+
+
+def test_the_same_operators_run_on_streams(spark, tmp_path):
+    inbox = tmp_path / "logs"
+    rows = [(1, None, "MoveFileEx\nx"), (2, "runner_system_failure", "fine"), (3, None, "échec total")]
+    spark.createDataFrame(rows, "job_id BIGINT, failure_reason STRING, trace STRING").write.parquet(str(inbox))
+    batch = spark.read.parquet(str(inbox))
+    stream = spark.readStream.schema(batch.schema).parquet(str(inbox))
+    steps = {
+        "classify": classify,
+        "unclassified": unclassified,
+        "grep": lambda df: loglines.grep(df, "e"),
+        "search": lambda df: search.matches(df, search.phrase("Echec")),
+        "terms": index.term_rows,
+    }
+    for name, step in steps.items():
+        want = sorted(map(tuple, step(batch).collect()))
+        assert sorted(map(tuple, run_to_table(step(stream), tmp_path, name).collect())) == want and want
+
+    events = tmp_path / "system"
+    events.mkdir()
+    (events / "1.json").write_text('{"event_name":"project_create","project_id":4}\n{"event_name":"x"}\n')
+    created = decode.system_events(files.payload_stream(spark, str(events)))
+    plan = run_to_table(hooks.hooks_for_new_projects(created, "https://h"), tmp_path, "plan").collect()
+    assert [(r.project_id, r.enable_ssl_verification) for r in plan] == [(4, True)]

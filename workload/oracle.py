@@ -323,6 +323,13 @@ ORACLE: dict[str, str] = {
     ),
     "json_canonical": with_views("job", _CANONICAL),
     "job_enrich": with_views(_ENRICHED_VIEWS, "SELECT * FROM finished", **_ENRICHED),
+    "finish_quarantine": with_views(
+        "job_event job",
+        "SELECT * FROM event WHERE build_finished_at IS NOT NULL "
+        "AND build_id IN (SELECT job_id FROM decoded WHERE finished_at IS NULL)",
+        event=_EVENT,
+        decoded=_DECODED,
+    ),
     "failure_rows": with_views(_ENRICHED_VIEWS, _FAILURE_ROWS, **_ENRICHED),
     "retry_commands": with_views(
         _ENRICHED_VIEWS,

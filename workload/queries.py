@@ -167,6 +167,11 @@ def job_enrich(spark, sf):
     return _finished_jobs(spark, sf)
 
 
+@query
+def finish_quarantine(spark, sf):
+    return enrich.without_finish_time(decode.finished(_events(spark, sf)), _jobs(spark, sf))
+
+
 @query
 def failure_rows(spark, sf):
     return _triage(spark, sf).failures
