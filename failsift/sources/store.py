@@ -98,15 +98,16 @@ def append_logs(jobs: DataFrame, logs: DataFrame, root: str, batch: str) -> int:
 def write_index(terms: DataFrame, root: str, batch: str, slices: int = TERM_SLICES) -> int:
     """Write index rows so that a look-up opens one bucket and skips inside it.
 
-    A bucket holds all rows of its terms. It is written by several tasks, sliced
-    by job, as one term may make up a large part of all tokens.
+    A bucket holds all rows of its terms, and files are ordered by term, so that a
+    term or a prefix skips most row groups. A bucket is written by several tasks,
+    sliced by job, as one term may make up a large part of all tokens.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
     part = F.pmod(F.xxhash64("job_id"), F.lit(slices)).cast("int")
     laid_out = (
         terms.withColumn("term_bucket", bucket)
         .repartition("term_bucket", part)
-        .sortWithinPartitions("term_bucket", "term", "job_id", "pos")
+        .sortWithinPartitions("term_bucket", "term")
     )
     return _write(laid_out, root, "log_term", batch, "term_bucket")
 
