@@ -1,4 +1,4 @@
-"""The catalog of known spurious-failure signatures.
+"""The catalog of known signatures of failures that a retry may cure.
 
 An entry is a code, a message and a predicate over (failure reason, log). The
 predicates are plain Spark columns, so a user can add entries of their own.

@@ -21,9 +21,8 @@ def once(value: Column) -> Column:
 
 def has_keys(json: Column, names: Iterable[str]) -> Column:
     """The text is a JSON object holding every key, null values included."""
-    keys = F.json_object_keys(json)
-    present = [F.array_contains(keys, n) for n in names]
-    return F.coalesce(reduce(lambda a, b: a & b, present), F.lit(False))
+    absent = F.array_except(F.array(*[F.lit(n) for n in names]), F.json_object_keys(json))
+    return F.coalesce(F.size(absent) == 0, F.lit(False))
 
 
 def is_json_text(json: Column, *names: str) -> Column:

@@ -147,8 +147,8 @@ def retry_commands(jobs: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def bookkeeping(commands: DataFrame, links: DataFrame, chunks: int | None = None) -> DataFrame:
-    """The budget over job-level commands (job_id, ts, cmd): the lineage of every job is
-    found from the links, and each decision names the new job and what remains."""
+    """The budget over job-level commands (job_id, ts, cmd), one per job: the lineage of every
+    job is found from the links, and each decision names the new job and what remains."""
     lineage = retry_lineage(links)
     new_job = one_per_key(links.select("job_id", "new_job_id"), ["job_id"])
     rooted = (

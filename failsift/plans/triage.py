@@ -43,7 +43,11 @@ def triage(events: DataFrame, jobs: DataFrame, projects: DataFrame, logs: DataFr
     The finished jobs and the hits are stored when this is called, both without
     log text, so that the logs are read once however the results are used.
     """
-    done = settle(enrich.finished_jobs(decode.finished(events), jobs, projects))
+    return judge(settle(enrich.finished_jobs(decode.finished(events), jobs, projects)), logs)
+
+
+def judge(done: DataFrame, logs: DataFrame) -> Triage:
+    """The failures and retry commands of finished jobs."""
     failed = done.where(F.col("build_status") == "failed")
     hits = settle(hits_of(failed, logs))
     return Triage(done, enrich.failure_rows(failed, hits), retry.retry_commands(done, hits))

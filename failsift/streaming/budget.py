@@ -22,7 +22,8 @@ def retry_budget_stream(commands: DataFrame, delay: str = "1 hour") -> DataFrame
     The state of a lineage is its count alone. It is dropped with the count, or
     30 days of event time after the last command. The commands of one lineage
     within a trigger are bounded by what the source admits per trigger, and are
-    put in the order of (ts, seq) there.
+    put in the order of (ts, seq) there. Commands later than the watermark are
+    dropped.
     """
     rows = commands if "accepted" in commands.columns else commands.withColumn("accepted", F.lit(True))
     return decide_stream(rows.select("root", "ts", "seq", "cmd", "accepted").withWatermark("ts", delay))
@@ -30,9 +31,12 @@ def retry_budget_stream(commands: DataFrame, delay: str = "1 hour") -> DataFrame
 
 def decide_stream(commands: DataFrame) -> DataFrame:
     """The decisions for commands that already carry a watermark on ``ts``."""
-    return (
-        commands.groupBy("root")
-        .applyInPandasWithState(_decider(MAX_RETRIES, _FORGET_AFTER_MS), DECISIONS, "used INT", "append", GroupStateTimeout.EventTimeTimeout)
+    return commands.groupBy("root").applyInPandasWithState(
+        _decider(MAX_RETRIES, _FORGET_AFTER_MS),
+        DECISIONS,
+        "used INT",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

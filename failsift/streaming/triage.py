@@ -10,9 +10,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from failsift.operators import decode, enrich
 from failsift.operators.sizing import JobIds
-from failsift.plans.triage import triage
+from failsift.plans.triage import judge
 from failsift.session import settle
-from failsift.sources.store import append_logs, append_new
+from failsift.sources.store import append_logs, append_new, read_table
 
 
 def unique_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -30,17 +30,20 @@ def record_batch(
     """Index, classify and record one batch of finished events.
 
     The batch is bounded by what the source admits per trigger. The job records
-    and logs are cut to its ids before they are joined.
+    are cut to its ids before they are joined. The raw logs are read once, into
+    the store, and classified from there.
     """
     events = settle(events)
     if events.isEmpty():
         return
     ids = JobIds(events.select(F.col("build_id").alias("job_id")))
     batch_jobs = settle(ids.select_from(jobs))
-    result = triage(events, batch_jobs, projects, logs)
-    done = batch_jobs.join(result.jobs.select("job_id"), "job_id", "left_semi")
-    append_new(enrich.index_rows(done), root, "job", batch)
-    append_logs(result.jobs, logs, root, batch)
+    done = settle(enrich.finished_jobs(events, batch_jobs, projects))
+    stored_jobs = batch_jobs.join(done.select("job_id"), "job_id", "left_semi")
+    append_new(enrich.index_rows(stored_jobs), root, "job", batch)
+    append_logs(done, logs, root, batch)
+    stored_logs = read_table(events.sparkSession, root, "job_log").select("job_id", "trace")
+    result = judge(done, stored_logs)
     append_new(result.failures, root, "ci_failure", batch)
     append_new(result.commands, root, "retry_command", batch)
 

@@ -24,6 +24,14 @@ def test_new_rows(spark):
     assert rows_of(upsert.missing(new.select("job_id").distinct(), old)) == [(2,)]
 
 
+def test_copies_merge_before_the_shuffle(spark):
+    copies = spark.range(1000).selectExpr("1 AS job_id", "'a' AS type", "CAST(id % 3 AS STRING) AS note")
+    merged = upsert.one_per_key(copies, ["job_id", "type"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min") > plan.index("Exchange hashpartitioning")
+    assert rows_of(merged) == [(1, "a", "0")]
+
+
 def test_job_ids_pick_or_refuse(spark):
     wide = spark.createDataFrame([(i, "t" * i) for i in range(10)], "job_id BIGINT, trace STRING")
     ids = JobIds(spark.createDataFrame([(3,), (3,), (5,), (77,)], "job_id BIGINT"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from workload.views import with_views
 
-# (code, message, condition over reason and trace), written out apart from the library's catalog.
+# Fixed values: (code, message, condition over reason and trace), written out apart from the catalog.
 _LITERAL = [
     ("docker", "docker failure", "contains(trace, 'Cannot connect to the Docker daemon at unix:///var/run/docker.sock')"),
     ("connect_gitlab", "GitLab connection failure", "contains(trace, 'Failed to connect to gitlab.haskell.org')"),
@@ -386,6 +386,18 @@ ORACLE: dict[str, str] = {
         decoded=_DECODED,
         in_range=_IN_RANGE.format("2024-01-02", "2024-01-03"),
     ),
+    "archive_search": with_views(
+        "job job_log",
+        "SELECT * EXCLUDE (n), n > 50 AS has_next FROM (SELECT *, row_number() OVER "
+        "(ORDER BY created_at DESC, job_id DESC) AS rank, count(*) OVER () AS n FROM result "
+        "WHERE job_id IN (SELECT r.job_id FROM in_range r JOIN decoded d ON d.job_id = r.job_id)) p WHERE rank <= 50",
+        norm=_NORM,
+        decoded=_DECODED,
+        in_range=_IN_RANGE.format("2024-01-02", "2024-01-03"),
+        result=_RESULT.format(needle=" failed ").replace(
+            "contains(norm, ' failed ')", "contains(norm, ' failed ') OR contains(norm, ' error ')"
+        ),
+    ),
     "tokenise": with_views("job_log", _NORM),
     "term_index": _index("SELECT * FROM term"),
     "search_phrase": _search("contains(norm, ' failed to connect to gitlab ')"),

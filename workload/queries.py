@@ -245,18 +245,31 @@ def page_age_class(spark, sf):
     return backfill.page_age(jobs, *RANGE)
 
 
-@query
-def archive_backfill(spark, sf):
-    """Staging, backlog and log store in one run; the tokens indexed per job."""
+def _archive(spark, sf) -> str:
+    """Staging, backlog and log store in one run; the folder of the store."""
     root = work_dir(spark, "archive")
     store.init_store(spark, root)
     listing = view(spark, sf, "job").withColumn("created_at", F.col("created_at").cast("timestamp"))
     archive.stage_jobs(listing, root, *RANGE, batch="staged")
     archive.drain_backlog(view(spark, sf, "job_log").select("job_id", "trace"), root, batch="drained")
-    terms = store.read_table(spark, root, "log_term")
+    return root
+
+
+@query
+def archive_backfill(spark, sf):
+    terms = store.read_index(spark, _archive(spark, sf))
     return terms.groupBy("job_id").agg(F.count("*").alias("tokens"))
 
 
+@query
+def archive_search(spark, sf):
+    """A look-up in the stored index, with the page of stored jobs it leads to."""
+    root = _archive(spark, sf)
+    found = index.jobs_with_any(store.read_index(spark, root, "failed", "error"), "failed", "error")
+    jobs = store.read_table(spark, root, "job")
+    return search.page_fields(jobs, search.result_page(search.found_jobs(jobs, found)))
+
+
 # Search
 
 

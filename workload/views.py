@@ -20,7 +20,7 @@ _REASON = """CASE WHEN doc_id % 31 = 0 THEN 'stuck_or_timeout_failure'
        WHEN doc_id % 43 = 0 THEN 'script_failure' END"""
 
 VIEWS = {
-    # Arms 20 and 21 must not match: CR before SIGQUIT, LF inside the segfault text.
+    # Texts the signatures look for. Arms 20 and 21 must not match: CR before SIGQUIT, LF inside the segfault text.
     "job_log": f"""
 SELECT doc_id AS job_id,
   text || chr(10) || CASE doc_id % 29
