@@ -28,6 +28,12 @@ def retry_budget(commands: DataFrame, chunks: int | None = None) -> DataFrame:
     ``commands`` has root, ts, seq and cmd (retry or clear), and optionally
     ``accepted``, false where the retry request itself failed; further columns
     are kept.
+    """
+    return count_commands(commands, chunks).where(F.col("cmd") == "retry").drop("used")
+
+
+def count_commands(commands: DataFrame, chunks: int | None = None) -> DataFrame:
+    """All commands with their decision and ``used``, the count the lineage has afterwards.
 
     With n the number of retries since the count was last forgotten, the n-th
     is granted unless n is a multiple of eleven: the eleventh is refused and
@@ -63,19 +69,18 @@ def retry_budget(commands: DataFrame, chunks: int | None = None) -> DataFrame:
         - F.coalesce("_cut", F.lit(0))
         + F.when(F.col("_cut").isNull(), F.coalesce("_carry", F.lit(0))).otherwise(0)
     )
-    used = (number - 1) % (MAX_RETRIES + 1)
-    decision = (
-        F.when(used >= MAX_RETRIES, "exceeded").when(~accepted, "request_failed").otherwise("retry")
+    before = (number - 1) % (MAX_RETRIES + 1)
+    decision = F.when(
+        is_retry,
+        F.when(before >= MAX_RETRIES, "exceeded").when(~accepted, "request_failed").otherwise("retry"),
     )
+    granted = F.col("decision") == "retry"
     return (
         counted.join(F.broadcast(carried), ["chunk", "root"], "left")
-        .where(is_retry)
         .withColumn("decision", decision)
-        .withColumn(
-            "retries_remaining",
-            F.when(F.col("decision") == "retry", (MAX_RETRIES - 1 - used).cast("bigint")),
-        )
-        .select(*commands.columns, "decision", "retries_remaining")
+        .withColumn("used", F.when(granted, (before + 1).cast("bigint")).otherwise(0))
+        .withColumn("retries_remaining", F.when(granted, MAX_RETRIES - F.col("used")))
+        .select(*commands.columns, "decision", "retries_remaining", "used")
     )
 
 

@@ -29,6 +29,10 @@ JOB_LOG = "job_id BIGINT, trace STRING, norm STRING"
 
 LOG_TERM = "term STRING, job_id BIGINT, pos INT"
 
+RETRY_DECISION = "root BIGINT, ts TIMESTAMP, seq BIGINT, decision STRING, retries_remaining BIGINT"
+
+LINEAGE_COUNT = "root BIGINT, used BIGINT, batch_no BIGINT"
+
 RETRY_COMMAND = "job_id BIGINT, project_id BIGINT, ts TIMESTAMP, cmd STRING"
 
 # The labels the stored failure type admits.

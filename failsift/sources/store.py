@@ -38,6 +38,8 @@ TABLES = {
     "job": Table(schemas.JOB_TABLE, ("job_id",)),
     "job_log": Table(schemas.JOB_LOG, ("job_id",)),
     "retry_command": Table(schemas.RETRY_COMMAND, ("job_id",)),
+    "retry_decision": Table(schemas.RETRY_DECISION, ("root", "ts", "seq")),
+    "lineage_count": Table(schemas.LINEAGE_COUNT, ("root", "batch_no")),
     "log_term": Table(schemas.LOG_TERM + ", term_bucket INT", ("term", "job_id", "pos")),
 }
 
@@ -57,7 +59,8 @@ def _other_batches(spark: SparkSession, root: str, name: str, batch: str) -> Dat
     return read_table(spark, root, name).where(F.col("batch") != batch)
 
 
-def _write(rows: DataFrame, root: str, name: str, batch: str, *parts: str) -> int:
+def write_batch(rows: DataFrame, root: str, name: str, batch: str, *parts: str) -> int:
+    """Write a whole batch of a table, in place of what it held; gives its number of rows."""
     path = f"{root}/{name}/batch={batch}"
     rows.write.mode("overwrite").partitionBy(*parts).parquet(path)
     return rows.sparkSession.read.schema(TABLES[name].schema).parquet(path).count()
@@ -71,12 +74,12 @@ def append_new(rows: DataFrame, root: str, name: str, batch: str) -> int:
     incoming = settle(one_per_key(rows.select(*columns), table.key))
     low, high = incoming.agg(F.min("job_id"), F.max("job_id")).first()
     if low is None:
-        return _write(incoming, root, name, batch)
+        return write_batch(incoming, root, name, batch)
     # Only rows in the id range of the batch can conflict with it, and the scan
     # skips the rest by the statistics in the files.
     stored = _other_batches(spark, root, name, batch).where(F.col("job_id").between(low, high))
     fresh = incoming.join(stored.select(*table.key), list(table.key), "left_anti")
-    return _write(fresh.select(*columns), root, name, batch)
+    return write_batch(fresh.select(*columns), root, name, batch)
 
 
 def append_logs(jobs: DataFrame, logs: DataFrame, root: str, batch: str) -> int:
@@ -89,7 +92,7 @@ def append_logs(jobs: DataFrame, logs: DataFrame, root: str, batch: str) -> int:
     stored = _other_batches(spark, root, "job_log", batch).select("job_id")
     waiting = JobIds(jobs.select("job_id").join(stored, "job_id", "left_anti"))
     fresh = waiting.select_from(logs)
-    added = _write(with_norm(fresh.select("job_id", "trace")), root, "job_log", batch)
+    added = write_batch(with_norm(fresh.select("job_id", "trace")), root, "job_log", batch)
     written = read_table(spark, root, "job_log").where(F.col("batch") == batch)
     write_index(term_rows(written), root, batch, min(TERM_SLICES, 1 + added // _LOGS_PER_SLICE))
     return added
@@ -109,7 +112,7 @@ def write_index(terms: DataFrame, root: str, batch: str, slices: int = TERM_SLIC
         .repartition("term_bucket", part)
         .sortWithinPartitions("term_bucket", "term")
     )
-    return _write(laid_out, root, "log_term", batch, "term_bucket")
+    return write_batch(laid_out, root, "log_term", batch, "term_bucket")
 
 
 def read_index(spark: SparkSession, root: str, *terms: str) -> DataFrame:

@@ -1,4 +1,10 @@
-"""The retry budget as keyed streaming state."""
+"""The retry budget over streams, in two forms.
+
+``retry_budget_stream`` keeps the counts as keyed state and handles the commands
+of a lineage in one task. ``retry_budget_batches`` keeps them in the store and
+decides each batch with the distributed operator, which suits triggers in which
+one lineage may hold a large part of the commands.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +13,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from failsift.operators.retry import MAX_RETRIES
-
-DECISIONS = "root BIGINT, ts TIMESTAMP, seq BIGINT, decision STRING, retries_remaining BIGINT"
+from failsift.operators.retry import MAX_RETRIES, count_commands
+from failsift.schemas import RETRY_DECISION
+from failsift.session import settle
+from failsift.sources.store import read_table, write_batch
 
 _FORGET_AFTER_MS = 30 * 24 * 3600 * 1000
 
@@ -25,15 +33,19 @@ def retry_budget_stream(commands: DataFrame, delay: str = "1 hour") -> DataFrame
     put in the order of (ts, seq) there. Commands later than the watermark are
     dropped.
     """
+    return decide_stream(_command_rows(commands).withWatermark("ts", delay))
+
+
+def _command_rows(commands: DataFrame) -> DataFrame:
     rows = commands if "accepted" in commands.columns else commands.withColumn("accepted", F.lit(True))
-    return decide_stream(rows.select("root", "ts", "seq", "cmd", "accepted").withWatermark("ts", delay))
+    return rows.select("root", "ts", "seq", "cmd", "accepted")
 
 
 def decide_stream(commands: DataFrame) -> DataFrame:
     """The decisions for commands that already carry a watermark on ``ts``."""
     return commands.groupBy("root").applyInPandasWithState(
         _decider(MAX_RETRIES, _FORGET_AFTER_MS),
-        DECISIONS,
+        RETRY_DECISION,
         "used INT",
         "append",
         GroupStateTimeout.EventTimeTimeout,
@@ -77,3 +89,53 @@ def _decider(budget: int, forget_after_ms: int) -> Callable:
             yield out
 
     return decide
+
+
+def retry_budget_batches(
+    commands: DataFrame, root: str, checkpoint: str, name: str = "budget"
+) -> DataStreamWriter:
+    """The writer of the decisions of a command stream into the store."""
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        record_decisions(batch, root, batch_id, name)
+
+    return (
+        _command_rows(commands)
+        .writeStream.foreachBatch(record)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+    )
+
+
+def record_decisions(commands: DataFrame, root: str, batch_no: int, name: str) -> None:
+    """Decide one batch on top of the counts that earlier batches left.
+
+    A count of n is put before the batch as n granted retries; that is ten rows
+    per lineage at most.
+    """
+    commands = settle(commands)
+    lineages = commands.select("root").distinct()
+    counts = (
+        read_table(commands.sparkSession, root, "lineage_count")
+        .where(F.col("batch_no") < batch_no)
+        .join(lineages, "root", "left_semi")
+        .groupBy("root")
+        .agg(F.max_by("used", "batch_no").alias("used"))
+        .where(F.col("used") > 0)
+    )
+    replayed = counts.select(
+        "root",
+        F.timestamp_seconds(F.lit(0)).alias("ts"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("used"))).alias("seq"),
+        F.lit("retry").alias("cmd"),
+        F.lit(True).alias("accepted"),
+    )
+    rows = commands.withColumn("new", F.lit(True)).unionByName(replayed.withColumn("new", F.lit(False)))
+    counted = settle(count_commands(rows))
+    decided = counted.where(F.col("new") & F.col("decision").isNotNull())
+    after = counted.groupBy("root").agg(F.max_by("used", F.struct("ts", "seq")).alias("used"))
+    label = f"{name}-{batch_no}"
+    write_batch(
+        decided.select("root", "ts", "seq", "decision", "retries_remaining"), root, "retry_decision", label
+    )
+    write_batch(after.withColumn("batch_no", F.lit(batch_no).cast("bigint")), root, "lineage_count", label)

@@ -8,7 +8,12 @@ from failsift.operators.classify import classify, unclassified
 from failsift.operators.retry import retry_budget
 from failsift.plans.triage import triage
 from failsift.sources import files, store
-from failsift.streaming.budget import retry_budget_stream
+from failsift.streaming.budget import (
+    decide_stream,
+    record_decisions,
+    retry_budget_batches,
+    retry_budget_stream,
+)
 from failsift.streaming.triage import triage_stream, unique_events
 from tests.test_retry import decisions, frame, random_commands, simulate
 
@@ -119,6 +124,38 @@ def test_streamed_budget_equals_batch_over_a_restart(spark, tmp_path):
     assert got == decisions(retry_budget(frame(spark, rows)))
 
 
+def test_budget_batches_equal_batch_over_a_restart(spark, tmp_path):
+    rows = sorted(random_commands(6, 400, 4, clears=0.03, failures=0.03, hot=0.4), key=lambda r: (r[1], r[2]))
+    inbox, root = tmp_path / "commands", str(tmp_path / "store")
+    store.init_store(spark, root)
+    parts = [rows[:150], rows[150:151], rows[151:300], rows[300:]]
+
+    def put(numbers):
+        for n in numbers:
+            frame(spark, parts[n]).coalesce(1).write.parquet(str(inbox / f"part={n}"))
+
+    def run():
+        schema = frame(spark, []).schema
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(inbox / "part=*"))
+        writer = retry_budget_batches(stream, root, str(tmp_path / "progress"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    put([0, 1])
+    run()
+    put([2, 3])
+    run()
+    stored = store.read_table(spark, root, "retry_decision")
+    assert decisions(stored) == simulate(rows)
+    written = stored.count()
+
+    # A batch that is run again leaves the same rows.
+    again = frame(spark, parts[3])
+    number = int(stored.agg(F.max(F.split("batch", "-")[1].cast("int"))).first()[0])
+    record_decisions(again, root, number, "budget")
+    assert decisions(store.read_table(spark, root, "retry_decision")) == simulate(rows)
+    assert store.read_table(spark, root, "retry_decision").count() == written
+
+
 def test_commands_may_follow_deduplication(spark, tmp_path):
     inbox = tmp_path / "events"
     twelve = [event(i, minute=i) for i in range(12)]
@@ -131,8 +168,6 @@ def test_commands_may_follow_deduplication(spark, tmp_path):
         F.lit("retry").alias("cmd"),
         F.lit(True).alias("accepted"),
     )
-    from failsift.streaming.budget import decide_stream
-
     got = decisions(run_to_table(decide_stream(commands), tmp_path, "chained"))
     assert [got[i][0] for i in range(12)] == ["retry"] * 10 + ["exceeded", "retry"]
 

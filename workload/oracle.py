@@ -494,5 +494,8 @@ ORACLE: dict[str, str] = {
     "stream_retry": with_views(
         "retry_cmd", "SELECT root, ts, seq, decision, retries_remaining FROM decided", **_budget("retry_cmd")
     ),
+    "stream_retry_batches": with_views(
+        "retry_cmd", "SELECT root, ts, seq, decision, retries_remaining FROM decided", **_budget("retry_cmd")
+    ),
     "stream_triage": with_views(_ENRICHED_VIEWS, _FAILURE_ROWS, **_ENRICHED),
 }

@@ -19,7 +19,7 @@ from failsift.plans.triage import Triage, triage
 from failsift.session import settle, work_dir
 from failsift.sources import store
 from failsift.sources.files import log_urls
-from failsift.streaming.budget import retry_budget_stream
+from failsift.streaming.budget import retry_budget_batches, retry_budget_stream
 from failsift.streaming.triage import triage_stream, unique_events
 from workload.views import stream_view, view
 
@@ -505,6 +505,17 @@ def stream_retry(spark, sf):
     return _drain(retry_budget_stream(commands), work_dir(spark, "retry"), "decisions")
 
 
+@query
+def stream_retry_batches(spark, sf):
+    folder = work_dir(spark, "retry")
+    root = f"{folder}/store"
+    store.init_store(spark, root)
+    commands = stream_view(spark, sf, "events", "retry_cmd")
+    writer = retry_budget_batches(commands, root, f"{folder}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return store.read_table(spark, root, "retry_decision").drop("batch")
+
+
 @query
 def stream_triage(spark, sf):
     folder = work_dir(spark, "triage")
