@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failsift.llm import chat, licenses, mixing, oracle
+from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle
 from failsift.llm.tables import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,13 @@ def op8_chat_formatting(spark, sf):
 def op9_source_mixing(spark, sf):
     mixed = mixing.mix_sources(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_minhash_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op1_benchmark_decontamination(spark, sf):
+    return decontamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
