@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle
+from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle, quality
 from failsift.llm.tables import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,8 @@ def op10_minhash_near_dedup(spark, sf):
 @query
 def op1_benchmark_decontamination(spark, sf):
     return decontamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op3_quality_classifier(spark, sf):
+    return quality.classify_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))

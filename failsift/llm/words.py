@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -34,9 +34,9 @@ def multipliers(n: int) -> np.ndarray:
 
 
 @cache
-def _word_characters() -> np.ndarray:
-    table = [unicodedata.category(chr(i))[0] in "LNM" for i in range(_FIRST_PRIVATE)]
-    return np.array(table + [True])
+def _kinds() -> np.ndarray:
+    table = [1 if unicodedata.category(c)[0] in "LNM" else 2 if c.isspace() else 0 for c in map(chr, range(_FIRST_PRIVATE))]
+    return np.array(table + [1], np.int8)
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -52,20 +52,47 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _joined_hashes(texts: list[str]) -> list[np.ndarray]:
-    lowered = [t.lower() for t in texts]
-    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
-    n = len(codes)
-    inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = _word_characters()[np.minimum(codes, _FIRST_PRIVATE)]
-    edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[0::2], edges[1::2]
-    up, down = _power_tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    offsets = np.cumsum([len(t) + 1 for t in lowered[:-1]], dtype=np.int64)
-    return np.split(hashes, np.searchsorted(starts, offsets))
+class Joined:
+    """Code points of several texts with running sums, from which any run has its hash."""
+
+    def __init__(self, texts: list[str]):
+        self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.offsets = np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64)
+        up, self.down = _power_tables(len(self.codes))
+        self.sums = np.zeros(len(self.codes) + 1, np.uint64)
+        np.cumsum(self.codes * up[: len(self.codes)], out=self.sums[1:])
+
+    def kinds(self) -> np.ndarray:
+        """1 in words, 2 in blanks, 0 elsewhere, per character."""
+        return _kinds()[np.minimum(self.codes, _FIRST_PRIVATE)]
+
+    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of true places."""
+        padded = np.zeros(len(inside) + 2, np.int8)
+        padded[1:-1] = inside
+        edges = np.flatnonzero(np.diff(padded))
+        return edges[0::2], edges[1::2]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+    def per_text(self, starts: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.searchsorted(starts, self.offsets))
+
+
+def _words(texts: list[str]) -> list[np.ndarray]:
+    joined = Joined([t.lower() for t in texts])
+    starts, ends = joined.runs(joined.kinds() == 1)
+    return joined.per_text(starts, joined.hashes(starts, ends))
+
+
+def _tokens(texts: list[str]) -> list[np.ndarray]:
+    joined = Joined(texts)
+    kinds = joined.kinds()
+    words, others = joined.runs(kinds == 1), joined.runs(kinds == 0)
+    starts, ends = (np.concatenate(x) for x in zip(words, others))
+    order = np.argsort(starts, kind="stable")
+    return joined.per_text(starts[order], joined.hashes(starts, ends)[order])
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -79,22 +106,32 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-def word_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-    """For each text, the hashes of its words in order; None is an empty text."""
+def in_pieces(texts: Sequence[str | None], each: Callable[[list[str]], list[np.ndarray]]) -> Iterator[np.ndarray]:
+    """Apply ``each`` to lists of texts of bounded length; the pieces of a text are put together."""
     group: list[str] = []
     size = 0
     for text in texts:
         text = text or ""
         if group and size + len(text) > PIECE:
-            yield from _joined_hashes(group)
+            yield from each(group)
             group, size = [], 0
         if len(text) > PIECE:
-            yield np.concatenate([_joined_hashes([p])[0] for p in _pieces(text)])
+            yield np.concatenate([each([p])[0] for p in _pieces(text)])
             continue
         group.append(text)
         size += len(text) + 1
     if group:
-        yield from _joined_hashes(group)
+        yield from each(group)
+
+
+def word_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    """For each text, the hashes of its words in order; None is an empty text."""
+    return in_pieces(texts, _words)
+
+
+def token_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    """For each text, the hashes of its words as written and of its runs of other signs."""
+    return in_pieces(texts, _tokens)
 
 
 def shingles(words: np.ndarray, length: int = SHINGLE) -> np.ndarray:
