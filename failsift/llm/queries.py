@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle, quality
+from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle, quality, toxicity
 from failsift.llm.tables import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,8 @@ def op1_benchmark_decontamination(spark, sf):
 @query
 def op3_quality_classifier(spark, sf):
     return quality.classify_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op7_toxicity(spark, sf):
+    return toxicity.classify_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
