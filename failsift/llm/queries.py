@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle, quality, toxicity
+from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle, quality, token_counts, toxicity
 from failsift.llm.tables import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +66,14 @@ def op3_quality_classifier(spark, sf):
 @query
 def op7_toxicity(spark, sf):
     return toxicity.classify_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op5_token_counts(spark, sf):
+    counts = token_counts.token_counts(
+        table(spark, sf, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        token_counts.fresh_cache(spark),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+    return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.MAX_TOKENS)
