@@ -85,3 +85,14 @@ SELECT doc_id, size, source_size, target,
   (size * (epochs + (budget > 0 AND prefix + size / 2.0 <= budget)::INT))::BIGINT AS taken
 FROM summed
 """
+
+OP6 = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM page),
+kept AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS response
+         FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to, true AS valid
+FROM kept
+"""

@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failsift.llm import chat, decontamination, licenses, mixing, near_dedup, oracle, quality, token_counts, toxicity
+from failsift.llm import chat, decontamination, licenses, merkle, mixing, near_dedup, oracle, quality, token_counts, toxicity, warc
 from failsift.llm.tables import small_batches, table
+from failsift.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {
     "op2_license_scan": oracle.OP2,
+    "op6_warc": oracle.OP6,
     "op8_chat_formatting": oracle.OP8,
     "op9_source_mixing": oracle.OP9,
 }
@@ -77,3 +79,16 @@ def op5_token_counts(spark, sf):
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
     )
     return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.MAX_TOKENS)
+
+
+@query
+def op4_document_fingerprints(spark, sf):
+    return merkle.fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op6_warc(spark, sf):
+    folder = work_dir(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf, "pages"), folder)
+    records = warc.read_archives(manifest, folder, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
