@@ -53,7 +53,8 @@ def targets(sources: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE, ca
     """``target`` and ``weight`` for each row of (source, source_size); one row per source.
 
     With the sources ordered by the level at which they reach their cap, the common level
-    of the uncapped ones follows from running sums. The table has as many rows as there
+    of the uncapped ones follows from running sums: it is the highest one that its own
+    source stays below. The table has as many rows as there
     are sources, so its windows run in one task.
     """
     place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
@@ -71,7 +72,7 @@ def targets(sources: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE, ca
             "level",
             (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0))) / F.sum("weight").over(rest),
         )
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything))
     )
     uncapped = F.col("weight") * F.col("level")
     return levels.select(

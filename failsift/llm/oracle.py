@@ -44,7 +44,7 @@ WITH turn_ AS (
 placed AS (
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns,
     4 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + 2
-      + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + 8 AS piece
+      + length(regexp_replace(text, '([\\#<:])', '\\\1', 'g')) + 8 AS piece
   FROM turn_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 summed AS (SELECT *, sum(piece) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM placed)
 SELECT conv_id, count(*) AS n_turns,
@@ -73,7 +73,7 @@ levels AS (
   FROM per_source WINDOW o AS (ORDER BY (2 * source_size)::DOUBLE / w, source NULLS LAST)),
 plan_ AS (
   SELECT source, source_size,
-    least(cap::DOUBLE, coalesce(w * min(level) FILTER (level <= reach) OVER (), cap::DOUBLE)) AS target FROM levels),
+    least(cap::DOUBLE, coalesce(w * max(level) FILTER (level <= reach) OVER (), cap::DOUBLE)) AS target FROM levels),
 budgeted AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM plan_),
 summed AS (
