@@ -2,9 +2,9 @@
 
 Every assistant turn becomes an example: all turns before it are context, and its reply is
 the only trainable part. A turn is written ``### role:``, line feed, text, ``</turn>``, line
-feed. Backslash, ``#`` and ``<`` inside texts and roles are written with a backslash before
-them (and ``:`` inside roles), so that no text can pass for a marker, and unescaping gives
-back every text. A conversation that does not end with an assistant turn, or has none, gets
+feed. Inside texts and roles the characters of the markers are written as a backslash and a
+letter (``ESCAPES``), so that no text can pass for a marker, and unescaping gives back every
+text. A conversation that does not end with an assistant turn, or has none, gets
 one closing example with all turns and nothing to train on; so the last example of a
 conversation holds all its turns.
 
@@ -24,22 +24,24 @@ from pyspark.sql import functions as F
 
 END = "</turn>\n"
 ASSISTANT = "assistant"
+ESCAPES = {"\\": "\\b", "<": "\\l", "#": "\\h", ":": "\\c"}
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\#<])", r"\\$1")
-
-
-def escape_role(role: Column) -> Column:
-    return F.regexp_replace(role, r"([\\#<:])", r"\\$1")
+    for char, written in ESCAPES.items():
+        text = F.replace(text, F.lit(char), F.lit(written))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<:])", "$1")
+    """The inverse; the backslash comes last, so that none is read twice."""
+    for char, written in reversed(ESCAPES.items()):
+        text = F.replace(text, F.lit(written), F.lit(char))
+    return text
 
 
 def header(role: Column) -> Column:
-    return F.concat(F.lit("### "), escape_role(role), F.lit(":\n"))
+    return F.concat(F.lit("### "), escape(role), F.lit(":\n"))
 
 
 def examples(turns: DataFrame) -> DataFrame:
@@ -78,8 +80,8 @@ def examples(turns: DataFrame) -> DataFrame:
 def parse(text: Column) -> Column:
     """The (role, text) pairs of a formatted text, in order."""
     pieces = F.filter(F.split(text, END), lambda p: p != "")
-    role = lambda p: F.regexp_extract(p, r"^### ((?:\\.|[^\\:])*):\n", 1)
-    body = lambda p: F.regexp_replace(p, r"^### (?:\\.|[^\\:])*:\n", "")
+    role = lambda p: F.regexp_extract(p, r"^### ([^:]*):\n", 1)
+    body = lambda p: F.regexp_replace(p, r"^### [^:]*:\n", "")
     return F.transform(pieces, lambda p: F.struct(unescape(role(p)).alias("role"), unescape(body(p)).alias("text")))
 
 
