@@ -13,6 +13,9 @@ Texts are never shuffled: what moves are segments of at most ``WINDOW`` words on
 of a hit, and hashes. One passage may stand in any share of the documents: hits are grouped
 by document before they meet the items.
 
+An alignment is seen if the selected words of one mask are intact in it: always in 20 words
+with 3 replaced, in 99.3% of 15 words with 3 replaced; the shortest items only as a whole.
+
 Defined cases: null and empty texts hold no leak. Items of fewer than ``MIN_WORDS`` words are
 no evidence and are skipped; null items too. Repeated documents are each reported per id:
 the result has one row per (doc_id, item_id). Documents without id are reported as one
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failsift.llm.tables import small_batches, stored
+from failsift.llm.tables import arrays, small_batches, stored
 from failsift.llm.words import mix, multipliers, word_hashes
 
 MASKS = ("111111", "1101001101", "101101101", "1110111")
@@ -58,8 +61,9 @@ def seeds_of(words: np.ndarray, masks) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield np.arange(len(hashes)), hashes
 
 
-def filter_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64((1 << FILTER_BITS) - 1)
+def filter_places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a table whose size is a power of 2."""
+    low = np.uint64(size - 1)
     return (hashes & low).astype(np.intp), ((hashes >> np.uint64(32)) & low).astype(np.intp)
 
 
@@ -99,17 +103,17 @@ def benchmark_seeds(benchmark: DataFrame, masks=MASKS) -> tuple[DataFrame, DataF
     return items.select("item_id", "item_words"), seeds
 
 
-def filter_table(seeds: DataFrame) -> np.ndarray:
+def filter_table(seeds: DataFrame, filter_bits: int) -> np.ndarray:
     """The table of bits, as bytes 0 and 1 of a fixed number of places."""
-    low = F.lit((1 << FILTER_BITS) - 1)
+    low = F.lit((1 << filter_bits) - 1)
     first, second = F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", 32).bitwiseAND(low)
     places = seeds.select(F.explode(F.array(first, second)).alias("place"))
     bits = places.groupBy(F.shiftright("place", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")
     )
-    found = bits.toPandas()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    words[found["word"].to_numpy(np.intp)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    found = arrays(bits)
+    words = np.zeros(1 << (filter_bits - 6), np.uint64)
+    words[found["word"]] = found["bits"].view(np.uint64)
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
@@ -126,7 +130,7 @@ def segments(docs: DataFrame, table, masks=MASKS) -> DataFrame:
             joined = np.concatenate(per_doc) if per_doc else np.empty(0, np.uint64)
             places, hashes, last = [], [], []
             for (at, seed), span in zip(seeds_of(joined, masks), spans):
-                one, two = filter_places(seed)
+                one, two = filter_places(seed, len(bits))
                 maybe = np.flatnonzero(bits[one] & bits[two])
                 places.append(at[maybe])
                 hashes.append(seed[maybe])
@@ -176,12 +180,12 @@ def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int
     return int((sums[width:] - sums[:-width]).max()), width
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, item_id, agreeing, window: one row per document and item that it holds."""
     spark = docs.sparkSession
     small_batches(spark)
     items, seeds = benchmark_seeds(benchmark, masks)
-    table = spark.sparkContext.broadcast(filter_table(seeds))
+    table = spark.sparkContext.broadcast(filter_table(seeds, filter_bits))
     found = stored(segments(docs, table, masks), "leak-segments")
     few = seeds.count() <= MAX_BROADCAST_SEEDS
     small = F.broadcast if few else lambda df: df

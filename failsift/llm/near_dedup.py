@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from failsift.llm.components import components
-from failsift.llm.tables import small_batches, stored
+from failsift.llm.tables import arrays, small_batches, stored
 from failsift.llm.words import mix, multipliers, shingles, word_hashes
 from failsift.session import settle
 
@@ -80,9 +80,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             ["cell", "n"],
         )
 
-    counts = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = arrays(docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
     total = np.zeros(CELLS + 1, np.int64)
-    total[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    total[counts["cell"]] = counts["n"]  # cell -1, the number of documents, is the last
     return total[:CELLS], int(total[CELLS])
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failsift.llm.labelled import training_documents
-from failsift.llm.tables import held_out, small_batches
+from failsift.llm.tables import arrays, held_out, small_batches
 from failsift.llm.words import token_hashes
 
 BUCKET_BITS = 14
@@ -92,9 +92,9 @@ def context_sums(docs: DataFrame) -> np.ndarray:
 
     schema = "bucket int, " + ", ".join(f"{v} long" for v in _VECTOR)
     total = docs.select("text").mapInArrow(gather, schema).groupBy("bucket").agg(*[F.sum(v).alias(v) for v in _VECTOR])
-    rows = total.toPandas()
+    rows = arrays(total)
     sums = np.zeros((BUCKETS, DIMENSIONS))
-    sums[rows["bucket"].to_numpy(np.intp)] = rows[_VECTOR].to_numpy(float)
+    sums[rows["bucket"]] = np.stack([rows[v] for v in _VECTOR], axis=1)
     return sums
 
 
@@ -207,10 +207,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Quality:
         .mapInArrow(features, "id long, label int, x array<float>")
         .dropDuplicates(["id"])
         .orderBy("id")
-        .toPandas()
+        .toArrow()
     )
-    x = np.array(sample["x"].tolist(), float).reshape(-1, FEATURES)
-    return Quality(vectors, fit_network(x, sample["label"].to_numpy(int)))
+    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(float)
+    return Quality(vectors, fit_network(x, sample.column("label").to_numpy().astype(int)))
 
 
 def score(docs: DataFrame, model) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size, numbers without nulls."""
+    found = df.toArrow()
+    return {name: found.column(name).to_numpy() for name in df.columns}
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training; a document without id is."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))

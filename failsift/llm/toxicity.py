@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from failsift.llm.labelled import training_documents
 from failsift.llm.quality import accepted, score
-from failsift.llm.tables import small_batches, stored
+from failsift.llm.tables import arrays, small_batches, stored
 from failsift.llm.words import Joined, in_pieces, mix, multipliers
 
 THRESHOLD = 0.7
@@ -106,9 +106,9 @@ def four_grams(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["gram", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = arrays(docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     counts = np.zeros(SYMBOLS**ORDER)
-    counts[rows["gram"].to_numpy(np.intp)] = rows["n"].to_numpy(float)
+    counts[rows["gram"]] = rows["n"]
     return counts
 
 
@@ -293,9 +293,8 @@ def lexicon(sample: DataFrame, log_p) -> np.ndarray:
         .where(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.col("ratio").desc(), "feature")
         .limit(LEXICON)
-        .toPandas()
     )
-    return np.sort(best["feature"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(arrays(best)["feature"].view(np.uint64))
 
 
 def fit_regression(present: list[np.ndarray], label: np.ndarray, entries: int) -> tuple[np.ndarray, float]:
@@ -335,9 +334,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Toxicity:
                 [batch.column("id"), batch.column("label"), pa.array(places, pa.list_(pa.int32()))], ["id", "label", "places"]
             )
 
-    rows = sample.mapInArrow(find, "id long, label int, places array<int>").orderBy("id").toPandas()
-    present = [np.asarray(p, np.intp) for p in rows["places"]]
-    weights, constant = fit_regression(present, rows["label"].to_numpy(float), len(entries))
+    rows = sample.mapInArrow(find, "id long, label int, places array<int>").orderBy("id").toArrow()
+    present = [np.asarray(p, np.intp) for p in rows.column("places").to_pylist()]
+    weights, constant = fit_regression(present, rows.column("label").to_numpy().astype(float), len(entries))
     return Toxicity(log_p, entries, weights, constant)
 
 

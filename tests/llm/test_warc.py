@@ -1,0 +1,76 @@
+import gzip
+import hashlib
+import io
+import zlib
+
+import pytest
+
+from failsift.llm import warc
+from failsift.session import work_dir
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS payload", "1 AS refers_to", "2 AS digest")
+
+
+BIG = "é" * 600
+ROWS = [
+    (1, "http://a.example/x?y=1", BIG),
+    (2, "http://b.example/ü\r\nX: y", BIG),
+    (3, None, "small"),
+    (4, "u", "small"),
+    (5, "u", None),
+    (6, "u", ""),
+    (None, "u", BIG),
+    (7, "u", "z" * 400_000),
+    (2, "again", BIG),
+    (8, "u", "WARC/1.1\r\n\r\n" * 200),
+    (None, "u", "q" * 2000),
+]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_round_trip(spark, monkeypatch, limit):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_REVISITS", limit)
+    folder = work_dir(spark, "warc")
+    got = warc.read_archives(warc.write_archives(pages_of(spark, ROWS), folder), folder).collect()
+    assert len(got) == len(ROWS) and all(r.valid for r in got)
+
+    def want(page, html):
+        data = (html or "").encode()
+        revisit = html == BIG and page != 2
+        return (page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None, None if revisit else data)
+
+    key = lambda r: tuple(map(str, r))
+    mine = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload) if r.payload is not None else None) for r in got]
+    assert sorted(mine, key=key) == sorted((want(p, h) for p, _, h in ROWS), key=key)
+
+
+def test_files_are_gzip_members_and_roll_over(spark, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    folder = work_dir(spark, "warc")
+    pages = pages_of(spark, [(i, "u", f"page {i} " * 200) for i in range(40)]).coalesce(2)
+    manifest = warc.write_archives(pages, folder).collect()
+    assert sum(r.records for r in manifest) == 40
+    path = urlparse(folder).path
+    data = b"".join(open(os.path.join(path, r.path), "rb").read() for r in manifest)
+    assert len(list(warc.members(io.BytesIO(data)))) == 40
+    assert gzip.decompress(data).count(b"WARC-Type: response") == 40
+
+
+def test_damage_is_seen():
+    good = warc.record(1, "u", b"payload")
+    plain = zlib.decompress(good, 31)
+    assert warc.parse(plain)["valid"]
+    assert not warc.parse(plain.replace(b"payload\r", b"Payload\r"))["valid"]
+    assert not warc.parse(plain[:-1])["valid"]
+    assert not warc.parse(b"")["valid"]
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(good[:-9])))
+
+
+def test_no_pages(spark):
+    folder = work_dir(spark, "warc")
+    assert warc.read_archives(warc.write_archives(pages_of(spark, []), folder), folder).count() == 0
