@@ -18,9 +18,6 @@ from failsift.session import settle
 # Fixed value: retries granted per lineage.
 MAX_RETRIES = 10
 
-# More doubling rounds than any lineage can need.
-_MAX_ROUNDS = 48
-
 
 def retry_budget(commands: DataFrame, chunks: int | None = None) -> DataFrame:
     """``decision`` and ``retries_remaining`` for every retry command.
@@ -109,11 +106,15 @@ def retry_lineage(links: DataFrame) -> DataFrame:
     Each round doubles the distance every job looks back, so a lineage of n jobs
     takes about log2(n) rounds. Jobs that have reached their root take no part in
     later rounds. Every round is stored, so a lost executor costs one round only.
+    Jobs on a cycle of links have no root and are left out, as are those behind them;
+    :func:`lost_links` names links that a lineage cannot follow.
     """
     parents = links.select(F.col("new_job_id").alias("job_id"), F.col("job_id").alias("root"))
     known = settle(one_per_key(parents, ["job_id"]).select("*", F.lit(1).cast("bigint").alias("depth")))
+    # A look-back longer than the number of links is a walk around a cycle.
+    rounds = max(1, (known.count() + 1).bit_length() + 1)
     done, open_ = None, known
-    for _ in range(_MAX_ROUNDS):
+    for _ in range(rounds):
         step = known.select(
             F.col("job_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more")
         )
@@ -126,8 +127,6 @@ def retry_lineage(links: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
         known = done.unionByName(open_)
-    else:
-        raise ValueError("the retry links form a cycle")
     roots = (
         links.select("job_id")
         .distinct()
@@ -137,6 +136,15 @@ def retry_lineage(links: DataFrame) -> DataFrame:
     return done.unionByName(roots)
 
 
+def lost_links(links: DataFrame) -> DataFrame:
+    """Links (job_id, new_job_id) that the lineage does not use: where two jobs name one
+    successor, the one with the larger id, and links on a cycle or behind one."""
+    kept = one_per_key(links.select(F.col("new_job_id"), "job_id"), ["new_job_id"])
+    reached = retry_lineage(links).where("depth > 0").select(F.col("job_id").alias("new_job_id"))
+    used = kept.join(reached, "new_job_id", "left_semi")
+    return links.select("job_id", "new_job_id").distinct().join(used, ["job_id", "new_job_id"], "left_anti")
+
+
 def retry_commands(jobs: DataFrame, hits: DataFrame) -> DataFrame:
     """What each finished job sends to the budget: a retry if it failed with a known
     signature, else a clear. The clear that follows a retry finds the count already
@@ -151,6 +159,16 @@ def retry_commands(jobs: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def clear_commands(events: DataFrame) -> DataFrame:
+    """The clear that a finished event sends when its job cannot be enriched."""
+    return events.select(
+        F.col("build_id").alias("job_id"),
+        "project_id",
+        F.col("build_finished_at").alias("ts"),
+        F.lit("clear").alias("cmd"),
+    )
+
+
 def bookkeeping(commands: DataFrame, links: DataFrame, chunks: int | None = None) -> DataFrame:
     """The budget over job-level commands (job_id, ts, cmd), one per job: the lineage of every
     job is found from the links, and each decision names the new job and what remains."""

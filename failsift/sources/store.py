@@ -7,9 +7,11 @@ so a repeated or redelivered batch changes nothing. One writer at a time.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,7 +41,12 @@ TABLES = {
     "job_log": Table(schemas.JOB_LOG, ("job_id",)),
     "retry_command": Table(schemas.RETRY_COMMAND, ("job_id",)),
     "retry_decision": Table(schemas.RETRY_DECISION, ("root", "ts", "seq")),
-    "lineage_count": Table(schemas.LINEAGE_COUNT, ("root", "batch_no")),
+    "lineage_count": Table(schemas.LINEAGE_COUNT, ("root", "stream", "batch_no")),
+    "budget_command": Table(schemas.BUDGET_COMMAND, ("root", "ts", "seq")),
+    "event": Table(schemas.FINISHED_EVENT, ("build_id", "build_status")),
+    "pending_event": Table(schemas.PENDING_EVENT, ("build_id", "build_status", "stream", "batch_no")),
+    "retry_link": Table(schemas.RETRY_LINK, ("job_id",)),
+    "job_root": Table(schemas.JOB_ROOT, ("job_id",)),
     "log_term": Table(schemas.LOG_TERM + ", term_bucket INT", ("term", "job_id", "pos")),
 }
 
@@ -55,7 +62,12 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name].schema + ", batch STRING").parquet(f"{root}/{name}")
 
 
-def _other_batches(spark: SparkSession, root: str, name: str, batch: str) -> DataFrame:
+def read_batch(spark: SparkSession, root: str, name: str, batch: str) -> DataFrame:
+    """The rows that one batch added, as it was written."""
+    return spark.read.schema(TABLES[name].schema).parquet(f"{root}/{name}/batch={batch}")
+
+
+def other_batches(spark: SparkSession, root: str, name: str, batch: str) -> DataFrame:
     return read_table(spark, root, name).where(F.col("batch") != batch)
 
 
@@ -66,18 +78,31 @@ def write_batch(rows: DataFrame, root: str, name: str, batch: str, *parts: str)
     return rows.sparkSession.read.schema(TABLES[name].schema).parquet(path).count()
 
 
+def spans(rows: DataFrame, column: str, parts: int = 64) -> Column:
+    """A filter that all values of a column pass: a few ranges, so that a lone far value
+    adds a range of its own instead of widening the whole."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return F.lit(False)
+    width = (high - low) // parts + 1
+    found = (
+        rows.where(F.col(column).isNotNull())
+        .groupBy(F.floor((F.col(column) - low) / width))
+        .agg(F.min(column), F.max(column))
+        .collect()
+    )
+    return reduce(operator.or_, [F.col(column).between(a, b) for _, a, b in sorted(found)])
+
+
 def append_new(rows: DataFrame, root: str, name: str, batch: str) -> int:
     """Add the rows whose key is new; gives their number. For tables of narrow rows."""
     spark = rows.sparkSession
     table = TABLES[name]
     columns = StructType.fromDDL(table.schema).fieldNames()
     incoming = settle(one_per_key(rows.select(*columns), table.key))
-    low, high = incoming.agg(F.min("job_id"), F.max("job_id")).first()
-    if low is None:
-        return write_batch(incoming, root, name, batch)
-    # Only rows in the id range of the batch can conflict with it, and the scan
+    # Only rows in the key ranges of the batch can conflict with it, and the scan
     # skips the rest by the statistics in the files.
-    stored = _other_batches(spark, root, name, batch).where(F.col("job_id").between(low, high))
+    stored = other_batches(spark, root, name, batch).where(spans(incoming, table.key[0]))
     fresh = incoming.join(stored.select(*table.key), list(table.key), "left_anti")
     return write_batch(fresh.select(*columns), root, name, batch)
 
@@ -89,7 +114,7 @@ def append_logs(jobs: DataFrame, logs: DataFrame, root: str, batch: str) -> int:
     out between ids alone, and the logs are then read once.
     """
     spark = logs.sparkSession
-    stored = _other_batches(spark, root, "job_log", batch).select("job_id")
+    stored = other_batches(spark, root, "job_log", batch).select("job_id")
     waiting = JobIds(jobs.select("job_id").join(stored, "job_id", "left_anti"))
     fresh = waiting.select_from(logs)
     added = write_batch(with_norm(fresh.select("job_id", "trace")), root, "job_log", batch)

@@ -1,39 +1,21 @@
-"""The retry budget over streams, in two forms.
+"""The retry budget over streams: counts in the store, each batch decided by the
+distributed operator.
 
-``retry_budget_stream`` keeps the counts as keyed state and handles the commands
-of a lineage in one task. ``retry_budget_batches`` keeps them in the store and
-decides each batch with the distributed operator, which suits triggers in which
-one lineage may hold a large part of the commands.
+A command (root, ts, seq) is taken once. The commands of a trigger are put in the order of
+(ts, seq) and follow those of earlier triggers, whatever their time; a count is forgotten by
+a clear, a refusal or a failed request only. Counts belong to a stream name, and one stream
+of a name writes at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from failsift.operators.retry import MAX_RETRIES, count_commands
-from failsift.schemas import RETRY_DECISION
+from failsift.operators.retry import count_commands, retry_lineage
 from failsift.session import settle
-from failsift.sources.store import read_table, write_batch
-
-_FORGET_AFTER_MS = 30 * 24 * 3600 * 1000
-
-
-def retry_budget_stream(commands: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Decisions for a stream of (root, ts, seq, cmd, accepted).
-
-    The state of a lineage is its count alone. It is dropped with the count, or
-    30 days of event time after the last command. The commands of one lineage
-    within a trigger are bounded by what the source admits per trigger, and are
-    put in the order of (ts, seq) there. Commands later than the watermark are
-    dropped.
-    """
-    return decide_stream(_command_rows(commands).withWatermark("ts", delay))
+from failsift.sources.store import append_new, other_batches, read_batch, read_table, write_batch
 
 
 def _command_rows(commands: DataFrame) -> DataFrame:
@@ -41,63 +23,11 @@ def _command_rows(commands: DataFrame) -> DataFrame:
     return rows.select("root", "ts", "seq", "cmd", "accepted")
 
 
-def decide_stream(commands: DataFrame) -> DataFrame:
-    """The decisions for commands that already carry a watermark on ``ts``."""
-    return commands.groupBy("root").applyInPandasWithState(
-        _decider(MAX_RETRIES, _FORGET_AFTER_MS),
-        RETRY_DECISION,
-        "used INT",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
+def retry_budget_stream(commands: DataFrame, root: str, checkpoint: str, name: str = "budget") -> DataStreamWriter:
+    """The writer of the decisions for a stream of (root, ts, seq, cmd, accepted) into the store."""
 
-def _decider(budget: int, forget_after_ms: int) -> Callable:
-    """The state function, made here so that it travels to the workers as a whole."""
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(batches).sort_values(["ts", "seq"])
-        used = state.get[0] if state.exists else 0
-        decisions, left = [], []
-        for cmd, accepted in zip(rows["cmd"], rows["accepted"]):
-            decision, remaining = None, None
-            if cmd == "clear":
-                used = 0
-            elif used >= budget:
-                decision, used = "exceeded", 0
-            elif not accepted:
-                decision, used = "request_failed", 0
-            else:
-                used += 1
-                decision, remaining = "retry", budget - used
-            decisions.append(decision)
-            left.append(remaining)
-        if used:
-            last_ms = int(rows["ts"].max().timestamp() * 1000)
-            state.update((used,))
-            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + forget_after_ms)
-        elif state.exists:
-            state.remove()
-        out = rows[["ts", "seq"]].assign(
-            root=key[0], decision=decisions, retries_remaining=pd.array(left, dtype="Int64")
-        )
-        out = out.loc[out["decision"].notna(), ["root", "ts", "seq", "decision", "retries_remaining"]]
-        if len(out):
-            yield out
-
-    return decide
-
-
-def retry_budget_batches(
-    commands: DataFrame, root: str, checkpoint: str, name: str = "budget"
-) -> DataStreamWriter:
-    """The writer of the decisions of a command stream into the store."""
-
-    def record(batch: DataFrame, batch_id: int) -> None:
-        record_decisions(batch, root, batch_id, name)
+    def record(batch: DataFrame, batch_no: int) -> None:
+        record_decisions(batch, root, batch_no, name)
 
     return (
         _command_rows(commands)
@@ -108,34 +38,79 @@ def retry_budget_batches(
 
 
 def record_decisions(commands: DataFrame, root: str, batch_no: int, name: str) -> None:
-    """Decide one batch on top of the counts that earlier batches left.
+    """Decide one batch on top of the counts that earlier batches of the stream left.
 
     A count of n is put before the batch as n granted retries; that is ten rows
     per lineage at most.
     """
-    commands = settle(commands)
-    lineages = commands.select("root").distinct()
+    spark, label = commands.sparkSession, f"{name}-{batch_no}"
+    append_new(_command_rows(commands), root, "budget_command", label)
+    fresh = settle(read_batch(spark, root, "budget_command", label))
+    lineages = fresh.select("root").distinct()
     counts = (
-        read_table(commands.sparkSession, root, "lineage_count")
-        .where(F.col("batch_no") < batch_no)
+        read_table(spark, root, "lineage_count")
+        .where((F.col("stream") == name) & (F.col("batch_no") < batch_no))
         .join(lineages, "root", "left_semi")
         .groupBy("root")
         .agg(F.max_by("used", "batch_no").alias("used"))
         .where(F.col("used") > 0)
     )
-    replayed = counts.select(
+    first = fresh.groupBy("root").agg(F.min("ts").alias("first"))
+    replayed = counts.join(first, "root").select(
         "root",
-        F.timestamp_seconds(F.lit(0)).alias("ts"),
+        (F.col("first") - F.expr("INTERVAL 1 SECOND")).alias("ts"),
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("used"))).alias("seq"),
         F.lit("retry").alias("cmd"),
         F.lit(True).alias("accepted"),
     )
-    rows = commands.withColumn("new", F.lit(True)).unionByName(replayed.withColumn("new", F.lit(False)))
+    rows = fresh.withColumn("new", F.lit(True)).unionByName(replayed.withColumn("new", F.lit(False)))
     counted = settle(count_commands(rows))
     decided = counted.where(F.col("new") & F.col("decision").isNotNull())
     after = counted.groupBy("root").agg(F.max_by("used", F.struct("ts", "seq")).alias("used"))
-    label = f"{name}-{batch_no}"
     write_batch(
         decided.select("root", "ts", "seq", "decision", "retries_remaining"), root, "retry_decision", label
     )
-    write_batch(after.withColumn("batch_no", F.lit(batch_no).cast("bigint")), root, "lineage_count", label)
+    number = F.lit(batch_no).cast("bigint")
+    write_batch(
+        after.select("root", "used", F.lit(name).alias("stream"), number.alias("batch_no")), root, "lineage_count", label
+    )
+
+
+def record_links(links: DataFrame, root: str, batch: str) -> None:
+    """Add retry responses (job_id, new_job_id) and the roots of the jobs they created.
+
+    A root is the first job known of a lineage; :func:`roots_of` follows it on if an
+    earlier link came later.
+    """
+    spark = links.sparkSession
+    append_new(links, root, "retry_link", batch)
+    fresh = settle(read_batch(spark, root, "retry_link", batch))
+    found = retry_lineage(fresh).where("depth > 0").select("job_id", "root")
+    append_new(found, root, "job_root", batch)
+
+
+def roots_of(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
+    """(job_id, root) for distinct ``jobs`` (job_id), by as many steps as links came in batches."""
+    known = read_table(spark, root, "job_root").select(F.col("job_id").alias("root"), F.col("root").alias("next"))
+    found = settle(jobs.select("job_id", F.col("job_id").alias("root")))
+    while True:
+        moved = settle(found.join(known, "root", "left").select("job_id", "next", "root"))
+        if moved.where("next IS NOT NULL").isEmpty():
+            return found
+        found = moved.select("job_id", F.coalesce("next", "root").alias("root"))
+
+
+def decide_batch(commands: DataFrame, links: DataFrame, root: str, name: str, batch_no: int) -> None:
+    """Decide the job-level commands (job_id, ts, cmd) of one batch.
+
+    ``links`` has the responses known so far; a retry without one counts as failed.
+    """
+    spark, label = commands.sparkSession, f"{name}-{batch_no}"
+    record_links(links.join(other_batches(spark, root, "retry_link", label), "job_id", "left_anti"), root, label)
+    answered = read_table(spark, root, "retry_link").select("job_id", F.lit(True).alias("accepted"))
+    rooted = (
+        commands.join(roots_of(spark, root, commands.select("job_id").distinct()), "job_id")
+        .join(answered, "job_id", "left")
+        .select("root", "ts", F.col("job_id").alias("seq"), "cmd", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    )
+    record_decisions(rooted, root, batch_no, name)

@@ -1,51 +1,105 @@
-"""The triage flow as a streaming query."""
+"""The triage flow as a streaming query.
+
+No event is lost by time: events are told apart by the keys of the store, and an event whose
+job record, project or log is not there yet waits in the store and is tried at every trigger.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from failsift.operators import decode, enrich
+from failsift.operators import decode, enrich, retry
 from failsift.operators.sizing import JobIds
 from failsift.plans.triage import judge
 from failsift.session import settle
-from failsift.sources.store import append_logs, append_new, read_table
+from failsift.sources.store import append_logs, append_new, read_batch, read_table, write_batch
+from failsift.streaming.budget import decide_batch
+
+_EVENT = ["build_id", "build_status", "project_id", "build_finished_at"]
+
 
+def unique_events(events: DataFrame, root: str, checkpoint: str, name: str = "events") -> DataStreamWriter:
+    """The writer that adds each finished event (job, status) to the store once, however
+    often and however late it is delivered."""
+
+    def record(batch: DataFrame, batch_no: int) -> None:
+        append_new(batch, root, "event", f"{name}-{batch_no}")
 
-def unique_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Finished events, each (job, status) once however often it is delivered."""
     return (
         decode.finished(events)
-        .withWatermark("build_finished_at", delay)
-        .dropDuplicatesWithinWatermark(["build_id", "build_status"])
+        .writeStream.foreachBatch(record)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
     )
 
 
+def waiting_events(spark: SparkSession, root: str, name: str, batch_no: int) -> DataFrame:
+    """The events that the stream left waiting before a batch."""
+    earlier = read_table(spark, root, "pending_event").where(
+        (F.col("stream") == name) & (F.col("batch_no") < batch_no)
+    )
+    last = earlier.agg(F.max("batch_no")).first()[0]
+    return earlier.where((F.col("batch_no") == F.lit(last)) & F.col("build_id").isNotNull()).select(*_EVENT)
+
+
 def record_batch(
-    events: DataFrame, jobs: DataFrame, projects: DataFrame, logs: DataFrame, root: str, batch: str
+    events: DataFrame,
+    jobs: DataFrame,
+    projects: DataFrame,
+    logs: DataFrame,
+    root: str,
+    name: str,
+    batch_no: int,
+    links: DataFrame | None = None,
 ) -> None:
-    """Index, classify and record one batch of finished events.
+    """Index, classify and record one batch of finished events and those that wait.
 
     The batch is bounded by what the source admits per trigger. The job records
     are cut to its ids before they are joined. The raw logs are read once, into
-    the store, and classified from there.
+    the store, and classified from there. An event is complete when its job
+    record and project are there and, for a failed job, its log; one whose record
+    has no finish time cannot be enriched and is complete as well. Every complete
+    event sends a retry or a clear. Given the retry responses so far, the commands
+    are decided too.
     """
-    events = settle(events)
-    if events.isEmpty():
+    spark, batch = events.sparkSession, f"{name}-{batch_no}"
+    append_new(events, root, "event", batch)
+    work = settle(read_batch(spark, root, "event", batch).union(waiting_events(spark, root, name, batch_no)))
+    if work.isEmpty():
         return
-    ids = JobIds(events.select(F.col("build_id").alias("job_id")))
+    ids = JobIds(work.select(F.col("build_id").alias("job_id")))
     batch_jobs = settle(ids.select_from(jobs))
-    done = settle(enrich.finished_jobs(events, batch_jobs, projects))
+    done = settle(enrich.finished_jobs(work, batch_jobs, projects))
     stored_jobs = batch_jobs.join(done.select("job_id"), "job_id", "left_semi")
     append_new(enrich.index_rows(stored_jobs), root, "job", batch)
     append_logs(done, logs, root, batch)
-    stored_logs = read_table(events.sparkSession, root, "job_log").select("job_id", "trace")
-    result = judge(done, stored_logs)
+    stored_logs = read_table(spark, root, "job_log").select("job_id", "trace")
+    with_log = ids.semi_join(stored_logs.select("job_id"))
+    failed = F.col("build_status") == "failed"
+    complete = settle(
+        done.where(~failed).unionByName(done.where(failed).join(with_log, "job_id", "left_semi"))
+    )
+    broken = settle(enrich.without_finish_time(work, batch_jobs))
+    result = judge(complete, stored_logs)
     append_new(result.failures, root, "ci_failure", batch)
-    append_new(result.commands, root, "retry_command", batch)
+    append_new(result.commands.unionByName(retry.clear_commands(broken)), root, "retry_command", batch)
+    handled = complete.select(F.col("job_id").alias("build_id"), "build_status").union(
+        broken.select("build_id", "build_status")
+    )
+    left = work.join(handled, ["build_id", "build_status"], "left_anti").select(
+        *_EVENT, F.lit(name).alias("stream"), F.lit(batch_no).cast("bigint").alias("batch_no")
+    )
+    # A row without event says that this batch has been here, also when nothing waits.
+    mark = left.sparkSession.range(1).select(
+        *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in _EVENT], F.lit(name), F.lit(batch_no).cast("bigint")
+    )
+    write_batch(left.union(mark), root, "pending_event", batch)
+    if links is not None:
+        decide_batch(read_batch(spark, root, "retry_command", batch), links, root, name, batch_no)
 
 
 def triage_stream(
@@ -56,17 +110,19 @@ def triage_stream(
     root: str,
     checkpoint: str,
     name: str = "triage",
+    links: Callable[[], DataFrame] | None = None,
 ) -> DataStreamWriter:
     """The writer of the streaming triage; the caller sets the trigger and starts it.
 
     The side tables are read anew for every batch, as they grow while the stream runs.
     """
 
-    def record(batch: DataFrame, batch_id: int) -> None:
-        record_batch(batch, jobs(), projects(), logs(), root, f"{name}-{batch_id}")
+    def record(batch: DataFrame, batch_no: int) -> None:
+        responses = links() if links else None
+        record_batch(batch, jobs(), projects(), logs(), root, name, batch_no, responses)
 
     return (
-        unique_events(events)
+        decode.finished(events)
         .writeStream.foreachBatch(record)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

@@ -5,16 +5,10 @@ from pyspark.sql import functions as F
 
 from failsift.operators import decode, hooks, index, loglines, search
 from failsift.operators.classify import classify, unclassified
-from failsift.operators.retry import retry_budget
 from failsift.plans.triage import triage
 from failsift.sources import files, store
-from failsift.streaming.budget import (
-    decide_stream,
-    record_decisions,
-    retry_budget_batches,
-    retry_budget_stream,
-)
-from failsift.streaming.triage import triage_stream, unique_events
+from failsift.streaming.budget import decide_batch, record_decisions, retry_budget_stream, roots_of
+from failsift.streaming.triage import record_batch, triage_stream, unique_events, waiting_events
 from tests.test_retry import decisions, frame, random_commands, simulate
 
 START = datetime(2024, 1, 1)
@@ -76,6 +70,7 @@ def test_triage_stream_with_redelivery_and_restart(spark, tmp_path):
     assert stored.count() == stored.select("job_id", "type").distinct().count()
     commands = {r.job_id: r.cmd for r in store.read_table(spark, root, "retry_command").collect()}
     assert commands == {0: "retry", 1: "clear", 2: "clear", 3: "retry", 4: "retry", 6: "retry"}
+    assert waiting_events(spark, root, "triage", 99).isEmpty()
     done = [0, 1, 2, 3, 4, 6]
     assert sorted(r.job_id for r in store.read_table(spark, root, "job").collect()) == done
     assert sorted(r.job_id for r in store.read_table(spark, root, "job_log").collect()) == done
@@ -88,40 +83,116 @@ def run_to_table(stream, tmp_path, name):
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def test_a_redelivered_event_is_dropped(spark, tmp_path):
-    inbox = tmp_path / "events"
+def test_an_event_is_stored_once_however_late(spark, tmp_path):
+    inbox, root = tmp_path / "events", str(tmp_path / "store")
+    store.init_store(spark, root)
     write_events(inbox, "1.json", [event(1), event(2), event(1), event(1, "success")])
-    write_events(inbox, "2.json", [event(2), event(3, minute=5)])
+    write_events(inbox, "2.json", [event(2), event(3, minute=60 * 24 * 90)])
+    write_events(inbox, "3.json", [event(2), event(4, minute=5), event(1)])
     events = decode.job_events(files.payload_stream(spark, str(inbox), files_per_trigger=1))
-    got = run_to_table(unique_events(events), tmp_path, "unique")
-    assert sorted((r.build_id, r.build_status) for r in got.collect()) == [
+    unique_events(events, root, str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    got = store.read_table(spark, root, "event").collect()
+    assert sorted((r.build_id, r.build_status) for r in got) == [
         (1, "failed"),
         (1, "success"),
         (2, "failed"),
         (3, "failed"),
+        (4, "failed"),
     ]
 
 
-def test_streamed_budget_equals_batch_over_a_restart(spark, tmp_path):
-    rows = sorted(random_commands(4, 400, 4, clears=0.03, failures=0.03), key=lambda r: (r[1], r[2]))
-    inbox = tmp_path / "commands"
-    parts = [rows[:150], rows[150:151], rows[151:300], rows[300:]]
+def side_tables(spark, jobs, with_log, projects=((1, "a"), (2, "b")), blob=None):
+    blobs = spark.createDataFrame([((blob or job_blob)(i),) for i in jobs], "job_blob STRING")
+    return (
+        decode.job_records(blobs),
+        spark.createDataFrame(list(projects), "project_id BIGINT, project_path STRING"),
+        spark.createDataFrame([(i, "MoveFileEx") for i in with_log], "job_id BIGINT, trace STRING"),
+    )
 
-    def put(numbers):
-        for n in numbers:
-            frame(spark, parts[n]).coalesce(1).write.parquet(str(inbox / f"part={n}"))
 
-    def run():
-        schema = frame(spark, []).schema
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(inbox / "part=*"))
-        return run_to_table(retry_budget_stream(stream), tmp_path, "decisions")
+def finished_events(spark, events):
+    return decode.job_events(spark.createDataFrame([(json.dumps(e),) for e in events], "payload STRING"))
 
-    put([0, 1])
-    run()
-    put([2, 3])
-    got = decisions(run())
-    assert got == simulate(rows)
-    assert got == decisions(retry_budget(frame(spark, rows)))
+
+def test_events_far_out_of_order_are_all_handled(spark, tmp_path):
+    root = str(tmp_path)
+    store.init_store(spark, root)
+    tables = side_tables(spark, range(4), range(4))
+    for n, hour in enumerate((10, 11, 12, 0)):
+        record_batch(finished_events(spark, [event(n, minute=60 * hour)]), *tables, root, "t", n)
+    for name in ("job", "job_log", "ci_failure", "retry_command"):
+        assert {r.job_id for r in store.read_table(spark, root, name).collect()} == {0, 1, 2, 3}
+
+
+def test_events_wait_for_record_project_and_log(spark, tmp_path):
+    root = str(tmp_path)
+    store.init_store(spark, root)
+    waits = lambda n: sorted(r.build_id for r in waiting_events(spark, root, "t", n).collect())
+    commands = lambda: {r.job_id: r.cmd for r in store.read_table(spark, root, "retry_command").collect()}
+    events = finished_events(spark, [event(0), event(1), event(2, project_id=3), event(3, "success"), event(4)])
+    none = finished_events(spark, [event(0)]).limit(0)
+    unfinished = lambda i: json.dumps(json.loads(job_blob(i)) | ({"finished_at": None} if i == 4 else {}))
+    record_batch(events, *side_tables(spark, [0, 2, 3, 4], [2, 3], blob=unfinished), root, "t", 0)
+    assert waits(1) == [0, 1, 2] and commands() == {3: "clear", 4: "clear"}
+    record_batch(none, *side_tables(spark, [0, 1, 2], [0, 2]), root, "t", 1)
+    assert waits(2) == [1, 2] and commands() == {0: "retry", 3: "clear", 4: "clear"}
+    for _ in range(2):  # a batch that runs again changes nothing
+        record_batch(none, *side_tables(spark, [0, 1, 2], [0, 1, 2], [(1, "a"), (2, "b"), (3, "c")]), root, "t", 2)
+        assert waits(3) == [] and commands() == {0: "retry", 1: "retry", 2: "retry", 3: "clear", 4: "clear"}
+    assert store.read_table(spark, root, "ci_failure").select("job_id").distinct().count() == 3
+
+
+def command_rows(spark, rows):
+    return spark.createDataFrame(
+        [(r, START + timedelta(days=d), q, c, True) for r, d, q, c in rows],
+        "root BIGINT, ts TIMESTAMP, seq BIGINT, cmd STRING, accepted BOOLEAN",
+    )
+
+
+def decided(spark, root):
+    return {(r.root, r.seq): (r.decision, r.retries_remaining) for r in store.read_table(spark, root, "retry_decision").collect()}
+
+
+def test_a_count_is_not_forgotten_with_time(spark, tmp_path):
+    root = str(tmp_path)
+    store.init_store(spark, root)
+    record_decisions(command_rows(spark, [(1, 0, i, "retry") for i in range(10)]), root, 0, "b")
+    record_decisions(command_rows(spark, [(1, 70, 10, "retry"), (1, -70, 11, "retry")]), root, 1, "b")
+    got = decided(spark, root)
+    # Within a trigger the earlier time comes first.
+    assert got[1, 9] == ("retry", 0) and got[1, 11] == ("exceeded", None) and got[1, 10] == ("retry", 9)
+
+
+def test_streams_of_other_names_do_not_share_counts_and_a_command_counts_once(spark, tmp_path):
+    root = str(tmp_path)
+    store.init_store(spark, root)
+    record_decisions(command_rows(spark, [(1, 0, i, "retry") for i in range(9)]), root, 0, "a")
+    record_decisions(command_rows(spark, [(1, 1, 100 + i, "retry") for i in range(3)]), root, 1, "b")
+    assert [decided(spark, root)[1, 100 + i] for i in range(3)] == [("retry", 9), ("retry", 8), ("retry", 7)]
+    record_decisions(command_rows(spark, [(1, 0, 3, "retry"), (1, 2, 9, "retry")]), root, 1, "a")
+    got = decided(spark, root)
+    assert got[1, 9] == ("retry", 0) and got[1, 3] == ("retry", 6)
+    assert store.read_table(spark, root, "retry_decision").count() == 13
+
+
+def test_lineages_from_links_that_come_in_any_order(spark, tmp_path):
+    root = str(tmp_path)
+    store.init_store(spark, root)
+    link = lambda *rows: spark.createDataFrame(list(rows), "job_id BIGINT, new_job_id BIGINT")
+    at = lambda *rows: spark.createDataFrame([(j, START, c) for j, c in rows], "job_id BIGINT, ts TIMESTAMP, cmd STRING")
+    decide_batch(at((1, "retry"), (3, "retry")), link((1, 2), (3, 4)), root, "t", 0)
+    decide_batch(at((2, "retry"), (4, "retry"), (9, "retry")), link((1, 2), (3, 4), (2, 3), (4, 5)), root, "t", 1)
+    jobs = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 9)], "job_id BIGINT")
+    assert {r.job_id: r.root for r in roots_of(spark, root, jobs).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9}
+    got = decided(spark, root)
+    assert got[1, 2] == ("retry", 8) and got[1, 4] == ("retry", 7) and got[9, 9] == ("request_failed", None)
+
+
+def run_to_table(stream, tmp_path, name):
+    out = str(tmp_path / name)
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-progress"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def test_budget_batches_equal_batch_over_a_restart(spark, tmp_path):
@@ -137,7 +208,7 @@ def test_budget_batches_equal_batch_over_a_restart(spark, tmp_path):
     def run():
         schema = frame(spark, []).schema
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(inbox / "part=*"))
-        writer = retry_budget_batches(stream, root, str(tmp_path / "progress"))
+        writer = retry_budget_stream(stream, root, str(tmp_path / "progress"))
         writer.trigger(availableNow=True).start().awaitTermination()
 
     put([0, 1])
@@ -156,22 +227,6 @@ def test_budget_batches_equal_batch_over_a_restart(spark, tmp_path):
     assert store.read_table(spark, root, "retry_decision").count() == written
 
 
-def test_commands_may_follow_deduplication(spark, tmp_path):
-    inbox = tmp_path / "events"
-    twelve = [event(i, minute=i) for i in range(12)]
-    write_events(inbox, "1.json", twelve + twelve[:3])
-    events = decode.job_events(files.payload_stream(spark, str(inbox)))
-    commands = unique_events(events).select(
-        F.lit(1).cast("bigint").alias("root"),
-        F.col("build_finished_at").alias("ts"),
-        F.col("build_id").alias("seq"),
-        F.lit("retry").alias("cmd"),
-        F.lit(True).alias("accepted"),
-    )
-    got = decisions(run_to_table(decide_stream(commands), tmp_path, "chained"))
-    assert [got[i][0] for i in range(12)] == ["retry"] * 10 + ["exceeded", "retry"]
-
-
 def test_the_same_operators_run_on_streams(spark, tmp_path):
     inbox = tmp_path / "logs"
     rows = [(1, None, "MoveFileEx\nx"), (2, "runner_system_failure", "fine"), (3, None, "échec total")]

@@ -191,15 +191,15 @@ _SETTINGS = """'http://127.0.0.1:8080/hook' AS url, true AS job_events, false AS
 _HOOKED = "SELECT 1 FROM hook h WHERE h.project_id = p.project_id AND contains(h.url, ':8080')"
 
 
-def _budget(commands: str) -> dict[str, str]:
+def _budget(commands: str, order: str = "ts, seq") -> dict[str, str]:
     """The budget by two passes of window functions: runs between resets, then the place in the run."""
     return {
         "runs": f"""
 SELECT *, coalesce(sum(CASE WHEN cmd = 'clear' OR NOT accepted THEN 1 ELSE 0 END) OVER (
-    PARTITION BY root ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+    PARTITION BY root ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
 FROM {commands}""",
-        "placed": """
-SELECT *, (row_number() OVER (PARTITION BY root, run ORDER BY ts, seq) - 1) % 11 AS used
+        "placed": f"""
+SELECT *, (row_number() OVER (PARTITION BY root, run ORDER BY {order}) - 1) % 11 AS used
 FROM runs WHERE cmd = 'retry'""",
         "decided": """
 SELECT *, CASE WHEN used >= 10 THEN 'exceeded' WHEN NOT accepted THEN 'request_failed' ELSE 'retry' END AS decision,
@@ -492,10 +492,38 @@ ORACLE: dict[str, str] = {
         "job_event", "SELECT * FROM event WHERE build_finished_at IS NOT NULL", event=_EVENT
     ),
     "stream_retry": with_views(
-        "retry_cmd", "SELECT root, ts, seq, decision, retries_remaining FROM decided", **_budget("retry_cmd")
+        "retry_cmd",
+        "SELECT root, ts, seq, decision, retries_remaining FROM decided",
+        **_budget("retry_cmd", "seq % 4, ts, seq"),
     ),
     "stream_retry_batches": with_views(
         "retry_cmd", "SELECT root, ts, seq, decision, retries_remaining FROM decided", **_budget("retry_cmd")
     ),
     "stream_triage": with_views(_ENRICHED_VIEWS, _FAILURE_ROWS, **_ENRICHED),
+    "stream_pending": with_views(
+        "job_event job project",
+        "SELECT e.* FROM event e LEFT JOIN decoded j ON j.job_id = e.build_id LEFT JOIN projects p USING (project_id) "
+        "WHERE e.build_finished_at IS NOT NULL AND (j.job_id IS NULL OR (j.finished_at IS NOT NULL "
+        "AND (p.project_id IS NULL OR (e.build_status = 'failed' AND e.build_id % 7 = 0))))",
+        event=_EVENT,
+        decoded=_DECODED,
+        projects=_PROJECTS,
+    ),
+    "stream_triage_decisions": _recursive(
+        with_views(
+            f"{_ENRICHED_VIEWS} retry_response",
+            "SELECT root, ts, seq, decision, retries_remaining FROM decided",
+            **_ENRICHED,
+            link=_LINK,
+            lineage=_lineage("link"),
+            job_cmd="""
+SELECT job_id, finished_at AS ts, CASE WHEN build_status = 'failed' AND job_id IN (SELECT job_id FROM hit)
+  THEN 'retry' ELSE 'clear' END AS cmd FROM finished
+UNION ALL
+SELECT e.build_id, e.build_finished_at, 'clear' FROM event e JOIN decoded j ON j.job_id = e.build_id
+WHERE e.build_finished_at IS NOT NULL AND j.finished_at IS NULL""",
+            rooted=_ROOTED,
+            **_budget("rooted", "seq % 4, ts, seq"),
+        )
+    ),
 }

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from failsift.catalog import active_checks
 from failsift.functions.fields import canonical_json
@@ -19,8 +20,8 @@ from failsift.plans.triage import Triage, triage
 from failsift.session import settle, work_dir
 from failsift.sources import store
 from failsift.sources.files import log_urls
-from failsift.streaming.budget import retry_budget_batches, retry_budget_stream
-from failsift.streaming.triage import triage_stream, unique_events
+from failsift.streaming.budget import retry_budget_stream
+from failsift.streaming.triage import triage_stream, unique_events, waiting_events
 from workload.views import stream_view, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -483,51 +484,93 @@ def retry_bookkeeping(spark, sf):
 # Streams
 
 
-def _drain(stream: DataFrame, folder: str, name: str) -> DataFrame:
-    """Run a stream over all input there is, into a table."""
-    out = f"{folder}/{name}"
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress")
-    writer.trigger(availableNow=True).start(out).awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+def _arrive(rows: DataFrame, folder: str, start: Callable[[DataFrame], DataStreamWriter], parts: int = 4) -> None:
+    """Let rows arrive in parts by their ``number``, which is dropped; the stream is started anew for each."""
+    spark = rows.sparkSession
+    for part in range(parts):
+        rows.where(F.col("number") % parts == part).drop("number").write.parquet(f"{folder}/arrival={part}")
+        stream = spark.readStream.schema(rows.drop("number").schema).parquet(f"{folder}/arrival=*")
+        start(stream).trigger(availableNow=True).start().awaitTermination()
+
+
+def _arriving_events(spark, sf) -> DataFrame:
+    return view(spark, sf, "job_event").select("payload", F.col("event_id").alias("number"))
+
+
+def _fresh_store(spark, purpose: str) -> tuple[str, str]:
+    folder = work_dir(spark, purpose)
+    store.init_store(spark, f"{folder}/store")
+    return folder, f"{folder}/store"
 
 
 @query
 def stream_dedupe(spark, sf):
-    events = decode.job_events(stream_view(spark, sf, "events", "job_event").select("payload"))
-    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("build_id") % 5 == 0, 1).otherwise(0)))
-    redelivered = events.withColumn("copy", copies).drop("copy")
-    return _drain(unique_events(redelivered), work_dir(spark, "dedupe"), "events")
+    """Every fifth event comes again in each part, so most copies are far behind the newest."""
+    folder, root = _fresh_store(spark, "dedupe")
+    events = _arriving_events(spark, sf)
+    again = F.explode(F.when(F.col("number") % 5 == 0, F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0))))
+    delivered = events.withColumn("copy", again).select("payload", (F.col("number") + F.col("copy")).alias("number"))
+    _arrive(
+        delivered,
+        f"{folder}/events",
+        lambda stream: unique_events(decode.job_events(stream), root, f"{folder}/progress"),
+    )
+    return store.read_table(spark, root, "event").drop("batch")
 
 
 @query
 def stream_retry(spark, sf):
-    commands = stream_view(spark, sf, "events", "retry_cmd")
-    return _drain(retry_budget_stream(commands), work_dir(spark, "retry"), "decisions")
+    folder, root = _fresh_store(spark, "retry")
+    commands = view(spark, sf, "retry_cmd").withColumn("number", F.col("seq"))
+    _arrive(commands, f"{folder}/commands", lambda stream: retry_budget_stream(stream, root, f"{folder}/progress"))
+    return store.read_table(spark, root, "retry_decision").drop("batch")
 
 
 @query
 def stream_retry_batches(spark, sf):
-    folder = work_dir(spark, "retry")
-    root = f"{folder}/store"
-    store.init_store(spark, root)
+    folder, root = _fresh_store(spark, "retry")
     commands = stream_view(spark, sf, "events", "retry_cmd")
-    writer = retry_budget_batches(commands, root, f"{folder}/progress")
+    writer = retry_budget_stream(commands, root, f"{folder}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
     return store.read_table(spark, root, "retry_decision").drop("batch")
 
 
+def _triage_in_parts(spark, sf, landed=lambda logs, part: logs, links=None) -> str:
+    """The triage stream over events in four parts; ``landed`` cuts the logs that are there at a part."""
+    folder, root = _fresh_store(spark, "triage")
+    logs, part = view(spark, sf, "job_log").select("job_id", "trace"), iter(range(99))
+    _arrive(
+        _arriving_events(spark, sf),
+        f"{folder}/events",
+        lambda stream: triage_stream(
+            decode.job_events(stream),
+            jobs=lambda: _jobs(spark, sf),
+            projects=lambda: _projects(spark, sf),
+            logs=lambda: landed(logs, next(part)),
+            root=root,
+            checkpoint=f"{folder}/progress",
+            links=links,
+        ),
+    )
+    return root
+
+
 @query
 def stream_triage(spark, sf):
-    folder = work_dir(spark, "triage")
-    root = f"{folder}/store"
-    store.init_store(spark, root)
-    events = decode.job_events(stream_view(spark, sf, "events", "job_event").select("payload"))
-    triage_stream(
-        events,
-        jobs=lambda: _jobs(spark, sf),
-        projects=lambda: _projects(spark, sf),
-        logs=lambda: view(spark, sf, "job_log").select("job_id", "trace"),
-        root=root,
-        checkpoint=f"{folder}/progress",
-    ).trigger(availableNow=True).start().awaitTermination()
+    """Logs come up to three parts after their event."""
+    root = _triage_in_parts(spark, sf, lambda logs, part: logs.where(F.col("job_id") % 16 <= 5 * part + 1))
     return store.read_table(spark, root, "ci_failure").drop("batch")
+
+
+@query
+def stream_pending(spark, sf):
+    """Events that still wait when the logs of every seventh job never come."""
+    root = _triage_in_parts(spark, sf, lambda logs, part: logs.where(F.col("job_id") % 7 != 0))
+    return waiting_events(spark, root, "triage", 99)
+
+
+@query
+def stream_triage_decisions(spark, sf):
+    links = decode.retry_links(view(spark, sf, "retry_response"))
+    root = _triage_in_parts(spark, sf, links=lambda: links)
+    return store.read_table(spark, root, "retry_decision").drop("batch")
