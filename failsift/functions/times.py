@@ -14,7 +14,7 @@ DEFAULT_SPAN = timedelta(days=30)
 
 
 def event_time(text: Column) -> Column:
-    """``2022-12-22 09:30:51 UTC``; null for any other form."""
+    """``2024-02-29 23:59:01 UTC``; null for any other form."""
     stamp = F.regexp_replace(text, " UTC$", "Z")
     return F.when(text.rlike(_EVENT_FORM), _zoned(stamp))
 
@@ -38,7 +38,7 @@ def parse_day(text: str) -> datetime:
     try:
         return datetime.strptime(text.strip(), "%Y-%m-%d").replace(tzinfo=timezone.utc)
     except ValueError:
-        raise ValueError(f"Invalid date format for: {text}") from None
+        raise ValueError(f"not a day of the form YYYY-MM-DD: {text}") from None
 
 
 def parse_moment(text: str) -> datetime:
@@ -48,7 +48,7 @@ def parse_moment(text: str) -> datetime:
     except ValueError:
         moment = None
     if moment is None or moment.tzinfo is None:
-        raise ValueError(f"Could not parse date {text}")
+        raise ValueError(f"not a moment with a zone: {text}")
     return moment.astimezone(timezone.utc)
 
 

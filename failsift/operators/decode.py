@@ -147,6 +147,18 @@ def retry_links(raw: DataFrame, payload: str = "payload") -> DataFrame:
     ).where(F.col("new_job_id").isNotNull())
 
 
+def rejected_projects(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """The raw rows :func:`projects` leaves out."""
+    project = F.from_json(payload, schemas.PROJECT)
+    whole = project["id"].isNotNull() & project["path_with_namespace"].isNotNull()
+    return raw.where(~F.coalesce(whole, F.lit(False)))
+
+
+def rejected_responses(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """The raw rows :func:`retry_links` leaves out: failed requests and texts it cannot read."""
+    return raw.where(F.from_json(payload, schemas.RETRY_RESULT)["id"].isNull())
+
+
 def reason_kind(reason: Column) -> Column:
     """Named failure reasons by name, any other text as ``other``."""
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failsift.operators.sizing import JobIds
+from failsift.session import settle
 
 
 def grep(logs: DataFrame, pattern: str) -> DataFrame:
@@ -40,11 +41,12 @@ def grep_jobs(logs: DataFrame, ids: DataFrame, pattern: str) -> DataFrame:
     """Grep over the logs of the selected jobs, in reverse lexical order of the ids.
 
     A short selection picks the logs before they are searched. A long one is
-    joined with the lines found, so that no join ever moves a whole log.
+    joined with the lines found, so that no join ever moves a whole log. The
+    lines are stored before they are sorted, as the sort takes a sample first.
     """
     wanted = JobIds(ids)
     chosen = wanted.pick(logs)
-    lines = wanted.semi_join(grep(logs, pattern)) if chosen is None else grep(chosen, pattern)
+    lines = settle(wanted.semi_join(grep(logs, pattern)) if chosen is None else grep(chosen, pattern))
     return lines.orderBy(F.col("job_id").cast("string").desc(), "line_no")
 
 
@@ -78,6 +80,42 @@ def stat_test_kinds(tests: DataFrame, definitions: DataFrame) -> DataFrame:
         F.coalesce(F.sum("stats"), F.lit(0)).alias("stats"),
         F.coalesce(F.sum("compiler"), F.lit(0)).alias("compiler"),
     )
+    return _by_kind(totals)
+
+
+CONTEXT_LINES = 3
+
+
+def stat_tests_from_source(lines: DataFrame, tests: DataFrame) -> DataFrame:
+    """Kinds of stat tests, counted in source lines (file, line_no, text).
+
+    A line that speaks of collecting counts for a test if the name of the test stands as
+    a word in it or in one of the three lines before it; once per test and line.
+    """
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    named = (
+        lines.select("file", "line_no", F.explode(words).alias("test_name"))
+        .join(tests.select("test_name").distinct(), "test_name", "left_semi")
+        .select(
+            "file",
+            "test_name",
+            F.explode(F.transform(F.sequence(F.lit(0), F.lit(CONTEXT_LINES)), lambda i: F.col("line_no") + i)).alias("line_no"),
+        )
+        .distinct()
+    )
+    collecting = lines.where(F.col("text").contains("collect_")).select(
+        "file",
+        "line_no",
+        F.col("text").contains("collect_stats").cast("long").alias("stats"),
+        F.col("text").contains("collect_compiler").cast("long").alias("compiler"),
+    )
+    totals = named.join(collecting, ["file", "line_no"]).agg(
+        F.coalesce(F.sum("stats"), F.lit(0)).alias("stats"), F.coalesce(F.sum("compiler"), F.lit(0)).alias("compiler")
+    )
+    return _by_kind(totals)
+
+
+def _by_kind(totals: DataFrame) -> DataFrame:
     return totals.select(
         F.inline(
             F.array(

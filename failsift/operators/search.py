@@ -71,6 +71,10 @@ def is_search(keyword: str | None) -> bool:
     return keyword not in (None, "", '""')
 
 
+def has_tokens(text: str) -> bool:
+    return bool(terms_of(text))
+
+
 def found_jobs(jobs: DataFrame, found: DataFrame) -> DataFrame:
     """(job_id, created_at) of every found job; no other column enters the join."""
     created = (

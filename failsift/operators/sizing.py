@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,21 @@ class JobIds:
     def semi_join(self, narrow: DataFrame) -> DataFrame:
         return narrow.join(self.rows, "job_id", "left_semi")
 
-    def select_from(self, wide: DataFrame) -> DataFrame:
-        """The rows with these ids, by whichever way the size of the set allows."""
-        picked = self.pick(wide)
-        return self.semi_join(wide) if picked is None else picked
+    def select_from(self, wide: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
+        """The rows with these ids. A set too long for one broadcast is cut into ranges
+        that are sent one by one, each to the part of ``wide`` in its range, so the
+        wide rows stay where they are whatever the length of the set."""
+        picked = self.pick(wide, limit)
+        if picked is not None:
+            return picked
+        parts = 2 * (self.count // limit + 1)
+        cuts = self.rows.select(
+            F.percentile_approx("job_id", [i / parts for i in range(1, parts)], 100 * parts)
+        ).first()[0]
+        bounds = sorted({self.low - 1, *cuts, self.high})
+        ranges = [(low + 1, high) for low, high in zip(bounds, bounds[1:])]
+        return reduce(DataFrame.unionByName, (self._in_range(wide, *r) for r in ranges))
+
+    def _in_range(self, wide: DataFrame, low: int, high: int) -> DataFrame:
+        in_range = F.col("job_id").between(low, high)
+        return wide.where(in_range).join(F.broadcast(self.rows.where(in_range)), "job_id", "left_semi")

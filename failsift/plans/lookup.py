@@ -19,11 +19,12 @@ def find(
 
     A text is taken as one phrase, a column as a condition built with the search
     operators. Without a keyword there is no search, and the page is empty; ask
-    :func:`failsift.operators.search.is_search` to tell that from no results.
+    :func:`failsift.operators.search.is_search` to tell that from no results. A text
+    without a letter or digit is a phrase that no log holds.
     """
     if isinstance(keyword, Column):
         condition = keyword
-    elif search.is_search(keyword):
+    elif search.is_search(keyword) and search.has_tokens(keyword):
         condition = search.phrase(keyword)
     else:
         condition = F.lit(False)

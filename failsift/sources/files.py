@@ -43,22 +43,21 @@ def _log_files(spark: SparkSession, paths: Paths) -> DataFrame:
         spark.read.format("binaryFile")
         .load(paths)
         .select(_log_id(F.col("path")).alias("job_id"), "path", "content")
-        .where(F.col("job_id").isNotNull())
     )
 
 
 def logs(spark: SparkSession, paths: Paths) -> DataFrame:
     """(job_id, trace) of the log files that are valid UTF-8."""
-    files = _log_files(spark, paths)
+    files = _log_files(spark, paths).where(F.col("job_id").isNotNull())
     return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(
         "job_id", F.col("content").cast("string").alias("trace")
     )
 
 
 def rejected_logs(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(job_id, path) of the log files that are not valid UTF-8."""
-    files = _log_files(spark, paths)
-    return files.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("job_id", "path")
+    """(job_id, path) of the log files that are not valid UTF-8 or name no job."""
+    unread = F.col("job_id").isNull() | ~F.is_valid_utf8(F.col("content").cast("string"))
+    return _log_files(spark, paths).where(unread).select("job_id", "path")
 
 
 def job_listing(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -83,6 +82,12 @@ def job_listing(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
+def rejected_listing(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The lines that :func:`job_listing` leaves out, as ``job_blob``."""
+    lines = spark.read.text(paths).withColumnRenamed("value", "job_blob")
+    return lines.where(F.from_json("job_blob", schemas.JOB)["id"].isNull())
+
+
 def project_listing(spark: SparkSession, paths: Paths) -> DataFrame:
     """(project_id, path) of all listed projects."""
     return (

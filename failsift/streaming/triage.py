@@ -58,8 +58,9 @@ def record_batch(
 ) -> None:
     """Index, classify and record one batch of finished events and those that wait.
 
-    The batch is bounded by what the source admits per trigger. The job records
-    are cut to its ids before they are joined. The raw logs are read once, into
+    The batch is bounded by what the source admits per trigger. ``jobs`` has decoded
+    records or raw objects (job_id, job_blob); either are cut to the ids of the batch,
+    raw ones before they are parsed. The raw logs are read once, into
     the store, and classified from there. An event is complete when its job
     record and project are there and, for a failed job, its log; one whose record
     has no finish time cannot be enriched and is complete as well. Every complete
@@ -72,7 +73,8 @@ def record_batch(
     if work.isEmpty():
         return
     ids = JobIds(work.select(F.col("build_id").alias("job_id")))
-    batch_jobs = settle(ids.select_from(jobs))
+    chosen = ids.select_from(jobs)
+    batch_jobs = settle(chosen if "finished_at" in jobs.columns else decode.job_records(chosen))
     done = settle(enrich.finished_jobs(work, batch_jobs, projects))
     stored_jobs = batch_jobs.join(done.select("job_id"), "job_id", "left_semi")
     append_new(enrich.index_rows(stored_jobs), root, "job", batch)

@@ -10,19 +10,19 @@ EVENT = {
     "object_kind": "build",
     "build_id": 101,
     "build_status": "failed",
-    "build_finished_at": "2022-12-22 11:21:51 UTC",
+    "build_finished_at": "2025-03-09 04:05:06 UTC",
     "project_id": 1,
-    "runner": {"id": 584},
+    "runner": {"id": 31},
 }
 JOB = {
     "id": 7,
     "status": "failed",
-    "name": "x86_64-windows-validate",
-    "created_at": "2023-07-07T11:37:37.576Z",
-    "finished_at": "2023-07-07T19:30:53.227+02:00",
-    "failure_reason": "trace_size_exceeded",
+    "name": "build-and-check",
+    "created_at": "2025-03-08T22:10:20.125Z",
+    "finished_at": "2025-03-09T05:00:30.750+01:00",
+    "failure_reason": "some_other_reason",
     "web_url": "https://ci.example.org/a/b/-/jobs/7",
-    "runner": {"id": 142, "description": "win-2", "active": True},
+    "runner": {"id": 12, "description": "box-12", "active": True},
     "pipeline": {"source": "push"},
 }
 
@@ -53,7 +53,7 @@ def test_job_events(spark):
     good = {r.n: r for r in decode.job_events(raw).collect()}
     assert set(good) == {0, 1}
     assert good[0].build_id == 101 and good[0].project_id == 1
-    assert good[0].build_finished_at == datetime(2022, 12, 22, 11, 21, 51)
+    assert good[0].build_finished_at == datetime(2025, 3, 9, 4, 5, 6)
     assert good[1].build_finished_at is None
     assert {r.n for r in decode.rejected_events(raw).collect()} == set(range(2, 10))
     assert [r.n for r in decode.finished(decode.job_events(raw)).collect()] == [0]
@@ -68,16 +68,16 @@ def test_dispatch(spark):
 def test_system_events(spark):
     raw = payloads(
         spark,
-        {"event_name": "project_create", "project_id": 74, "owners": [{"name": "J"}]},
-        {"event_name": "project_destroy", "project_id": 73},
-        {"event_name": "user_destroy", "user_id": 41},
+        {"event_name": "project_create", "project_id": 15, "owners": [{"name": "K"}]},
+        {"event_name": "project_destroy", "project_id": 16},
+        {"event_name": "user_destroy", "user_id": 17},
         {"project_id": 5},
         {"event_name": 3, "project_id": 5},
         "not json",
     )
     got = {r.n: (r.kind, r.project_id) for r in decode.system_events(raw).collect()}
-    assert got[0] == ("project_create", 74)
-    assert got[1] == ("other_project", 73)
+    assert got[0] == ("project_create", 15)
+    assert got[1] == ("other_project", 16)
     assert all(got[n] == ("other", None) for n in (2, 3, 4, 5))
 
 
@@ -99,10 +99,10 @@ def test_job_records(spark):
     got = {r.job_id: r for r in decode.job_records(raw).collect()}
     assert set(got) == {7, 8, 9, 11}
     first = got[7]
-    assert (first.runner_id, first.runner_name) == (142, "win-2")
-    assert first.created_at == datetime(2023, 7, 7, 11, 37, 37, 576000)
-    assert first.finished_at == datetime(2023, 7, 7, 17, 30, 53, 227000)
-    assert first.failure_reason == "trace_size_exceeded"
+    assert (first.runner_id, first.runner_name) == (12, "box-12")
+    assert first.created_at == datetime(2025, 3, 8, 22, 10, 20, 125000)
+    assert first.finished_at == datetime(2025, 3, 9, 4, 0, 30, 750000)
+    assert first.failure_reason == "some_other_reason"
     assert first.job_blob == json.dumps(JOB, sort_keys=True, separators=(",", ":"))
     assert got[8].runner_id is None and got[9].runner_name is None and got[8].finished_at is None
     assert got[11].runner_id == 1 and got[11].runner_name is None
@@ -121,6 +121,8 @@ def test_projects_and_retry_links(spark):
     responses = payloads(spark, {"id": 55, "runner": None, "finished_at": None}, {"message": "403"})
     links = decode.retry_links(responses.withColumnRenamed("n", "job_id"))
     assert [tuple(r) for r in links.collect()] == [(0, 55)]
+    assert [r.n for r in decode.rejected_projects(raw).collect()] == [1]
+    assert [r.n for r in decode.rejected_responses(payloads(spark, {"id": 5}, {"message": "403"}, "{", '{"id":"x"}')).collect()] == [1, 2, 3]
 
 
 def test_reason_round_trip(spark):

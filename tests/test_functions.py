@@ -13,17 +13,17 @@ def values(spark, texts, fn):
 
 def test_event_time(spark):
     texts = [
-        "2023-08-21 03:49:15 UTC",
-        "2023-08-21T03:49:15 UTC",
-        "2023-08-21 03:49 UTC",
-        "2023-08-21 03:49:15.25 UTC",
-        "2023-08-21 03:49:15",
-        "2023-08-21 03:49:15 UTC ",
-        "2023-08-21T03:49:15Z",
-        "2023-13-21 03:49:15 UTC",
+        "2025-06-17 07:08:15 UTC",
+        "2025-06-17T07:08:15 UTC",
+        "2025-06-17 07:08 UTC",
+        "2025-06-17 07:08:15.25 UTC",
+        "2025-06-17 07:08:15",
+        "2025-06-17 07:08:15 UTC ",
+        "2025-06-17T07:08:15Z",
+        "2025-13-17 07:08:15 UTC",
         None,
     ]
-    base = datetime(2023, 8, 21, 3, 49, 15)
+    base = datetime(2025, 6, 17, 7, 8, 15)
     want = [base, base, base.replace(second=0), base.replace(microsecond=250000)] + [None] * 5
     assert values(spark, texts, times.event_time) == want
 
@@ -38,8 +38,8 @@ def test_event_time_does_not_follow_the_session_zone(spark):
 
 
 def test_api_time(spark):
-    texts = ["2023-07-07T11:37:37.576Z", "2023-07-07T13:37:37+02:00", "2023-07-07T13:37:37+0200", "2023-07-07T13:37:37"]
-    base = datetime(2023, 7, 7, 11, 37, 37)
+    texts = ["2025-02-03T04:05:06.576Z", "2025-02-03T06:05:06+02:00", "2025-02-03T06:05:06+0200", "2025-02-03T06:05:06"]
+    base = datetime(2025, 2, 3, 4, 5, 6)
     assert values(spark, texts, times.api_time) == [base.replace(microsecond=576000), base, base, None]
 
 
@@ -51,7 +51,7 @@ def test_backfill_window():
     assert times.backfill_window("2024-01-02", " 2024-01-02 ", now=now) == (start, start)
     moment = times.backfill_window("2024-01-02T02:00:00+02:00", now=now, parse=times.parse_moment)
     assert moment == (start, now)
-    with pytest.raises(ValueError, match="Invalid date format for: 2024/01/02"):
+    with pytest.raises(ValueError, match="2024/01/02"):
         times.backfill_window("2024/01/02")
     with pytest.raises(ValueError):
         times.parse_moment("2024-01-02T02:00:00")
@@ -65,8 +65,8 @@ def test_small_builders(spark):
     url = "https://h/api/projects/3/jobs?scope%5B%5D=failed&scope%5b%5d=success&per_page=100"
     assert values(spark, ["3"], lambda t: fields.job_listing_url("https://h/api", t)) == [url]
     assert values(spark, ["3"], lambda t: fields.job_listing_url("https://h/api", t, F.lit(2))) == [url + "&page=2"]
-    stamps = values(spark, ["2023-07-07T11:37:37.576Z"], lambda t: times.shown_time(times.api_time(t)))
-    assert stamps == ["2023-07-07 11:37:37"]
+    stamps = values(spark, ["2025-02-03T04:05:06.576Z"], lambda t: times.shown_time(times.api_time(t)))
+    assert stamps == ["2025-02-03 04:05:06"]
 
 
 def test_has_keys(spark):

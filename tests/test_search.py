@@ -56,12 +56,12 @@ def test_python_and_spark_agree_on_tokens(spark):
 
 
 def test_phrase_matches_whole_tokens_in_sequence(spark):
-    df = logs(spark, ["unexpected failure for jspace normal", "jspace norm", "norm jspace", "JSPACE--NORM!"])
-    assert ids(search.matches(df, search.phrase("jspace norm"))) == [1, 3]
-    assert ids(search.matches(df, search.phrase("jspace", "norm"))) == [1, 3]
-    assert ids(search.matches(df, search.prefix("jspace norm"))) == [0, 1, 3]
-    assert ids(search.matches(df, search.initial("jspace"))) == [1, 3]
-    assert ids(search.matches(df, search.phrase('"jspace"'))) == [0, 1, 2, 3]
+    df = logs(spark, ["odd end of redwood barked", "redwood bark", "bark redwood", "REDWOOD--BARK!"])
+    assert ids(search.matches(df, search.phrase("redwood bark"))) == [1, 3]
+    assert ids(search.matches(df, search.phrase("redwood", "bark"))) == [1, 3]
+    assert ids(search.matches(df, search.prefix("redwood bark"))) == [0, 1, 3]
+    assert ids(search.matches(df, search.initial("redwood"))) == [1, 3]
+    assert ids(search.matches(df, search.phrase('"redwood"'))) == [0, 1, 2, 3]
 
 
 def test_boolean_operators(spark):

@@ -488,6 +488,26 @@ ORACLE: dict[str, str] = {
             **_budget("rooted"),
         )
     ),
+    "project_quarantine": with_views(
+        "project_delivery", "SELECT * FROM project_delivery WHERE delivery % 9 IN (0, 4, 6)"
+    ),
+    "retry_response_quarantine": with_views(
+        "retry_response", "SELECT job_id FROM retry_response WHERE NOT json_exists(payload, '$.id')"
+    ),
+    "stat_tests_from_source": with_views(
+        "source_file",
+        "SELECT 'collect_stats' AS kind, coalesce(sum(contains(text, 'collect_stats')::INT), 0)::BIGINT AS lines FROM counted "
+        "UNION ALL SELECT 'collect_compiler', coalesce(sum(contains(text, 'collect_compiler')::INT), 0)::BIGINT FROM counted",
+        raw="SELECT file, unnest(string_split(text, chr(10))) AS line, "
+        "unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM source_file",
+        line="SELECT file, line_no, line || CASE WHEN (file + line_no) % 5 = 0 THEN ' collect_stats' "
+        "WHEN (file + line_no) % 7 = 0 THEN ' collect_compiler_x' ELSE '' END AS text FROM raw",
+        test="SELECT unnest(['the', 'que', 'der', 'thnt']) AS test_name",
+        named=r"SELECT file, line_no, test_name FROM line, test "
+        r"WHERE list_contains(regexp_extract_all(text, '[\p{L}\p{N}_]+'), test_name)",
+        counted="SELECT DISTINCT l.file, l.line_no, n.test_name, l.text FROM line l JOIN named n "
+        "ON n.file = l.file AND l.line_no BETWEEN n.line_no AND n.line_no + 3",
+    ),
     "stream_dedupe": with_views(
         "job_event", "SELECT * FROM event WHERE build_finished_at IS NOT NULL", event=_EVENT
     ),

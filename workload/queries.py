@@ -134,6 +134,16 @@ def job_quarantine(spark, sf):
     return decode.rejected_jobs(view(spark, sf, "job").select("job_id", "job_blob")).select("job_id")
 
 
+@query
+def project_quarantine(spark, sf):
+    return decode.rejected_projects(view(spark, sf, "project_delivery"))
+
+
+@query
+def retry_response_quarantine(spark, sf):
+    return decode.rejected_responses(view(spark, sf, "retry_response")).select("job_id")
+
+
 @query
 def json_extract(spark, sf):
     path = lambda p: F.get_json_object("job_blob", p)
@@ -415,6 +425,18 @@ def stat_test_kinds(spark, sf):
     return loglines.stat_test_kinds(tests, view(spark, sf, "test_def"))
 
 
+@query
+def stat_tests_from_source(spark, sf):
+    files = view(spark, sf, "source_file").select("file", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    number = F.col("place") + 1
+    mark = (
+        F.when((F.col("file") + number) % 5 == 0, " collect_stats").when((F.col("file") + number) % 7 == 0, " collect_compiler_x").otherwise("")
+    )
+    lines = files.select("file", number.alias("line_no"), F.concat("line", mark).alias("text"))
+    tests = spark.createDataFrame([("the",), ("que",), ("der",), ("thnt",)], "test_name STRING")
+    return loglines.stat_tests_from_source(lines, tests)
+
+
 def _builds(spark, sf):
     return view(spark, sf, "ci_build").withColumn("started_at", F.col("started_at").cast("timestamp"))
 
@@ -544,7 +566,7 @@ def _triage_in_parts(spark, sf, landed=lambda logs, part: logs, links=None) -> s
         f"{folder}/events",
         lambda stream: triage_stream(
             decode.job_events(stream),
-            jobs=lambda: _jobs(spark, sf),
+            jobs=lambda: view(spark, sf, "job").select("job_id", "job_blob"),
             projects=lambda: _projects(spark, sf),
             logs=lambda: landed(logs, next(part)),
             root=root,

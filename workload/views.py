@@ -87,6 +87,12 @@ FROM events""",
     "project": """
 SELECT '{"id":' || CAST(r_regionkey + 1 AS STRING) || ',"path_with_namespace":"grp/' || lower(r_name) || '"}' AS payload
 FROM region""",
+    "project_delivery": """
+SELECT c_custkey AS delivery, CASE c_custkey % 9 WHEN 0 THEN '{"id":' WHEN 4 THEN '{"id":7}'
+  WHEN 6 THEN '{"path_with_namespace":"a/b"}'
+  ELSE '{"id":' || CAST(c_custkey AS STRING) || ',"path_with_namespace":"grp/p"}' END AS payload
+FROM customer""",
+    "source_file": "SELECT doc_id AS file, text FROM documents",
     "audit_project": "SELECT c_custkey AS project_id, lower(c_name) AS path FROM customer",
     "hook": """
 SELECT o_custkey AS project_id, o_orderkey AS hook_id,
