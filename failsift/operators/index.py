@@ -61,6 +61,11 @@ def jobs_with_prefix(index: DataFrame, text: str) -> DataFrame:
     return index.where(F.col("term").startswith(_single_terms([text])[0])).select("job_id").distinct()
 
 
+def jobs_with_prefix_phrase(index: DataFrame, text: str) -> DataFrame:
+    """Jobs with the tokens in sequence, the last of them as the beginning of a token."""
+    return _phrase_starts(index, [_phrase_terms(text)], open_end=True).select("job_id").distinct()
+
+
 def jobs_with_phrase(index: DataFrame, *texts: str) -> DataFrame:
     return _phrase_starts(index, [_phrase_terms(" ".join(texts))]).select("job_id").distinct()
 
@@ -111,17 +116,25 @@ def _phrase_terms(text: str) -> list[str]:
     return terms
 
 
-def _phrase_starts(index: DataFrame, phrases: Sequence[Sequence[str]]) -> DataFrame:
-    """(job_id, phrase, start) of every occurrence of every phrase."""
-    places = [(n, offset, term) for n, p in enumerate(phrases) for offset, term in enumerate(p)]
+def _phrase_starts(index: DataFrame, phrases: Sequence[Sequence[str]], open_end: bool = False) -> DataFrame:
+    """(job_id, phrase, start) of every occurrence of every phrase. With ``open_end`` the
+    last token of a phrase may go on."""
+    places = [
+        (n, offset, F.col("term").startswith(term) if open_end and offset == len(p) - 1 else F.col("term") == term)
+        for n, p in enumerate(phrases)
+        for offset, term in enumerate(p)
+    ]
     uses = F.array(
         *[
-            F.when(F.col("term") == term, F.struct(F.lit(n).alias("phrase"), F.lit(offset).alias("offset")))
-            for n, offset, term in places
+            F.when(fits, F.struct(F.lit(n).alias("phrase"), F.lit(offset).alias("offset")))
+            for n, offset, fits in places
         ]
     )
+    whole_terms = sorted({t for p in phrases for t in (p[:-1] if open_end else p)})
+    beginnings = [F.col("term").startswith(p[-1]) for p in phrases] if open_end else []
+    wanted = reduce(lambda a, b: a | b, beginnings, F.col("term").isin(whole_terms) if whole_terms else F.lit(False))
     rows = (
-        index.where(F.col("term").isin(sorted({term for _, _, term in places})))
+        index.where(wanted)
         .select("job_id", "pos", F.explode(uses).alias("use"))
         .where(F.col("use").isNotNull())
         .select("job_id", "use.phrase", (F.col("pos").cast("bigint") - F.col("use.offset")).alias("start"))

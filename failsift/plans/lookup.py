@@ -1,37 +1,53 @@
-"""Search of the archive: keyword or condition to a page of jobs."""
+"""Search of the archive: keyword, condition or tree to a page of jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failsift.operators import search
+from failsift.operators.tree import Phrase, Tree, exact_terms, jobs_in_index, jobs_in_logs
+from failsift.sources.store import read_index, read_table
+
+
+def found_ids(
+    wanted: str | Column | Tree | None, logs: DataFrame | None = None, index: DataFrame | None = None
+) -> DataFrame:
+    """Ids of the logs that match: by the index if there is one, else by a scan of the logs.
+
+    A text is taken as one phrase; one without a letter or digit is a phrase that no log
+    holds. Conditions built with the search operators need the logs.
+    """
+    if isinstance(wanted, Column):
+        return search.matches(logs, wanted)
+    tree = Phrase("") if not wanted or not search.is_search(wanted) else Phrase(wanted) if isinstance(wanted, str) else wanted
+    return jobs_in_logs(tree, logs) if index is None else jobs_in_index(tree, index)
 
 
 def find(
     jobs: DataFrame,
-    logs: DataFrame,
-    keyword: str | Column | None,
+    logs: DataFrame | None,
+    wanted: str | Column | Tree | None,
     page: int = 1,
     size: int = search.PAGE_SIZE,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """One page of the jobs whose log matches.
 
-    A text is taken as one phrase, a column as a condition built with the search
-    operators. Without a keyword there is no search, and the page is empty; ask
-    :func:`failsift.operators.search.is_search` to tell that from no results. A text
-    without a letter or digit is a phrase that no log holds.
+    Without a keyword there is no search, and the page is empty; ask
+    :func:`failsift.operators.search.is_search` to tell that from no results.
     """
-    if isinstance(keyword, Column):
-        condition = keyword
-    elif search.is_search(keyword) and search.has_tokens(keyword):
-        condition = search.phrase(keyword)
-    else:
-        condition = F.lit(False)
-    found = search.found_jobs(jobs, search.matches(logs, condition))
+    found = search.found_jobs(jobs, found_ids(wanted, logs, index))
     return search.page_fields(jobs, search.result_page(found, page, size))
 
 
-def total(logs: DataFrame, condition: Column) -> DataFrame:
+def find_stored(spark: SparkSession, root: str, tree: Tree, page: int = 1, size: int = search.PAGE_SIZE) -> DataFrame:
+    """A page from the store: its index, cut to the terms of the tree, and its jobs."""
+    terms = exact_terms(tree)
+    index = read_index(spark, root, *sorted(terms or ()))
+    return find(read_table(spark, root, "job"), None, tree, page, size, index)
+
+
+def total(logs: DataFrame | None, wanted: str | Column | Tree, index: DataFrame | None = None) -> DataFrame:
     """The number of matching logs."""
-    return search.matches(logs, condition).agg(F.count("*").alias("matches"))
+    return found_ids(wanted, logs, index).agg(F.count("*").alias("matches"))

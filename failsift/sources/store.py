@@ -22,11 +22,8 @@ from failsift.operators.sizing import JobIds
 from failsift.operators.upsert import one_per_key
 from failsift.session import settle
 
-TERM_BUCKETS = 64
-# A very frequent term is spread over up to this many tasks when the index is
-# written: one more for every so many logs of the batch.
-TERM_SLICES = 64
-_LOGS_PER_SLICE = 10_000
+# Characters of normalised text that one task and one file of the index take.
+INDEX_CHARS_PER_PART = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +44,7 @@ TABLES = {
     "pending_event": Table(schemas.PENDING_EVENT, ("build_id", "build_status", "stream", "batch_no")),
     "retry_link": Table(schemas.RETRY_LINK, ("job_id",)),
     "job_root": Table(schemas.JOB_ROOT, ("job_id",)),
-    "log_term": Table(schemas.LOG_TERM + ", term_bucket INT", ("term", "job_id", "pos")),
+    "log_term": Table(schemas.LOG_TERM, ("term", "job_id", "pos")),
 }
 
 
@@ -71,10 +68,10 @@ def other_batches(spark: SparkSession, root: str, name: str, batch: str) -> Data
     return read_table(spark, root, name).where(F.col("batch") != batch)
 
 
-def write_batch(rows: DataFrame, root: str, name: str, batch: str, *parts: str) -> int:
+def write_batch(rows: DataFrame, root: str, name: str, batch: str) -> int:
     """Write a whole batch of a table, in place of what it held; gives its number of rows."""
     path = f"{root}/{name}/batch={batch}"
-    rows.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(TABLES[name].schema).parquet(path).count()
 
 
@@ -118,34 +115,23 @@ def append_logs(jobs: DataFrame, logs: DataFrame, root: str, batch: str) -> int:
     waiting = JobIds(jobs.select("job_id").join(stored, "job_id", "left_anti"))
     fresh = waiting.select_from(logs)
     added = write_batch(with_norm(fresh.select("job_id", "trace")), root, "job_log", batch)
-    written = read_table(spark, root, "job_log").where(F.col("batch") == batch)
-    write_index(term_rows(written), root, batch, min(TERM_SLICES, 1 + added // _LOGS_PER_SLICE))
+    written = read_batch(spark, root, "job_log", batch)
+    chars = written.agg(F.sum(F.length("norm"))).first()[0] or 0
+    write_index(term_rows(written), root, batch, 1 + chars // INDEX_CHARS_PER_PART)
     return added
 
 
-def write_index(terms: DataFrame, root: str, batch: str, slices: int = TERM_SLICES) -> int:
-    """Write index rows so that a look-up opens one bucket and skips inside it.
+def write_index(terms: DataFrame, root: str, batch: str, parts: int = 1) -> int:
+    """Write index rows in files that each hold a range of (term, job).
 
-    A bucket holds all rows of its terms, and files are ordered by term, so that a
-    term or a prefix skips most row groups. A bucket is written by several tasks,
-    sliced by job, as one term may make up a large part of all tokens.
+    A look-up of terms or of a prefix skips the other files by their bounds, and a term
+    that makes up a large part of all tokens is spread over as many files as it fills.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-    part = F.pmod(F.xxhash64("job_id"), F.lit(slices)).cast("int")
-    laid_out = (
-        terms.withColumn("term_bucket", bucket)
-        .repartition("term_bucket", part)
-        .sortWithinPartitions("term_bucket", "term")
-    )
-    return write_batch(laid_out, root, "log_term", batch, "term_bucket")
+    laid_out = terms.repartitionByRange(parts, "term", "job_id").sortWithinPartitions("term", "job_id", "pos")
+    return write_batch(laid_out, root, "log_term", batch)
 
 
 def read_index(spark: SparkSession, root: str, *terms: str) -> DataFrame:
-    """Index rows; with terms given, those of their buckets only."""
+    """Index rows; with terms given, those of the terms only."""
     rows = read_table(spark, root, "log_term")
-    if not terms:
-        return rows
-    buckets = spark.range(1).select(
-        *[F.pmod(F.xxhash64(F.lit(t)), F.lit(TERM_BUCKETS)).cast("int").alias(f"b{i}") for i, t in enumerate(terms)]
-    ).first()
-    return rows.where(F.col("term_bucket").isin(*set(buckets)))
+    return rows.where(F.col("term").isin(*terms)) if terms else rows

@@ -207,3 +207,33 @@ def test_a_page_is_taken_without_a_full_sort(spark):
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject(limit=51" in plan
     assert not any("job_blob" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_trees_agree_over_logs_and_index(spark):
+    from failsift.operators.index import term_rows
+    from failsift.operators.tree import All, But, Either, Initial, Near, Phrase, Prefix, condition, jobs_in_index, jobs_in_logs
+
+    rng = random.Random(12)
+    df = logs(spark, [" ".join(rng.choice(["aa", "ab", "ba", "bb", "abc"]) for _ in range(rng.randint(0, 7))) for _ in range(120)])
+    index = term_rows(df)
+
+    def leaf():
+        text = " ".join(rng.choice(["aa", "ab", "ba", "a", "--"]) for _ in range(rng.randint(1, 3)))
+        return rng.choice([Phrase, Prefix, Initial])(text)
+
+    def tree(depth):
+        if depth == 0:
+            return leaf()
+        kind = rng.choice([All, Either, But])
+        return But(tree(depth - 1), tree(depth - 1)) if kind is But else kind((tree(depth - 1), leaf(), tree(depth - 1)))
+
+    for depth in (0, 0, 0, 0, 1, 1, 2):
+        t = tree(depth)
+        assert sorted(ids(jobs_in_index(t, index))) == sorted(ids(search.matches(df, condition(t)))), t
+    near = But(Near(("aa", "bb"), 1), Phrase("abc"))
+    assert sorted(ids(jobs_in_logs(near, df))) == sorted(ids(jobs_in_index(near, index)))
+
+
+def test_a_keyword_of_signs_finds_nothing(spark):
+    df = logs(spark, ["a -- b", ""])
+    assert lookup.total(df, "--").first().matches == 0

@@ -257,6 +257,11 @@ WHERE status IN ('failed', 'success') AND project_id = 1 AND created_at BETWEEN
 
 
 def _near(phrases: list[str], distance: int) -> str:
+    tables, body = _near_parts(phrases, distance)
+    return with_views("job_log", body, norm=_NORM, term=_TERM, **tables)
+
+
+def _near_parts(phrases: list[str], distance: int) -> tuple[dict[str, str], str]:
     """One row per phrase occurrence; a match is a choice of one each, close enough to the last start."""
     names = [f"p{i}" for i in range(len(phrases))]
     tables = {}
@@ -273,8 +278,14 @@ def _near(phrases: list[str], distance: int) -> str:
     joined = " ".join(
         f"JOIN {n} ON {n}.job_id = p0.job_id AND abs({n}.start - p0.start) <= {distance + 10}" for n in names[1:]
     )
-    body = f"SELECT DISTINCT p0.job_id FROM p0 {joined} WHERE {close}"
-    return with_views("job_log", body, norm=_NORM, term=_TERM, **tables)
+    return tables, f"SELECT DISTINCT p0.job_id FROM p0 {joined} WHERE {close}"
+
+
+_NEAR_TABLES, _NEAR_BODY = _near_parts(["que", "la", "de"], 4)
+_FIRST_PAGE = (
+    "SELECT * EXCLUDE (n), n > 50 AS has_next FROM (SELECT *, row_number() OVER "
+    "(ORDER BY created_at DESC, job_id DESC) AS rank, count(*) OVER () AS n FROM result) p WHERE rank <= 50"
+)
 
 
 ORACLE: dict[str, str] = {
@@ -433,6 +444,30 @@ ORACLE: dict[str, str] = {
         norm=_NORM,
         result=_RESULT.format(needle=" resource busy "),
     ),
+    "search_index_page": with_views(
+        "job job_log",
+        "SELECT * EXCLUDE (n), n > 100 AS has_next FROM (SELECT *, row_number() OVER "
+        "(ORDER BY created_at DESC, job_id DESC) - 50 AS rank, count(*) OVER () AS n FROM result) r "
+        "WHERE rank BETWEEN 1 AND 50",
+        norm=_NORM,
+        result=_RESULT.format(needle=" failed "),
+    ),
+    "search_nested": _search(
+        "(contains(norm, ' failed to connect ') OR contains(norm, ' cannot modi') OR starts_with(norm, ' el ')) "
+        "AND NOT (contains(norm, ' failed ') AND contains(norm, ' gitl'))"
+    ),
+    "search_near_page": with_views(
+        "job job_log",
+        _FIRST_PAGE,
+        norm=_NORM,
+        term=_TERM,
+        **_NEAR_TABLES,
+        near=_NEAR_BODY,
+        result=_RESULT.format(needle=" hard 3 ").replace(
+            "job_id IN (SELECT", "job_id IN (SELECT job_id FROM near) AND job_id NOT IN (SELECT"
+        ),
+    ),
+    "search_empty_keyword": "SELECT CAST(0 AS BIGINT) AS matches",
     "search_count": with_views(
         "job_log", "SELECT count(*) AS matches FROM norm WHERE contains(norm, ' failed ')", norm=_NORM
     ),

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from failsift.catalog import active_checks
 from failsift.functions.fields import canonical_json
 from failsift.functions.text import normalise
-from failsift.functions.times import backfill_window
-from failsift.operators import backfill, decode, enrich, hooks, index, loglines, retry, search, upsert
+from failsift.functions.times import api_time, backfill_window
+from failsift.operators import backfill, decode, enrich, hooks, index, loglines, retry, search, tree, upsert
 from failsift.operators.classify import classify, label_gaps, retry_candidates, unclassified
 from failsift.plans import archive, lookup
 from failsift.plans.triage import Triage, triage
@@ -355,6 +355,50 @@ def search_near_phrases(spark, sf):
     return index.jobs_with_near(_terms(spark, sf), "spawnp resource", "hard", distance=3)
 
 
+def _indexed(spark, sf) -> str:
+    """A store with all jobs and the index of all logs; its folder."""
+    root = work_dir(spark, "indexed")
+    store.init_store(spark, root)
+    logs = view(spark, sf, "job_log").select("job_id", "trace")
+    store.append_logs(logs.select("job_id"), logs, root, "all")
+    jobs = view(spark, sf, "job").select(
+        "job_id",
+        F.col("web_url").alias("job_url"),
+        api_time(F.get_json_object("job_blob", "$.created_at")).alias("created_at"),
+        "job_blob",
+    )
+    store.append_new(jobs, root, "job", "all")
+    return root
+
+
+@query
+def search_index_page(spark, sf):
+    return lookup.find_stored(spark, _indexed(spark, sf), tree.Phrase("failed"), page=2)
+
+
+@query
+def search_nested(spark, sf):
+    wanted = tree.But(
+        tree.Either((tree.Phrase("failed to connect"), tree.Prefix("cannot modi"), tree.Initial("el"))),
+        tree.All((tree.Phrase("failed"), tree.Prefix("gitl"))),
+    )
+    root = _indexed(spark, sf)
+    return lookup.found_ids(wanted, index=store.read_index(spark, root))
+
+
+@query
+def search_near_page(spark, sf):
+    root = _indexed(spark, sf)
+    wanted = tree.But(tree.Near(("que", "la", "de"), 4), tree.Phrase("hard 3"))
+    return lookup.find_stored(spark, root, wanted)
+
+
+@query
+def search_empty_keyword(spark, sf):
+    """A keyword without a token matches no log."""
+    return lookup.total(view(spark, sf, "job_log").select("job_id", "trace"), "-- !")
+
+
 @query
 def index_phrase(spark, sf):
     return index.jobs_with_phrase(_terms(spark, sf), "command failed with error code")
