@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from failsift.llm import decontamination, mixing, near_dedup, quality, toxicity
 from failsift.llm.tables import small_batches, stored, table
-from failsift.session import settle
 
 # A list of ids this long is some 40 MB as a hash table; a longer one is joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -29,7 +28,7 @@ def with_ids(docs: DataFrame) -> DataFrame:
 
 def by_id(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
     """The rows of ``docs`` whose id is (or is not) among the distinct ``ids``."""
-    ids = settle(ids.select(F.col("doc_id").alias("listed")))
+    ids = stored(ids.select(F.col("doc_id").alias("listed")), "pipeline-ids")
     listed = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     return docs.join(listed, row_id(docs) == F.col("listed"), "left_semi" if keep else "left_anti")
 
@@ -44,12 +43,12 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class the document with the least id; of its repeated rows one."""
-    classes = settle(near_dedup.near_duplicates(with_ids(docs)))
+    classes = stored(near_dedup.near_duplicates(with_ids(docs)), "pipeline-classes")
     others = classes.groupBy("doc_id").agg(
         F.max((F.col("doc_id") != F.col("class_id")).cast("int")).alias("other"), F.count("*").alias("n")
     )
     kept = by_id(docs, others.where("other = 1"), keep=False)
-    repeated = settle(others.where("other = 0 AND n > 1").select("doc_id"))
+    repeated = stored(others.where("other = 0 AND n > 1").select("doc_id"), "pipeline-repeated")
     if repeated.isEmpty():
         return kept
     one = Window.partitionBy(row_id(docs)).orderBy(*[F.col(f"`{c}`") for c in docs.columns])

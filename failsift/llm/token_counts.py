@@ -34,8 +34,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failsift.llm.tables import small_batches
-from failsift.session import settle, work_dir
+from failsift.llm.tables import small_batches, stored
+from failsift.session import work_dir
 
 RULES = "plain-1"  # changes with the way texts are encoded
 MAX_TOKENS = 1024
@@ -95,18 +95,22 @@ def token_counts(docs: DataFrame, path: str, cache_dir: str, ranks_path: str | N
     small_batches(spark)
     version = tokenizer_digest(path)
     text = F.coalesce("text", F.lit(""))
-    rows = settle(
+    rows = stored(
         docs.select(
-            F.col("doc_id").cast("long"), F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")
-        )
+            F.col("doc_id").cast("long"),
+            F.sha2(text.cast("binary"), 256).alias("digest"),
+            F.octet_length(text).cast("long").alias("n_bytes"),
+        ),
+        "token-digests",
     )
 
     def known() -> DataFrame:
         return read_cache(spark, cache_dir).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     # Contents that only rows without id hold are told by a null id.
-    missing = settle(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("id")).join(known(), "digest", "left_anti").select("digest", "id")
+    missing = stored(
+        rows.groupBy("digest").agg(F.min("doc_id").alias("id")).join(known(), "digest", "left_anti").select("digest", "id"),
+        "token-misses",
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

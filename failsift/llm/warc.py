@@ -32,8 +32,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failsift.llm.tables import small_batches
-from failsift.session import settle
+from failsift.llm.tables import small_batches, stored
 
 LEAST_REVISIT = 1000
 ROLL_BYTES = 256 << 20
@@ -126,17 +125,19 @@ def parse(data: bytes) -> dict:
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to and revisit for every page."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    narrow = settle(
+    narrow = stored(
         pages.select(F.col("page_id").cast("long"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
         .where(F.col("n") >= LEAST_REVISIT)
-        .drop("n")
+        .drop("n"),
+        "warc-digests",
     )
     kept = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = settle(
+    revisits = stored(
         narrow.join(kept, "digest")
         .where("refers_to IS NOT NULL AND (page_id IS NULL OR page_id != refers_to)")
         .select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
-        .distinct()
+        .distinct(),
+        "warc-revisits",
     )
     few = revisits.count() <= MAX_BROADCAST_REVISITS
     given = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
@@ -174,7 +175,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             [pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"]
         )
 
-    return settle(with_revisits(pages).mapInArrow(write, "path string, records long"))
+    return stored(with_revisits(pages).mapInArrow(write, "path string, records long"), "warc-files")
 
 
 RECORD = pa.schema(
