@@ -85,7 +85,7 @@ def test_positive_and_negative_logs(spark):
 def test_a_log_with_sections_and_colours_yields_one_code(spark):
     log = (
         f"{ESC}[1mwaiting for a machine{ESC}[0m\nphase:fetch\r{ESC}[2K{ESC}[36mcopying sources{ESC}[0m\n"
-        f"{ESC}[36mdone{ESC}[0m\nthe step ended due to signal 9 (Killed); see above\n"
+        f"{ESC}[36mdone{ESC}[0m\nthe step failed due to signal 9 (Killed); see above\n"
     )
     got = classify(jobs(spark, [(1, None, log)])).collect()
     assert [(r.type, r.message) for r in got] == [("signal_9", "received signal 9")]
