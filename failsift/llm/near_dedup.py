@@ -15,9 +15,11 @@ most copies share their shingles.
    Equal texts (by a 64-bit hash of their words) are one node from here on.
 3. Nodes in one bucket are compared with one node of it, the pivot, by exact weighted
    Jaccard similarity; verified pairs make components. Buckets that still hold several
-   components take further pivots, twice as many each round, compared with members of other
-   components only, until each pair in a bucket is compared or connected. So a bucket of n
-   copies costs n comparisons, and no pair that shares a bucket is left out.
+   components take further pivots, ``PIVOT_GROWTH`` times as many each round, compared with
+   members of other components only, until each pair in a bucket is compared or connected or
+   cannot be similar: two texts have no more weight in common than either shares with any
+   other text at hand. The texts that share most come first, as they connect most. So a
+   bucket of n copies costs n comparisons, and no similar pair in a bucket is left out.
 
 A pair of similarity 0.8 shares no bucket with probability 0.0002 at the given bands.
 
@@ -34,13 +36,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from failsift.llm.components import components
 from failsift.llm.tables import arrays, small_batches, stored
 from failsift.llm.words import mix, multipliers, shingles, word_hashes
-from failsift.session import settle
 
 THRESHOLD = 0.8
 BANDS = 16
@@ -51,8 +52,10 @@ CELLS = 1 << CELL_BITS
 TABLE_ROWS = 1 << 14
 BLOCK = 1024
 # A list of nodes this long is some 10 MB; a longer one is joined by a shuffle.
-MAX_BROADCAST_NODES = 1_000_000
+MAX_BROADCAST_NODES = 500_000
 MEMBERS_PER_PIVOT_COPY = 256
+PIVOT_GROWTH = 16
+SLACK = 1e-3  # of a weight, for rounded sums
 
 
 def cells_of(ids: np.ndarray) -> np.ndarray:
@@ -197,17 +200,51 @@ def verified(pairs: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFr
     return joined.mapInArrow(keep, "a long, b long")
 
 
-def _spread(node: Column) -> Column:
-    """A number from 0 to 1 by which the nodes of a bucket are ordered after the first."""
-    return F.pmod(F.xxhash64(node, F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+def shared_mass(nodes: DataFrame, sets: DataFrame, idf) -> DataFrame:
+    """(content, mass, shared): the weight of each node, and of its shingles that stand in
+    another of the ``nodes`` too. No two of them have more than the lesser ``shared`` in common.
 
+    Shingles of one node are told by counts per shingle, merged before the shuffle.
+    """
 
-def links(signed: DataFrame, nodes: DataFrame, idf, threshold: float) -> DataFrame | None:
-    """(node, root) of the nodes that are similar to others, or None if there are none."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [weigh(np.frombuffer(x, np.uint32), idf.value) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("content"),
+                    pa.array([float(w.sum()) for _, w in sets_], pa.float64()),
+                    pa.array([i.astype(np.int64) for i, _ in sets_], pa.list_(pa.int64())),
+                    pa.array([w.astype(np.float64) for _, w in sets_], pa.list_(pa.float64())),
+                ],
+                ["content", "mass", "id", "weight"],
+            )
+
+    spelled = stored(
+        sets.join(nodes.select("content").distinct(), "content", "left_semi")
+        .select("content", "ids")
+        .mapInArrow(spell, "content long, mass double, id array<long>, weight array<double>"),
+        "near-weights",
+    )
+    own = spelled.select("content", F.explode(F.arrays_zip("id", "weight")).alias("s")).select("content", "s.id", "s.weight")
+    alone = (
+        own.groupBy("id")
+        .agg(F.count("*").alias("n"), F.min("content").alias("content"), F.max("weight").alias("weight"))
+        .where("n = 1")
+        .groupBy("content")
+        .agg(F.sum("weight").alias("alone"))
+    )
+    return spelled.select("content", "mass").join(alone, "content", "left").select(
+        "content", "mass", (F.col("mass") - F.coalesce("alone", F.lit(0.0))).alias("shared")
+    )
+
+
+def links(signed: DataFrame, nodes: DataFrame, idf, threshold: float) -> DataFrame:
+    """(node, root) of the nodes that are similar to others."""
     keys = nodes.select("content", "rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("pivot")).where("n > 1")
     members = stored(keys.join(buckets, "key"), "near-members")
-    chosen = settle(members.select("content", "rep").distinct())
+    chosen = stored(members.select("content", "rep").distinct(), "near-chosen")
     few = chosen.count() <= MAX_BROADCAST_NODES
     wanted = chosen.select(F.col("content").alias("c"), F.col("rep").alias("r"))
     sets = stored(
@@ -221,37 +258,53 @@ def links(signed: DataFrame, nodes: DataFrame, idf, threshold: float) -> DataFra
         "near-sets",
     )
     candidates = members.where("content != pivot").select(F.col("content").alias("a"), F.col("pivot").alias("b")).distinct()
-    edges = settle(verified(candidates, sets, idf, threshold))
-    roots = components(edges)
-    largest = members.agg(F.max("n")).first()[0] or 0
-    others = members.where("content != pivot").select("key", "content", "n", _spread(F.col("content")).alias("place"))
-    width = 1
-    tried = 1
-    while tried <= largest:
-        # A pivot of this round has a place between tried/n and (tried + width)/n.
-        labelled = others.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn(
+    roots = components(stored(verified(candidates, sets, idf, threshold), "near-edges"))
+
+    # Roots are known for some of the chosen nodes, and no others.
+    sent = F.broadcast if few else lambda df: df
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows in buckets that hold several components, with their root."""
+        labelled = rows.join(sent(roots.withColumnRenamed("node", "content")), "content", "left").withColumn(
             "root", F.coalesce("root", "content")
         )
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        active = settle(labelled.join(mixed.select("key"), "key"))
+        several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        return labelled.join(several.select("key"), "key")
+
+    # The first pivot has met all of its bucket. What the others could share bounds their
+    # similarity, and the nodes that share most of their weight are the next pivots.
+    rest = stored(mixed(members.where("content != pivot").select("key", "content", "n")).drop("root"), "near-rest")
+    largest = rest.agg(F.max("n")).first()[0] or 0
+    if not largest:
+        return roots
+    by_share = Window.partitionBy("key").orderBy(F.col("share").desc(), "content")
+    rest = stored(
+        rest.join(shared_mass(rest, sets, idf), "content")
+        .where(F.col("shared") >= threshold * F.col("mass") - SLACK)
+        .withColumn("share", F.col("shared") / F.col("mass"))
+        .withColumn("place", F.row_number().over(by_share))
+        .drop("share", "n"),
+        "near-rest",
+    )
+    tried, width = 0, 1
+    while tried < largest:
+        active = stored(mixed(rest), "near-active")
         if active.isEmpty():
             break
-        first, last = (tried - 1) / F.col("n"), (tried - 1 + width) / F.col("n")
-        pivots = active.where((F.col("place") >= first) & (F.col("place") < last)).select(
-            "key", F.col("content").alias("b"), F.col("place").alias("b_place"), F.col("root").alias("b_root")
+        pivots = active.where(F.col("place").between(tried + 1, tried + width)).select(
+            "key", F.col("content").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("place", "root", "mass", "shared")]
         )
-        later = (F.col("place") > F.col("b_place")) | ((F.col("place") == F.col("b_place")) & (F.col("content") > F.col("b")))
+        possible = F.least("shared", "b_shared") * (1 + threshold) >= threshold * (F.col("mass") + F.col("b_mass")) - SLACK
         more = (
             active.join(pivots, "key")
-            .where(later & (F.col("root") != F.col("b_root")))
+            .where((F.col("place") > F.col("b_place")) & (F.col("root") != F.col("b_root")) & possible)
             .select(F.col("content").alias("a"), "b")
             .distinct()
         )
-        found = settle(verified(more, sets, idf, threshold))
+        found = stored(verified(more, sets, idf, threshold), "near-edges")
         if not found.isEmpty():
-            edges = settle(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-            roots = components(edges)
-        tried, width = tried + width, width * 2
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        tried, width = tried + width, width * PIVOT_GROWTH
     return roots
 
 
