@@ -24,10 +24,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from that table."""
+    """Write ``df`` as a table in the shared folder and go on from that table.
+
+    The tables hold hashes and digests for the most part, which take less room with zstd.
+    """
     spark = df.sparkSession
     folder = work_dir(spark, purpose)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
