@@ -4,13 +4,14 @@ Language model. Characters fall into ``SYMBOLS`` classes: letters a to z without
 other letters, and everything else as one boundary. Four-grams of classes are counted over
 all documents (a table of fixed size) and smoothed with the shorter contexts.
 
-Decoder. A span is suspicious if signs that can stand for letters stand in or before a word,
-if a letter stands three times in a row, or if four or more single letters follow each other
-with one separator between them. Each character of such a span has its readings: a letter is
-itself, or dropped if it repeats the one before it; a sign is any letter it can stand for, or
-itself; a separator between single letters is itself or dropped. A Viterbi search over the
-classes of the last three characters finds the reading of least cost under the language
-model and the channel. Elsewhere a text has one reading only, itself.
+Decoder. A span is a run of letters and of signs that can stand for letters; single characters
+(signs too) with nothing but other characters between them, two or more, are one span with what
+separates them. A span is decoded if it holds a letter and a place with more than one reading:
+a letter is itself, or dropped if it repeats the one before it; a sign is any letter it can stand
+for, itself, or dropped if it repeats the one before it; what stands between single characters
+is itself or dropped. A Viterbi search over the classes of the last three characters finds the
+reading of least cost under the language model and the channel. Elsewhere a text has one reading
+only, itself.
 
 Score. The restored text is looked at as a set of words and word beginnings (4 to 6 letters).
 On at most ``labelled.MAX_TRAINING_DOCUMENTS`` labelled documents those that speak for
@@ -28,7 +29,6 @@ columns are ignored.
 from __future__ import annotations
 
 import dataclasses
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -52,20 +52,14 @@ LEXICON = 2048
 LEAST_RATIO = 20.0  # log-likelihood ratio of an entry
 LEAST_DOCUMENTS = 3
 DROP_REPEAT, DROP_SEPARATOR, READ_SIGN = 3.0, 0.5, 1.0
-MEMORY = 50_000  # decoded spans that a worker remembers
+MEMORY, REMEMBERED = 50_000, 256  # decoded spans that a worker remembers, and their greatest length
 
 # Letters that a sign can stand for.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
-_SIGNS = re.escape("".join(READINGS))
-SUSPICIOUS = re.compile(
-    rf"(?:(?<![^\W_])[^\W_][ .\-_*·](?:[^\W_][ .\-_*·]){{2,}}[^\W_](?![^\W_]))"  # s t u p i d
-    rf"|(?:(?<![^\W_])(?:[^\W\d_]|[{_SIGNS}](?=[^\W\d_]|[{_SIGNS}][^\W\d_])|[{_SIGNS}](?<=[^\W\d_].)(?![{_SIGNS}]{{2}}))+)"
-)
-_LETTER = re.compile(r"[^\W\d_]")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
+_NO_LETTERS = 0x34000  # from here on
 
 
 @cache
@@ -83,10 +77,18 @@ def classes(codes: np.ndarray) -> np.ndarray:
     return _classes()[np.minimum(codes, 0x3000)]
 
 
+@cache
 def class_of(char: str) -> int:
     return int(classes(np.array([ord(char)]))[0])
 
 
+@cache
+def _forms() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: 1 for letters, 2 for other digits and numbers, 0 elsewhere; whether it is a sign."""
+    form = np.array([1 if c.isalpha() else 2 if c.isalnum() else 0 for c in map(chr, range(_NO_LETTERS))] + [0], np.int8)
+    return form, np.isin(np.arange(_NO_LETTERS + 1), [ord(c) for c in READINGS])
+
+
 def four_grams(docs: DataFrame) -> np.ndarray:
     """Counts of all four-grams of classes, runs of boundaries taken as one."""
 
@@ -124,26 +126,41 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """The readings of each character, with their costs; an empty reading drops it."""
-    places, spaced = [], len(span) > 2 and all(not c.isalnum() for c in span[1::2])
+    n = len(span)
+    word = [False, *(c.isalnum() for c in span), False]  # word[i + 1] is for span[i]
+    # Whether the last character of a word before each place, and the first one after it, stands alone.
+    before, after, alone = [True] * n, [True] * n, True
+    for i in range(n):
+        before[i] = alone
+        if word[i + 1]:
+            alone = not word[i]
+    alone = True
+    for i in reversed(range(n)):
+        after[i] = alone
+        if word[i + 1]:
+            alone = not word[i + 2]
+    places = []
     for i, c in enumerate(span):
         readings = [(c, 0.0)]
         readings += [(letter, READ_SIGN) for letter in READINGS.get(c, "")]
-        if i and c.isalpha() and c == span[i - 1]:
+        if i and c == span[i - 1] and (c.isalpha() or c in READINGS):
             readings.append(("", DROP_REPEAT if c != span[i - 2 : i - 1] else DROP_REPEAT / 4))
-        if spaced and i % 2:
-            readings.append(("", DROP_SEPARATOR))
+        if 0 < i < n - 1 and not word[i + 1] and before[i] and after[i]:
+            # Several separators in a row cost as much as one.
+            further = c not in READINGS and not word[i] and span[i - 1] not in READINGS
+            readings.append(("", 0.0 if further else DROP_SEPARATOR))
         places.append(readings)
     return places
 
 
 def decode(span: str, log_p: list[float]) -> str:
     """The reading of ``span`` with the least cost, as a word between boundaries."""
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     width = SYMBOLS ** (ORDER - 1)
     for readings in lattice(span):
         options = [(letter, cost, class_of(letter) if letter else -1) for letter, cost in readings]
-        following: dict[int, tuple[float, str]] = {}
-        for state, (paid, text) in states.items():
+        following: dict[int, tuple[float, tuple]] = {}
+        for state, (paid, path) in states.items():
             for letter, cost, kind in options:
                 total, reached = paid + cost, state
                 if kind > 0 or (kind == 0 and state % SYMBOLS):
@@ -152,13 +169,62 @@ def decode(span: str, log_p: list[float]) -> str:
                     reached = gram % width
                 known = following.get(reached)
                 if known is None or total < known[0]:
-                    following[reached] = (total, text + letter)
+                    following[reached] = (total, (path, letter) if letter else path)
         states = following
-    return min((paid - (log_p[state * SYMBOLS] if state % SYMBOLS else 0.0), text) for state, (paid, text) in states.items())[1]
-
-
-def _disguised(span: str) -> bool:
-    return bool(_LETTER.search(span)) and (any(c in READINGS or not c.isalnum() for c in span) or bool(_REPEAT.search(span)))
+    ends = {state: paid - (log_p[state * SYMBOLS] if state % SYMBOLS else 0.0) for state, (paid, _) in states.items()}
+    least = min(ends.values())
+    return min(_spell(states[state][1]) for state, cost in ends.items() if cost == least)
+
+
+def _spell(path: tuple) -> str:
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    return edges[0::2], edges[1::2]
+
+
+def spans(texts: list[str]) -> list[np.ndarray]:
+    """Per lower-cased text, (start, end) of the spans that hold a letter and a place with several readings."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+    n = len(codes)
+    form, signs = (t[np.minimum(codes, _NO_LETTERS)] for t in _forms())
+    letter = form == 1
+    word = np.zeros(n + 2, bool)
+    word[1:-1] = form > 0
+    wide = np.zeros(n + 2, bool)  # in words of two characters or more
+    wide[1:-1] = word[1:-1] & (word[:-2] | word[2:])
+    # Places that stand alone: single characters, and runs of signs that touch no wider word.
+    alone = word[1:-1] & ~wide[1:-1]
+    starts, ends = _runs(signs & ~word[1:-1])
+    free = ~(wide[starts] | wide[ends + 1])
+    change = np.zeros(n + 1, np.int8)
+    change[starts[free]] += 1
+    change[ends[free]] -= 1
+    alone |= np.cumsum(change[:-1], dtype=np.int8) > 0
+    stop = wide[1:-1].copy()
+    stop[offsets[1:-1] - 1] = True
+    marks = np.flatnonzero(alone | stop)
+    joins = np.flatnonzero(alone[marks[:-1]] & alone[marks[1:]] & (np.diff(marks) > 1)) if len(marks) else marks
+    change[:] = 0
+    change[marks[joins]] += 1
+    change[marks[joins + 1] + 1 if len(joins) else joins] -= 1
+    joined = np.cumsum(change[:-1], dtype=np.int8) > 0
+    several = signs | joined
+    several[1:] |= letter[1:] & (codes[1:] == codes[:-1])
+    starts, ends = _runs(letter | signs | joined)
+    count = lambda inside: np.concatenate(([0], np.cumsum(inside)))
+    letters, places = count(letter), count(several)
+    chosen = (letters[ends] > letters[starts]) & (places[ends] > places[starts])
+    starts, ends = starts[chosen], ends[chosen]
+    cuts = np.searchsorted(starts, offsets)
+    return [np.stack([starts[i:j], ends[i:j]], axis=1) - o for i, j, o in zip(cuts[:-1], cuts[1:], offsets)]
 
 
 class Restorer:
@@ -168,43 +234,25 @@ class Restorer:
         self.log_p = log_p.tolist()
         self.known: dict[str, str] = {}
 
-    def _span(self, match: re.Match) -> str:
-        span = match.group()
-        if not _disguised(span):
-            return span
+    def _read(self, span: str) -> str:
         read = self.known.get(span)
         if read is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            read = self.known[span] = decode(span, self.log_p)
+            read = decode(span, self.log_p)
+            if len(span) <= REMEMBERED:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[span] = read
         return read
 
-    def suspects(self, texts: list[str]) -> np.ndarray:
-        """Whether each text can hold a suspicious span (a cheap, wider test)."""
-        joined = Joined(texts)
-        codes = joined.codes
-        n = len(codes)
-        if n < 3:
-            return np.ones(len(texts), bool)
-        letter = classes(codes) > 0
-        sign = np.isin(codes, np.array([ord(c) for c in READINGS], np.uint32))
-        word = joined.kinds() == 1
-        found = np.zeros(n, bool)
-        found[:-1] |= sign[:-1] & letter[1:] | letter[:-1] & sign[1:]
-        found[2:] |= letter[2:] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])
-        alone = np.zeros(n, bool)  # a letter or digit between other characters
-        alone[1:-1] = word[1:-1] & ~word[:-2] & ~word[2:]
-        alone[0], alone[-1] = word[0] and not word[1], word[-1] and not word[-2]
-        found[6:] |= alone[6:] & alone[4:-2] & alone[2:-4] & alone[:-6]
-        starts = np.concatenate(([0], joined.offsets))
-        return np.add.reduceat(found.astype(np.int64), starts) > 0 if n else np.zeros(len(texts), bool)
-
     def restore(self, texts: list[str]) -> list[str]:
-        lowered = [t.lower() for t in texts]
-        # An empty last text has no first character of its own.
-        return [
-            SUSPICIOUS.sub(self._span, t) if t and s else t for t, s in zip(lowered, self.suspects([t + "\n" for t in lowered]))
-        ]
+        lowered, restored = [t.lower() for t in texts], []
+        for text, found in zip(lowered, spans(lowered)):
+            parts, last = [], 0
+            for start, end in found.tolist():
+                parts += (text[last:start], self._read(text[start:end]))
+                last = end
+            restored.append("".join(parts) + text[last:] if parts else text)
+        return restored
 
 
 def word_features(texts: list[str]) -> list[np.ndarray]:

@@ -114,6 +114,53 @@ def test_disguises_are_read(restorer, disguised, plain):
     assert restorer.restore([f"The {disguised}, of a lamp."]) == [f"the {plain}, of a lamp."]
 
 
+@pytest.mark.parametrize(
+    "disguised, plain",
+    [
+        ("stuupid", "stupid"),
+        ("iidioot", "idiot"),
+        ("$ t u p ! d", "stupid"),
+        ("s t u p ! d", "stupid"),
+        ("c | o w n", "clown"),
+        ("! d i 0 t", "idiot"),
+        ("l @ m p", "lamp"),
+        ("s  t  u  p  i  d", "stupid"),
+        ("s/t/u/p/i/d", "stupid"),
+        ("s\tt\tu\tp\ti\td", "stupid"),
+        ("s,t,u,p,i,d", "stupid"),
+        ("s, t, u, p, i, d", "stupid"),
+        ("s\nt\nu\np\ni\nd", "stupid"),
+        ("$$tupid", "$stupid"),
+        ("$$$tup!!d", "$$stupid"),
+        ("m00r0n", "moron"),
+        ("s e e", "see"),
+        ("i s", "is"),
+        ("o f", "of"),
+        ("grass, letter, a book", "grass, letter, a book"),
+        ("moron; a clown", "moron; a clown"),
+    ],
+)
+def test_every_form_of_the_lattice_is_decoded(restorer, disguised, plain):
+    assert restorer.restore([f"The {disguised} tell", "", "stupid", f"{disguised}"]) == [f"the {plain} tell", "", "stupid", plain]
+
+
+def test_whatever_has_several_readings_is_a_span():
+    from itertools import product
+
+    for form in map("".join, (p for n in range(2, 6) for p in product("ab1! ,", repeat=n))):
+        if form[0] in " ," or form[-1] in " ," or not any(c.isalpha() for c in form):
+            continue
+        wide = any(a.isalnum() and b.isalnum() for a, b in zip(form, form[1:]))
+        if (wide and (" " in form or "," in form)) or all(len(r) == 1 for r in toxicity.lattice(form)):
+            continue
+        got = toxicity.spans([form, "xyz " + form + " xyz", "", form + ","])
+        assert [g.tolist() for g in got] == [[[0, len(form)]], [[4, 4 + len(form)]], [], [[0, len(form)]]], form
+
+
+def test_a_long_run_of_single_letters_takes_linear_time(restorer):
+    assert restorer.restore(["s t u p i d " * 20_000])[0].startswith("stupid")
+
+
 def test_viterbi_finds_the_least_cost_of_all_readings(restorer):
     from itertools import product
 
