@@ -336,7 +336,7 @@ def lexicon(sample: DataFrame, log_p) -> np.ndarray:
         + term(zeros - F.col("zeros"), (total - held) * zeros / total)
     )
     best = (
-        counts.where((F.col("ones") >= LEAST_DOCUMENTS) & (rate > 2 * ones / total))
+        counts.where((F.col("ones") >= LEAST_DOCUMENTS) & (rate > ones / total))
         .select("feature", ratio.alias("ratio"))
         .where(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.col("ratio").desc(), "feature")

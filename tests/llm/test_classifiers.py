@@ -203,6 +203,20 @@ def test_toxicity_learns_words_and_stems_and_sees_disguises(spark, docs_of, labe
     assert (got[1000].predicted, got[1001].predicted, got[1002].predicted, got[None].predicted) == (1, 0, 0, 1)
 
 
+@pytest.mark.parametrize("civil_of_ten", [5, 2])
+def test_toxicity_learns_from_labels_that_are_mostly_toxic(spark, docs_of, labels_of, civil_of_ten):
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        words = ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+        if i % 10 >= civil_of_ten:
+            words[rng.randrange(40)] = rng.choice(["moron", "clown"])
+        rows.append((i, " ".join(words)))
+    labels = labels_of([(i, 1, int(i % 10 >= civil_of_ten)) for i, _ in rows])
+    got = toxicity.classify_toxicity(docs_of(rows), labels).collect()
+    judged = [r.predicted == int(r.doc_id % 10 >= civil_of_ten) for r in got if r.held_out]
+    assert sum(judged) >= 0.98 * len(judged)
+
+
 @pytest.mark.parametrize("classify, label", [(quality.classify_quality, 1), (toxicity.classify_toxicity, 2)])
 def test_defined_cases(docs_of, labels_of, classify, label):
     docs = docs_of([(1, None), (2, ""), (None, "a b"), (3, "| " * 200_000), (3, "x"), (3, "x"), (4, "word")])
