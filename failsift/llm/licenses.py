@@ -1,12 +1,19 @@
 """Licence scan: Dice coefficient over word bigrams between normalised text and templates.
 
-A unit is a line of a document, or the document as a whole where it has several lines. Text
+A unit is a line of a document, the document as a whole where it has several lines, or a window
+of words: notices that are wrapped over lines or stand within a line. Text
 is lower-cased and every run of other characters than letters and digits becomes a blank.
 With A and B the sets of word bigrams, the score is 2|A∩B| / (|A|+|B|); a score of at least t
 needs t/(2-t) <= |A|/|B| <= (2-t)/t, so templates outside these bounds are not compared.
 Units that share no bigram with any template are dropped first. All of it is a projection
 over the scanned rows, with the templates as literals: no row is shuffled.
 
+A window begins and ends with a bigram of its template, may cross lines and has at most
+(2-t)/t times as many bigrams, repeats counted. Of windows that overlap, the one with most bigrams of
+its template stays; a line or document that matches with as many stands for the windows in it.
+Windows are looked for where the document holds enough of a template's bigrams, which is asked
+only of documents that hold a word without which they cannot.
+
 Defined cases: null and empty texts and units of fewer than two words match nothing; a
 document without match has a null licence, score 0 and 0 matches. Equal scores go to the
 template first by name. Every row of the input, repeated ones included, gives one row. Null
@@ -15,6 +22,8 @@ ids are kept. No rows give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -87,7 +96,7 @@ def bigrams_of(words: Column) -> Column:
 
 
 def best_matches(units: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """(score, licence) of the best template of each of ``units`` that matches one."""
+    """(order, licence, shared bigrams) of the best template of each of ``units`` that matches one."""
     sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     known = sorted({b for s in sets.values() for b in s})
@@ -111,6 +120,7 @@ def best_matches(units: Column, templates: dict[str, str] = TEMPLATES, threshold
                 F.struct(
                     (-F.when(in_bounds, both * 2.0 / (s["size"] + len(own))).otherwise(0.0)).alias("order"),
                     F.lit(name).alias("licence"),
+                    both.alias("shared"),
                 )
             )
         return F.array_min(F.array(*scores))
@@ -118,11 +128,125 @@ def best_matches(units: Column, templates: dict[str, str] = TEMPLATES, threshold
     return F.filter(F.transform(shared, best), lambda b: b["order"] <= -threshold)
 
 
+def telling_words(own: list[str], need: int) -> list[str]:
+    """Long words of which a text with ``need`` of the bigrams ``own`` holds at least one."""
+    left, words = set(own), []
+    while len(own) - len(left) <= len(own) - need:
+        words.append(max({w for b in left for w in b.split()}, key=lambda w: (len(w), w)))
+        left = {b for b in left if words[-1] not in b.split()}
+    return words
+
+
+def with_windows(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """``docs`` (doc_id, text, found) with the windows that match added to ``found``."""
+    sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
+    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    known = sorted({b for s in sets.values() for b in s})
+    needs = {name: max(1, math.ceil(len(s) * least - 1e-9)) for name, s in sets.items()}
+    sought = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("licence"),
+                F.array(*map(F.lit, own)).alias("own"),
+                F.lit(needs[name]).alias("need"),
+                F.lit(int(len(own) * most + 1e-9)).alias("longest"),
+            )
+            for name, own in sets.items()
+        ]
+    )
+    grams = F.zip_with(
+        F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)
+    )
+
+    def search(t: Column) -> Column:
+        """The windows of one template; ``need`` places are within reach of each start."""
+        places = F.filter(F.transform("grams", lambda g, p: F.when(F.array_contains(t["own"], g), p)), lambda p: p.isNotNull())
+
+        def from_start(p: Column, i: Column, all_: Column) -> Column:
+            ends = F.filter(
+                F.slice(all_, i + t["need"], F.least(t["longest"], F.size(all_))), lambda e: e - p < t["longest"]
+            )
+
+            def window(e: Column) -> Column:
+                inside = F.slice("grams", p + 1, e - p + 1)
+                both = F.size(F.array_intersect(t["own"], inside))
+                score = both * 2.0 / (F.size(F.array_distinct(inside)) + F.size(t["own"]))
+                return F.struct(
+                    p.alias("start"), e.alias("end"), both.alias("shared"), (-score).alias("order"), t["licence"].alias("licence")
+                )
+
+            return F.filter(F.transform(ends, window), lambda w: w["order"] <= -threshold)
+
+        each = F.transform(F.array(places), lambda all_: F.flatten(F.transform(all_, lambda p, i: from_start(p, i, all_))))
+        return F.flatten(each)
+
+    def line_matches(line: Column, i: Column) -> Column:
+        first = F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda n, s: n + s)
+        size = F.element_at("sizes", i + 1)
+        return F.transform(
+            best_matches(F.array(line), templates, threshold),
+            lambda b: F.struct(first.alias("start"), (first + size - 2).alias("end"), b["shared"].alias("shared")),
+        )
+
+    overlap = lambda a, b: (a["start"] <= b["end"]) & (b["start"] <= a["end"])
+
+    def add(kept: Column, w: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        better = (w["shared"] > last["shared"]) | ((w["shared"] == last["shared"]) & (w["order"] < last["order"]))
+        rest = F.slice(kept, 1, F.size(kept) - 1)
+        return (
+            F.when((F.size(kept) == 0) | ~overlap(last, w), F.concat(kept, F.array(w)))
+            .when(better, F.concat(rest, F.array(w)))
+            .otherwise(kept)
+        )
+
+    telling = sorted({w for name, own in sets.items() for w in telling_words(own, needs[name])})
+    lowered = F.lower("text")
+    possible = functools.reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in telling])
+    window_type = "array<struct<start:int,end:int,shared:int,order:double,licence:string>>"
+    none = F.array().cast(window_type)
+    lines = F.split("text", "\n")
+    held = (
+        docs.withColumn("words", F.when(possible, words_of(F.col("text"))))
+        .withColumn("grams", F.when(F.size("words") >= 2, grams))
+        .withColumn("held", F.array_distinct(F.filter("grams", lambda g: g.isin(known))))
+        .withColumn(
+            "sought",
+            F.when(
+                F.size("held") >= min(needs.values()),
+                F.filter(sought, lambda t: F.size(F.array_intersect(t["own"], F.col("held"))) >= t["need"]),
+            ),
+        )
+        .withColumn("windows", F.when(F.size("sought") > 0, F.flatten(F.transform("sought", search)).cast(window_type)))
+        .withColumn("sizes", F.when(F.size("windows") > 0, F.transform(lines, lambda x: F.size(words_of(x)))))
+        .withColumn(
+            "matched",
+            F.when(
+                F.size("windows") > 0,
+                F.concat(
+                    F.flatten(F.transform(lines, line_matches)),
+                    F.transform(
+                        best_matches(F.array("text"), templates, threshold),
+                        lambda b: F.struct(F.lit(0).alias("start"), F.size("grams").alias("end"), b["shared"].alias("shared")),
+                    ),
+                ),
+            ),
+        )
+    )
+    free = F.filter(
+        "windows", lambda w: ~F.exists("matched", lambda m: overlap(m, w) & (m["shared"] >= w["shared"]))
+    )
+    chosen = F.when(F.size("windows") > 0, F.aggregate(F.array_sort(free), none, add)).otherwise(none)
+    more = F.transform(chosen, lambda w: F.struct(w["order"].alias("order"), w["licence"].alias("licence"), w["shared"].alias("shared")))
+    return held.select("doc_id", F.concat(F.coalesce("found", F.array().cast("array<struct<order:double,licence:string,shared:int>>")), more).alias("found"))
+
+
 def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence and score of the best unit, matches (units that match), licences (all found)."""
     lines = F.split(F.col("text"), "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col("text")))).otherwise(lines)
-    found = docs.select("doc_id", best_matches(units, templates, threshold).alias("found"))
+    found = docs.select("doc_id", "text", best_matches(units, templates, threshold).alias("found"))
+    found = with_windows(found, templates, threshold)
     best = F.array_min("found")
     return found.select(
         "doc_id",

@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from failsift.llm.licenses import TEMPLATES, scan_licences, template_bigrams
@@ -33,3 +35,21 @@ def test_equal_scores_go_to_the_first_name(docs_of):
     templates = {"b": "one two three", "a": "one two four"}
     got = scan_licences(docs_of([(1, "one two")]), templates, 0.6).first()
     assert (got.licence, round(got.score, 3)) == ("a", 0.667)
+
+
+@pytest.mark.parametrize("width, prefix", [(40, ""), (60, " * "), (72, "# ")])
+def test_a_notice_wrapped_over_lines_in_a_longer_document_is_found(docs_of, width, prefix):
+    before, after = ("".join(f"def {x}{i} of the mill {i}\n" for i in range(60)) for x in "ab")
+    rows = []
+    for i, name in enumerate(sorted(TEMPLATES)):
+        wrapped = "".join(f"{prefix}{line}\n" for line in textwrap.wrap(TEMPLATES[name], width, break_long_words=False))
+        rows.append((i, before + wrapped + after))
+    got = rows_of(scan_licences(docs_of(rows)))
+    assert [(got[i].licence, got[i].score) for i, _ in rows] == [(n, 1.0) for n in sorted(TEMPLATES)]
+
+
+def test_a_notice_within_a_line_is_found_and_counted_once(docs_of):
+    words, mit, grant = "some plain words of prose " * 60, TEMPLATES["mit"], TEMPLATES["mit-grant"]
+    docs = docs_of([(1, words + mit), (2, f"{words}\n{mit}\n{mit}\n{words}"), (3, f"{mit}\n{words}{grant} {words}{mit}"), (4, words)])
+    got = {i: (r.licence, r.score, r.matches, r.licences) for i, r in rows_of(scan_licences(docs)).items()}
+    assert got == {1: ("mit", 1.0, 1, "mit"), 2: ("mit", 1.0, 2, "mit"), 3: ("mit", 1.0, 3, "mit,mit-grant"), 4: (None, 0.0, 0, "")}
