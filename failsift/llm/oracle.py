@@ -96,3 +96,18 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN response <> page_id THEN response END AS refers_to, true AS valid
 FROM kept
 """
+
+OP13 = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+place AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM doc),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM place),
+repeated AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM win WHERE g IN (SELECT g FROM repeated)),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words
+         FROM (SELECT * FROM word ANTI JOIN gone USING (r, i)) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(words, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)
+"""

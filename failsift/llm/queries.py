@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failsift.llm import chat, decontamination, licenses, merkle, mixing, near_dedup, oracle, quality, token_counts, toxicity, warc
+from failsift.llm import chat, decontamination, licenses, merkle, mixing, near_dedup, oracle, quality, repeats, token_counts, toxicity, warc
 from failsift.llm.tables import small_batches, table
 from failsift.session import work_dir
 
@@ -19,6 +19,7 @@ ORACLE: dict[str, str] = {
     "op6_warc": oracle.OP6,
     "op8_chat_formatting": oracle.OP8,
     "op9_source_mixing": oracle.OP9,
+    "op13_substring_dedup": oracle.OP13,
 }
 
 
@@ -92,3 +93,8 @@ def op6_warc(spark, sf):
     manifest = warc.write_archives(table(spark, sf, "pages"), folder)
     records = warc.read_archives(manifest, folder, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
+@query
+def op13_substring_dedup(spark, sf):
+    return repeats.without_repeats(table(spark, sf, "documents"))
