@@ -3,6 +3,16 @@
 from failsift.llm.licenses import TEMPLATES, THRESHOLD, template_bigrams
 from failsift.llm.mixing import SEED
 
+# CRC-32 for the decimal or UTF-8 form of a value: join ``crc_table``, then ``_crc(value)``.
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"""
+
+
+def _crc(value: str) -> str:
+    octets = f"list_transform(range(strlen({value})), lambda k: ('0x' || substr(hex(encode({value})), 2 * k + 1, 2))::BIGINT)"
+    step = "lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), {step}), 4294967295)"
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -111,3 +121,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
   sha256(coalesce(words, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (r)
 """
+
+OP12 = f"""
+WITH {_CRC_TABLE},
+turn_ AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id::VARCHAR")} % 6 AS h, n
+  FROM (SELECT conv_id, count(*) AS n FROM turn_ GROUP BY conv_id), crc_table),
+size_ AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM conv c LEFT JOIN conv b ON c.base = b.conv_id),
+rebuilt AS (
+  SELECT s.conv_id, t.place, t.role, t.text FROM size_ s JOIN turn_ t ON t.conv_id = s.base AND t.place <= s.taken
+  UNION ALL SELECT s.conv_id, t.place - s.h + s.taken, t.role, t.text FROM size_ s JOIN turn_ t ON t.conv_id = s.conv_id AND t.place > s.h),
+path AS (SELECT conv_id, place AS depth, length(text) AS chars,
+    list(length(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY place) AS turns FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, [] FROM conv),
+step AS (SELECT conv_id, depth, chars, md5(turns::VARCHAR) AS node, max(depth) OVER (PARTITION BY conv_id) AS length FROM path),
+up AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM step),
+node_ AS (SELECT depth, node, any_value(parent) AS parent, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM up GROUP BY depth, node),
+child AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM node_ WHERE depth > 0 GROUP BY ALL),
+pair AS (SELECT DISTINCT a.depth, a.node, b.depth AS low_depth, b.node AS low FROM up a JOIN up b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+below AS (SELECT p.depth, p.node, sum((b.n_convs - 1) * b.chars) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM pair p JOIN node_ b ON b.depth = p.low_depth AND b.node = p.low LEFT JOIN child c ON c.depth = p.low_depth AND c.node = p.low
+  GROUP BY p.depth, p.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM node_ n JOIN below b USING (depth, node) LEFT JOIN child c USING (depth, node)
+  LEFT JOIN node_ u ON u.depth = n.depth - 1 AND u.node = n.parent
+"""
