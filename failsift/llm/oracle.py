@@ -152,3 +152,26 @@ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n,
 FROM node_ n JOIN below b USING (depth, node) LEFT JOIN child c USING (depth, node)
   LEFT JOIN node_ u ON u.depth = n.depth - 1 AND u.node = n.parent
 """
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run_ AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+seen AS (SELECT id, run, count(*) AS n FROM run_ WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc("(id || ':' || run)")} AS h FROM seen, crc_table),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM hashed),
+word_ AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+place AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word_),
+rest AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS left_ FROM place),
+pair AS (SELECT a.word, b.word AS near FROM rest a JOIN rest b ON a.left_ = b.left_ AND a.i = b.i AND a.word <> b.word
+  UNION SELECT r.word, w.word FROM rest r JOIN word_ w ON r.left_ = w.word
+  UNION SELECT w.word, r.word FROM rest r JOIN word_ w ON r.left_ = w.word),
+best AS (SELECT p.word, count(*) AS n_near, max(w.n) AS near_n FROM pair p JOIN word_ w ON p.near = w.word GROUP BY p.word),
+form_ AS (SELECT b.word, b.near_n, min(p.near) AS form FROM best b JOIN word_ own ON own.word = b.word JOIN pair p ON p.word = b.word
+  JOIN word_ w ON w.word = p.near AND w.n = b.near_n WHERE b.near_n >= 5 * own.n GROUP BY b.word, b.near_n),
+chain AS (SELECT word, form AS at_ FROM form_ UNION ALL SELECT c.word, f.form FROM chain c JOIN form_ f ON c.at_ = f.word),
+end_ AS (SELECT word, at_ AS root FROM chain WHERE at_ NOT IN (SELECT word FROM form_))
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.near_n AS form_n
+FROM word_ w LEFT JOIN best b USING (word) LEFT JOIN form_ f USING (word) LEFT JOIN end_ e USING (word)
+"""

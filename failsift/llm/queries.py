@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failsift.llm import chat, decontamination, licenses, merkle, mixing, near_dedup, oracle, prefix_trie, quality, repeats, token_counts, toxicity, warc
+from failsift.llm import chat, decontamination, licenses, merkle, mixing, near_dedup, oracle, prefix_trie, quality, repeats, spelling, token_counts, toxicity, warc
 from failsift.llm.tables import small_batches, table
 from failsift.session import work_dir
 
@@ -19,6 +19,7 @@ ORACLE: dict[str, str] = {
     "op6_warc": oracle.OP6,
     "op8_chat_formatting": oracle.OP8,
     "op9_source_mixing": oracle.OP9,
+    "op11_spelling_variants": oracle.OP11,
     "op12_conversation_prefix_trie": oracle.OP12,
     "op13_substring_dedup": oracle.OP13,
 }
@@ -96,6 +97,11 @@ def op6_warc(spark, sf):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
+@query
+def op11_spelling_variants(spark, sf):
+    return spelling.variants(spelling.corpus_words(table(spark, sf, "documents")))
+
+
 @query
 def op12_conversation_prefix_trie(spark, sf):
     return prefix_trie.rebuilt_trie(table(spark, sf, "conversations"))

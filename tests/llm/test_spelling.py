@@ -1,0 +1,122 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from failsift.llm import spelling
+from failsift.llm.spelling import corpus_words, variants
+
+UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def brute_words(rows):
+    seen = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(UPPER)
+            h = zlib.crc32(f"{'null' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            seen[run] += 1
+    return {w: n for w, n in seen.items() if len(w) >= 6 and n >= 5}
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(counts):
+    near = {w: [v for v in counts if one_apart(w, v)] for w in counts}
+    best = {w: min(vs, key=lambda v: (-counts[v], v)) for w, vs in near.items() if vs}
+    form = {w: v for w, v in best.items() if counts[v] >= 5 * counts[w]}
+    out = []
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), counts[form[w]] if w in form else None))
+    return sorted(out)
+
+
+def given(spark, counts):
+    rows = spark.createDataFrame(list(counts.items()), "word string, n long").selectExpr("*", "'x' AS form", "1 AS visitor")
+    return rows.repartition(3)
+
+
+def result(words, **options):
+    return sorted(map(tuple, variants(words, **options).collect()))
+
+
+def made_words(chance, letters, number, low, high):
+    words = set()
+    while len(words) < number:
+        words.add("".join(chance.choices(letters, k=chance.randint(low, high))))
+    return {w: chance.choice([1, 2, 5, 6, 30, 30, 200, 5_000]) for w in words}
+
+
+@pytest.mark.parametrize("block_words", [8_192, 40, 3])
+def test_equal_to_brute_force(spark, block_words):
+    counts = made_words(random.Random(1), "abcé", 700, 6, 8)
+    counts |= made_words(random.Random(2), "abcdefgÿñ", 300, 6, 12)
+    assert result(given(spark, counts), block_words=block_words) == brute_variants(counts)
+
+
+def test_anagrams_are_searched_by_patterns(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "LARGE_LEAF", 20)
+    chance = random.Random(3)
+    counts = {}
+    for base in ("aaaabbbb", "aaaabbbc", "aaaabbb", "aaabbbbd"):  # many words in four points
+        counts |= {"".join(chance.sample(base, len(base))): chance.choice([5, 30, 400]) for _ in range(90)}
+    words, n = zip(*sorted(counts.items()))
+    want = {w: [v for v in counts if one_apart(w, v)] for w in counts}
+    for length in {len(w) for w in words}:
+        own = [w for w in words if len(w) == length]
+        block = spelling.Block(own, np.array([counts[w] for w in own]))
+        monkeypatch.setattr(block, "tree", (np.arange(len(own)),))
+        for other in (length - 1, length, length + 1):
+            queries = [w for w in words if len(w) == other]
+            if queries:
+                found = sorted((queries[i], own[j]) for i, j in zip(*block.near(spelling.codes(queries))))
+                assert found == sorted((w, v) for w in queries for v in want[w] if len(v) == length)
+
+
+def test_chains_lead_to_their_end(spark):
+    words = ["abcdefghijkl"[: 6 + i] for i in range(6)] + ["zzzzzz"]
+    counts = {w: 5 ** (i + 1) for i, w in enumerate(words)}
+    got = {r[0]: r[1:3] for r in result(given(spark, counts))}
+    assert got["abcdef"] == ("abcdefg", "abcdefghijk") and got["abcdefghijk"] == (None, "abcdefghijk")
+    assert got["zzzzzz"] == (None, "zzzzzz")
+
+
+def test_ties_and_long_words(spark):
+    counts = {"aaaaaa": 5, "aaaaab": 50, "aaaaac": 50, "x" * 3_000: 7, "x" * 3_001: 70, "é" * 6: 5, "é" * 5 + "e": 25}
+    assert result(given(spark, counts)) == brute_variants(counts)
+
+
+def test_words_of_a_corpus(docs_of):
+    chance = random.Random(4)
+    words = list(made_words(chance, "abcdeÀÉxyz", 60, 4, 9)) + ["Abcdefg", "ABCDEFÀ", "×÷×÷×÷", "naïveté"]
+    rows = [(i, chance.choice([" ", "\n", "1", "-"]).join(chance.choices(words, k=80))) for i in range(120)]
+    rows += [(3, rows[3][1]), (None, rows[5][1]), (8, None), (9, ""), (10, "q" * 100_000 + " " + "abcdefg " * 50_000)]
+    got = {r.word: r.n for r in corpus_words(docs_of(rows)).collect()}
+    assert got == brute_words(rows)
+
+
+def test_no_words(docs_of):
+    assert variants(corpus_words(docs_of([(1, None)]))).count() == 0
+    assert variants(corpus_words(docs_of([(1, "x")]).limit(0))).count() == 0
+
+
+def test_search_finds_all_points_in_reach():
+    chance = np.random.default_rng(5)
+    points = chance.integers(0, 4, (500, spelling._LETTERS)).astype(np.float32) * (np.arange(spelling._LETTERS) < 6)
+    tree = spelling.kd_tree(points, np.arange(400), 8)
+    found = {(q, p) for rows, leaf in spelling.range_search(tree, points[400:], 2) for q in rows for p in leaf}
+    apart = np.abs(points[400:, None] - points[None, :400]).sum(axis=2)
+    assert set(zip(*np.nonzero(apart <= 2))) <= found and len(found) < 100 * 400 / 2
