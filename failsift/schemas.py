@@ -31,13 +31,13 @@ LOG_TERM = "term STRING, job_id BIGINT, pos INT"
 
 RETRY_DECISION = "root BIGINT, ts TIMESTAMP, seq BIGINT, decision STRING, retries_remaining BIGINT"
 
-LINEAGE_COUNT = "root BIGINT, used BIGINT, stream STRING, batch_no BIGINT"
+LINEAGE_COUNT = "root BIGINT, used BIGINT, gone BOOLEAN, stream STRING, batch_no BIGINT"
 
 BUDGET_COMMAND = "root BIGINT, ts TIMESTAMP, seq BIGINT, cmd STRING, accepted BOOLEAN"
 
 FINISHED_EVENT = "build_id BIGINT, build_status STRING, project_id BIGINT, build_finished_at TIMESTAMP"
 
-PENDING_EVENT = FINISHED_EVENT + ", stream STRING, batch_no BIGINT"
+PENDING_EVENT = FINISHED_EVENT + ", gone BOOLEAN, stream STRING, batch_no BIGINT"
 
 RETRY_LINK = "job_id BIGINT, new_job_id BIGINT"
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from failsift.operators.retry import count_commands, retry_lineage
 from failsift.session import settle
-from failsift.sources.store import append_new, other_batches, read_batch, read_table, write_batch
+from failsift.sources.store import append_new, fold_state, other_batches, put_state, read_batch, read_holding, read_state, tidy, write_batch
 
 
 def _command_rows(commands: DataFrame) -> DataFrame:
@@ -41,20 +41,15 @@ def record_decisions(commands: DataFrame, root: str, batch_no: int, name: str) -
     """Decide one batch on top of the counts that earlier batches of the stream left.
 
     A count of n is put before the batch as n granted retries; that is ten rows
-    per lineage at most.
+    per lineage at most. The store holds one count per lineage that has one.
     """
     spark, label = commands.sparkSession, f"{name}-{batch_no}"
+    tidy(spark, root, "budget_command")
+    fold_state(spark, root, "lineage_count", name, batch_no)
     append_new(_command_rows(commands), root, "budget_command", label)
     fresh = settle(read_batch(spark, root, "budget_command", label))
     lineages = fresh.select("root").distinct()
-    counts = (
-        read_table(spark, root, "lineage_count")
-        .where((F.col("stream") == name) & (F.col("batch_no") < batch_no))
-        .join(lineages, "root", "left_semi")
-        .groupBy("root")
-        .agg(F.max_by("used", "batch_no").alias("used"))
-        .where(F.col("used") > 0)
-    )
+    counts = read_state(spark, root, "lineage_count", name, batch_no).join(lineages, "root", "left_semi")
     first = fresh.groupBy("root").agg(F.min("ts").alias("first"))
     replayed = counts.join(first, "root").select(
         "root",
@@ -70,10 +65,7 @@ def record_decisions(commands: DataFrame, root: str, batch_no: int, name: str) -
     write_batch(
         decided.select("root", "ts", "seq", "decision", "retries_remaining"), root, "retry_decision", label
     )
-    number = F.lit(batch_no).cast("bigint")
-    write_batch(
-        after.select("root", "used", F.lit(name).alias("stream"), number.alias("batch_no")), root, "lineage_count", label
-    )
+    put_state(after.select("root", "used", (F.col("used") == 0).alias("gone")), root, "lineage_count", name, batch_no)
 
 
 def record_links(links: DataFrame, root: str, batch: str) -> None:
@@ -91,9 +83,10 @@ def record_links(links: DataFrame, root: str, batch: str) -> None:
 
 def roots_of(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
     """(job_id, root) for distinct ``jobs`` (job_id), by as many steps as links came in batches."""
-    known = read_table(spark, root, "job_root").select(F.col("job_id").alias("root"), F.col("root").alias("next"))
     found = settle(jobs.select("job_id", F.col("job_id").alias("root")))
     while True:
+        asked = found.select(F.col("root").alias("job_id")).distinct()
+        known = read_holding(asked, root, "job_root").select(F.col("job_id").alias("root"), F.col("root").alias("next"))
         moved = settle(found.join(known, "root", "left").select("job_id", "next", "root"))
         if moved.where("next IS NOT NULL").isEmpty():
             return found
@@ -107,9 +100,10 @@ def decide_batch(commands: DataFrame, links: DataFrame, root: str, name: str, ba
     """
     spark, label = commands.sparkSession, f"{name}-{batch_no}"
     record_links(links.join(other_batches(spark, root, "retry_link", label), "job_id", "left_anti"), root, label)
-    answered = read_table(spark, root, "retry_link").select("job_id", F.lit(True).alias("accepted"))
+    jobs = settle(commands.select("job_id").distinct())
+    answered = read_holding(jobs, root, "retry_link").select("job_id", F.lit(True).alias("accepted"))
     rooted = (
-        commands.join(roots_of(spark, root, commands.select("job_id").distinct()), "job_id")
+        commands.join(roots_of(spark, root, jobs), "job_id")
         .join(answered, "job_id", "left")
         .select("root", "ts", F.col("job_id").alias("seq"), "cmd", F.coalesce("accepted", F.lit(False)).alias("accepted"))
     )

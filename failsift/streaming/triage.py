@@ -16,9 +16,11 @@ from failsift.operators import decode, enrich, retry
 from failsift.operators.sizing import JobIds
 from failsift.plans.triage import judge
 from failsift.session import settle
-from failsift.sources.store import append_logs, append_new, read_batch, read_table, write_batch
+from failsift.sources.store import append_logs, append_new, fold_state, put_state, read_batch, read_holding, read_state, tidy
 from failsift.streaming.budget import decide_batch
 
+# Tables that every batch adds to.
+_GROWING = ("event", "job", "job_log", "log_term", "ci_failure", "retry_command")
 _EVENT = ["build_id", "build_status", "project_id", "build_finished_at"]
 
 
@@ -39,11 +41,7 @@ def unique_events(events: DataFrame, root: str, checkpoint: str, name: str = "ev
 
 def waiting_events(spark: SparkSession, root: str, name: str, batch_no: int) -> DataFrame:
     """The events that the stream left waiting before a batch."""
-    earlier = read_table(spark, root, "pending_event").where(
-        (F.col("stream") == name) & (F.col("batch_no") < batch_no)
-    )
-    last = earlier.agg(F.max("batch_no")).first()[0]
-    return earlier.where((F.col("batch_no") == F.lit(last)) & F.col("build_id").isNotNull()).select(*_EVENT)
+    return read_state(spark, root, "pending_event", name, batch_no).select(*_EVENT)
 
 
 def record_batch(
@@ -68,38 +66,40 @@ def record_batch(
     are decided too.
     """
     spark, batch = events.sparkSession, f"{name}-{batch_no}"
+    for table in _GROWING:
+        tidy(spark, root, table)
+    fold_state(spark, root, "pending_event", name, batch_no)
     append_new(events, root, "event", batch)
-    work = settle(read_batch(spark, root, "event", batch).union(waiting_events(spark, root, name, batch_no)))
+    new = read_batch(spark, root, "event", batch).select(*_EVENT, F.lit(False).alias("waited"))
+    work = settle(new.union(waiting_events(spark, root, name, batch_no).select("*", F.lit(True).alias("waited"))))
     if work.isEmpty():
         return
     ids = JobIds(work.select(F.col("build_id").alias("job_id")))
     chosen = ids.select_from(jobs)
     batch_jobs = settle(chosen if "finished_at" in jobs.columns else decode.job_records(chosen))
-    done = settle(enrich.finished_jobs(work, batch_jobs, projects))
+    done = settle(enrich.finished_jobs(work.drop("waited"), batch_jobs, projects))
     stored_jobs = batch_jobs.join(done.select("job_id"), "job_id", "left_semi")
     append_new(enrich.index_rows(stored_jobs), root, "job", batch)
     append_logs(done, logs, root, batch)
-    stored_logs = read_table(spark, root, "job_log").select("job_id", "trace")
+    stored_logs = read_holding(ids.rows, root, "job_log").select("job_id", "trace")
     with_log = ids.semi_join(stored_logs.select("job_id"))
     failed = F.col("build_status") == "failed"
     complete = settle(
         done.where(~failed).unionByName(done.where(failed).join(with_log, "job_id", "left_semi"))
     )
-    broken = settle(enrich.without_finish_time(work, batch_jobs))
+    broken = settle(enrich.without_finish_time(work.drop("waited"), batch_jobs))
     result = judge(complete, stored_logs)
     append_new(result.failures, root, "ci_failure", batch)
     append_new(result.commands.unionByName(retry.clear_commands(broken)), root, "retry_command", batch)
     handled = complete.select(F.col("job_id").alias("build_id"), "build_status").union(
         broken.select("build_id", "build_status")
     )
-    left = work.join(handled, ["build_id", "build_status"], "left_anti").select(
-        *_EVENT, F.lit(name).alias("stream"), F.lit(batch_no).cast("bigint").alias("batch_no")
-    )
-    # A row without event says that this batch has been here, also when nothing waits.
-    mark = left.sparkSession.range(1).select(
-        *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in _EVENT], F.lit(name), F.lit(batch_no).cast("bigint")
-    )
-    write_batch(left.union(mark), root, "pending_event", batch)
+    # Only what changes is written: events that begin to wait, and those that wait no longer.
+    key = ["build_id", "build_status"]
+    begin = work.where("NOT waited").join(handled, key, "left_anti")
+    end = work.where("waited").join(handled, key, "left_semi")
+    changes = begin.select(*_EVENT, F.lit(False).alias("gone")).union(end.select(*_EVENT, F.lit(True).alias("gone")))
+    put_state(changes, root, "pending_event", name, batch_no)
     if links is not None:
         decide_batch(read_batch(spark, root, "retry_command", batch), links, root, name, batch_no)
 
