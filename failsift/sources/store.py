@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -153,46 +153,47 @@ def write_batch(rows: DataFrame, root: str, name: str, batch: str, **more) -> in
     return entry.rows if entry else 0
 
 
-def spans(rows: DataFrame, column: str, parts: int = 64) -> Column:
-    """A filter that all values of a column pass: a few ranges, so that a lone far value
-    adds a range of its own instead of widening the whole."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
-    if low is None:
-        return F.lit(False)
+def key_ranges(keys: DataFrame, column: str, low: int, high: int, parts: int = 64) -> list[tuple[int, int]]:
+    """A few ranges that hold all values of a column: one for each part of ``low`` to ``high``
+    that has any, and one for each side, so that a lone far value does not widen the whole."""
     width = (high - low) // parts + 1
+    value = F.greatest(F.lit(low - 1), F.least(F.lit(high + 1), F.col(column)))
     found = (
-        rows.where(F.col(column).isNotNull())
-        .groupBy(F.floor((F.col(column) - low) / width))
+        keys.where(F.col(column).isNotNull())
+        .groupBy(F.floor((value - low) / width), value > high)
         .agg(F.min(column), F.max(column))
         .collect()
     )
-    return reduce(operator.or_, [F.col(column).between(a, b) for _, a, b in sorted(found)])
+    return sorted((a, b) for *_, a, b in found)
 
 
-def may_hold(keys: DataFrame, root: str, name: str, entries: Sequence[Entry]) -> list[Entry]:
-    """The folders that may hold a row with a key of ``keys``: by their bounds, then by their filters."""
+def may_hold(keys: DataFrame, root: str, name: str, entries: Sequence[Entry]) -> tuple[list[Entry], list[tuple[int, int]]]:
+    """The folders that may hold a row with a key of ``keys``, by their bounds and then by their
+    filters; and ranges of the first key column that hold all keys."""
     spark, table = keys.sparkSession, TABLES[name]
-    low, high = keys.agg(F.min(table.key[0]), F.max(table.key[0])).first()
-    if low is None:
-        return []
-    near = [e for e in entries if e.low is None or (e.low <= high and low <= e.high)]
+    if not entries:
+        return [], []
+    ranges = key_ranges(keys, table.key[0], min(e.low for e in entries), max(e.high for e in entries))
+    near = [e for e in entries if any(a <= e.high and e.low <= b for a, b in ranges)]
     powers = {e.folder: e.filter_bits for e in near if e.filter_bits}
-    if not powers:
-        return near
-    found = presence.folders_that_may_hold(spark, keys, table.key, f"{_path(root, name)}/keys", powers)
-    return [e for e in near if not e.filter_bits or e.folder in found]
+    if powers:
+        found = presence.folders_that_may_hold(spark, keys, table.key, f"{_path(root, name)}/keys", powers)
+        near = [e for e in near if not e.filter_bits or e.folder in found]
+    return near, ranges
 
 
 def read_holding(keys: DataFrame, root: str, name: str, but: str | None = None) -> DataFrame:
     """The rows of the folders that may hold a key of ``keys``, less those of the batch ``but``."""
-    spark = keys.sparkSession
+    spark, column = keys.sparkSession, F.col(TABLES[name].key[0])
     entries = [e for e in live(spark, root, name).entries if e.batches != (but,)]
-    holding = may_hold(keys, root, name, entries)
+    holding, ranges = may_hold(keys, root, name, entries)
     rows = read_entries(spark, root, name, holding)
+    if not holding:
+        return rows
     if but:
         rows = rows.where(F.col("batch") != but)
     # Within a folder the scan skips row groups by the key's bounds.
-    return rows.where(spans(keys, TABLES[name].key[0])) if holding else rows
+    return rows.where(reduce(operator.or_, [column.between(a, b) for a, b in ranges]))
 
 
 def append_new(rows: DataFrame, root: str, name: str, batch: str) -> int:
@@ -211,7 +212,7 @@ def append_logs(jobs: DataFrame, logs: DataFrame, root: str, batch: str) -> int:
     out between ids alone, and the logs are then read once.
     """
     spark = logs.sparkSession
-    wanted = settle(jobs.select("job_id").distinct())
+    wanted = jobs.select("job_id").distinct()
     stored = read_holding(wanted, root, "job_log", batch).select("job_id")
     waiting = JobIds(wanted.join(stored, "job_id", "left_anti"))
     fresh = waiting.select_from(logs)
@@ -238,6 +239,17 @@ def read_index(spark: SparkSession, root: str, *terms: str) -> DataFrame:
     return rows.where(F.col("term").isin(*terms)) if terms else rows
 
 
+def contents(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, batches, rows) of every folder of the store, as counted when it was written;
+    an empty table has one row without batches."""
+    rows = [
+        (name, ",".join(sorted(set(e.batches) - set(e.hidden))), e.rows)
+        for name in TABLES
+        for e in live(spark, root, name).entries or (Entry("", (), 0),)
+    ]
+    return spark.createDataFrame(rows, "table_name STRING, batches STRING, rows BIGINT")
+
+
 # Merging
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from failsift.operators import decode, enrich, retry
 from failsift.operators.sizing import JobIds
 from failsift.plans.triage import judge
-from failsift.session import settle
+from failsift.session import at_once, settle
 from failsift.sources.store import append_logs, append_new, fold_state, put_state, read_batch, read_holding, read_state, tidy
 from failsift.streaming.budget import decide_batch
 
@@ -79,18 +79,19 @@ def record_batch(
     batch_jobs = settle(chosen if "finished_at" in jobs.columns else decode.job_records(chosen))
     done = settle(enrich.finished_jobs(work.drop("waited"), batch_jobs, projects))
     stored_jobs = batch_jobs.join(done.select("job_id"), "job_id", "left_semi")
-    append_new(enrich.index_rows(stored_jobs), root, "job", batch)
-    append_logs(done, logs, root, batch)
+    _, _, broken = at_once(
+        spark,
+        lambda: append_new(enrich.index_rows(stored_jobs), root, "job", batch),
+        lambda: append_logs(done, logs, root, batch),
+        lambda: settle(enrich.without_finish_time(work.drop("waited"), batch_jobs)),
+    )
     stored_logs = read_holding(ids.rows, root, "job_log").select("job_id", "trace")
     with_log = ids.semi_join(stored_logs.select("job_id"))
     failed = F.col("build_status") == "failed"
     complete = settle(
         done.where(~failed).unionByName(done.where(failed).join(with_log, "job_id", "left_semi"))
     )
-    broken = settle(enrich.without_finish_time(work.drop("waited"), batch_jobs))
     result = judge(complete, stored_logs)
-    append_new(result.failures, root, "ci_failure", batch)
-    append_new(result.commands.unionByName(retry.clear_commands(broken)), root, "retry_command", batch)
     handled = complete.select(F.col("job_id").alias("build_id"), "build_status").union(
         broken.select("build_id", "build_status")
     )
@@ -99,7 +100,13 @@ def record_batch(
     begin = work.where("NOT waited").join(handled, key, "left_anti")
     end = work.where("waited").join(handled, key, "left_semi")
     changes = begin.select(*_EVENT, F.lit(False).alias("gone")).union(end.select(*_EVENT, F.lit(True).alias("gone")))
-    put_state(changes, root, "pending_event", name, batch_no)
+    commands = result.commands.unionByName(retry.clear_commands(broken))
+    at_once(
+        spark,
+        lambda: append_new(result.failures, root, "ci_failure", batch),
+        lambda: append_new(commands, root, "retry_command", batch),
+        lambda: put_state(changes, root, "pending_event", name, batch_no),
+    )
     if links is not None:
         decide_batch(read_batch(spark, root, "retry_command", batch), links, root, name, batch_no)
 

@@ -147,6 +147,12 @@ def _search(condition: str) -> str:
     return with_views("job_log", f"SELECT job_id FROM norm WHERE {condition}", norm=_NORM)
 
 
+_NESTED = (
+    "(contains(norm, ' failed to connect ') OR contains(norm, ' cannot modi') OR starts_with(norm, ' el ')) "
+    "AND NOT (contains(norm, ' failed ') AND contains(norm, ' gitl'))"
+)
+
+
 def _index(body: str) -> str:
     return with_views("job_log", body, norm=_NORM, term=_TERM)
 
@@ -409,6 +415,36 @@ ORACLE: dict[str, str] = {
             "contains(norm, ' failed ')", "contains(norm, ' failed ') OR contains(norm, ' error ')"
         ),
     ),
+    "own_check": with_views(
+        "job_log",
+        "SELECT job_id, 'long_log' AS type, 'more than 3000 characters' AS message FROM job_log WHERE length(trace) > 3000 "
+        "UNION ALL SELECT job_id, 'stuck_or_11', 'stuck, or error -11' FROM job_log "
+        "WHERE coalesce(failure_reason = 'stuck_or_timeout_failure', false) OR contains(trace, '-11')",
+    ),
+    "listing_pages": with_views(
+        "job",
+        "SELECT job_id, status, CAST(rtrim(json_extract_string(job_blob, '$.created_at'), 'Z') AS TIMESTAMP) AS created_at, "
+        "web_url FROM job",
+    ),
+    "rows_added": with_views(
+        "job",
+        "SELECT 'job' AS table_name, 'part-' || CAST(job_id % 4 AS VARCHAR) AS batches, count(*) AS rows FROM decoded GROUP BY job_id % 4",
+        decoded=_DECODED,
+    ),
+    "merged_jobs": with_views("job", "SELECT job_id, web_url AS job_url, created_at FROM decoded", decoded=_DECODED),
+    "store_contents": with_views(
+        "job job_log",
+        "SELECT t AS table_name, CAST(CASE t WHEN 'job' THEN (SELECT count(*) FROM staged) "
+        "WHEN 'job_log' THEN (SELECT count(*) FROM job_log WHERE job_id IN (SELECT job_id FROM staged)) "
+        "WHEN 'log_term' THEN (SELECT count(*) FROM term WHERE job_id IN (SELECT job_id FROM staged)) ELSE 0 END AS BIGINT) AS rows "
+        "FROM (SELECT unnest(['ci_failure', 'job', 'job_log', 'retry_command', 'retry_decision', 'lineage_count', "
+        "'budget_command', 'event', 'pending_event', 'retry_link', 'job_root', 'log_term']) AS t)",
+        norm=_NORM,
+        term=_TERM,
+        decoded=_DECODED,
+        in_range=_IN_RANGE.format("2024-01-02", "2024-01-03"),
+        staged="SELECT r.job_id FROM in_range r JOIN decoded d ON d.job_id = r.job_id",
+    ),
     "tokenise": with_views("job_log", _NORM),
     "term_index": _index("SELECT * FROM term"),
     "search_phrase": _search("contains(norm, ' failed to connect to gitlab ')"),
@@ -452,10 +488,8 @@ ORACLE: dict[str, str] = {
         norm=_NORM,
         result=_RESULT.format(needle=" failed "),
     ),
-    "search_nested": _search(
-        "(contains(norm, ' failed to connect ') OR contains(norm, ' cannot modi') OR starts_with(norm, ' el ')) "
-        "AND NOT (contains(norm, ' failed ') AND contains(norm, ' gitl'))"
-    ),
+    "search_nested": _search(_NESTED),
+    "compacted_search": _search(_NESTED),
     "search_near_page": with_views(
         "job job_log",
         _FIRST_PAGE,

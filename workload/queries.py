@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from failsift.catalog import active_checks
+from failsift.catalog import Check, active_checks
 from failsift.functions.fields import canonical_json
 from failsift.functions.text import normalise
 from failsift.functions.times import api_time, backfill_window
@@ -19,7 +19,7 @@ from failsift.plans import archive, lookup
 from failsift.plans.triage import Triage, triage
 from failsift.session import settle, work_dir
 from failsift.sources import store
-from failsift.sources.files import log_urls
+from failsift.sources.files import job_listing, log_urls
 from failsift.streaming.budget import retry_budget_stream
 from failsift.streaming.triage import triage_stream, unique_events, waiting_events
 from workload.views import stream_view, view
@@ -29,6 +29,10 @@ QUERIES: dict[str, Query] = {}
 
 HOOK_URL = "http://127.0.0.1:8080/hook"
 RANGE = backfill_window("2024-01-02", "2024-01-03")
+NESTED = tree.But(
+    tree.Either((tree.Phrase("failed to connect"), tree.Prefix("cannot modi"), tree.Initial("el"))),
+    tree.All((tree.Phrase("failed"), tree.Prefix("gitl"))),
+)
 
 
 def query(fn: Query) -> Query:
@@ -75,6 +79,16 @@ def enum_gap(spark, sf):
     return label_gaps(classify(view(spark, sf, "job_log")))
 
 
+@query
+def own_check(spark, sf):
+    """Entries of a user's own next to those of the catalog."""
+    own = [
+        Check("long_log", "more than 3000 characters", lambda reason, log: F.length(log) > 3000, "pattern"),
+        Check("stuck_or_11", "stuck, or error -11", lambda reason, log: (reason == "stuck_or_timeout_failure") | log.contains("-11"), "pattern"),
+    ]
+    return classify(view(spark, sf, "job_log"), own)
+
+
 # Decoding
 
 
@@ -281,6 +295,51 @@ def archive_search(spark, sf):
     return search.page_fields(jobs, search.result_page(search.found_jobs(jobs, found)))
 
 
+def _listing(spark, sf) -> DataFrame:
+    return view(spark, sf, "job").select("job_id", "job_blob")
+
+
+@query
+def listing_pages(spark, sf):
+    """Pages of listed jobs, each a file of its own, read as one table."""
+    folder = work_dir(spark, "listing")
+    pages = _listing(spark, sf).select("job_blob", F.floor(F.col("job_id") / 100).alias("page"))
+    pages.repartition("page").write.partitionBy("page").text(folder)
+    return job_listing(spark, folder).select("job_id", "status", "created_at", "web_url")
+
+
+def _job_parts(spark, sf, parts: int = 4) -> str:
+    """The job table filled in parts that each hold all jobs of the parts before; the folder of the store."""
+    _, root = _fresh_store(spark, "parts")
+    rows = settle(enrich.index_rows(_jobs(spark, sf)))
+    for part in range(parts):
+        store.append_new(rows.where(F.col("job_id") % parts <= part), root, "job", f"part-{part}")
+    return root
+
+
+@query
+def rows_added(spark, sf):
+    """What each append added, as counted on the way to the store."""
+    return store.contents(spark, _job_parts(spark, sf)).where("rows > 0")
+
+
+@query
+def merged_jobs(spark, sf):
+    """The job table after its folders were merged, and a batch that ran again after that."""
+    root = _job_parts(spark, sf)
+    store.tidy(spark, root, "job")
+    again = enrich.index_rows(_jobs(spark, sf)).where(F.col("job_id") % 4 <= 2)
+    store.append_new(again, root, "job", "part-2")
+    return store.read_table(spark, root, "job").select("job_id", "job_url", "created_at")
+
+
+@query
+def store_contents(spark, sf):
+    """Rows per table of a store that was created empty and filled by the backfill."""
+    held = store.contents(spark, _archive(spark, sf))
+    return held.groupBy("table_name").agg(F.sum("rows").alias("rows"))
+
+
 # Search
 
 
@@ -378,12 +437,21 @@ def search_index_page(spark, sf):
 
 @query
 def search_nested(spark, sf):
-    wanted = tree.But(
-        tree.Either((tree.Phrase("failed to connect"), tree.Prefix("cannot modi"), tree.Initial("el"))),
-        tree.All((tree.Phrase("failed"), tree.Prefix("gitl"))),
-    )
     root = _indexed(spark, sf)
-    return lookup.found_ids(wanted, index=store.read_index(spark, root))
+    return lookup.found_ids(NESTED, index=store.read_index(spark, root))
+
+
+@query
+def compacted_search(spark, sf):
+    """The nested search over an index that came in eight batches and was merged in between."""
+    root = work_dir(spark, "compacted")
+    store.init_store(spark, root)
+    logs = view(spark, sf, "job_log").select("job_id", "trace")
+    for part in range(8):
+        some = logs.where(F.col("job_id") % 8 == part)
+        store.append_logs(some.select("job_id"), some, root, f"part-{part}")
+        store.tidy(spark, root, "log_term")
+    return lookup.found_ids(NESTED, index=store.read_index(spark, root))
 
 
 @query
