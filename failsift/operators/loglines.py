@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from failsift.operators.sizing import JobIds
@@ -37,6 +37,42 @@ def grep(logs: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+def grep_ranges(parts: DataFrame, pattern: str) -> DataFrame:
+    """The same as :func:`grep` over logs that come in ranges (job_id, start, trace) cut at line ends.
+
+    Each range numbers its own lines and counts its line ends. Numbers within the log follow
+    from sums over its ranges, which meet as found lines and counts, without log text. A log
+    with a range that is not valid text (``trace`` null) is left out. Of a line that had to be
+    cut each part is searched, under one number.
+    """
+    lines = F.split(F.regexp_replace("trace", r"\n\z", ""), "\n")
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), line.alias("line")))
+    some = F.length("trace") > 0
+    found = F.when(some, F.filter(numbered, lambda l: l["line"].rlike("(?d)" + pattern)))
+    held = F.length("trace") - F.length(F.replace("trace", F.lit("\n"), F.lit("")))
+    # one entry without a line stands for the range itself
+    range_ = F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"))
+    rows = parts.select(
+        "job_id", "start", held.alias("held"), F.explode(F.concat(F.array(range_), F.coalesce(found, F.array()))).alias("l")
+    )
+    of_job = Window.partitionBy("job_id")
+    earlier = of_job.orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    counted = rows.select(
+        "job_id",
+        "start",
+        "l.line",
+        (F.col("l.line_no") + F.coalesce(F.sum(F.when(F.col("l.line").isNull(), F.col("held"))).over(earlier), F.lit(0))).alias("line_no"),
+        F.count("l.line").over(of_job).alias("matches"),
+        F.count_if(F.col("held").isNull()).over(of_job).alias("unread"),
+    ).where("unread = 0")
+    shown = F.col("line").isNotNull() | ((F.col("matches") == 0) & (F.col("start") == 0))
+    return counted.where(shown).select(
+        "job_id",
+        F.when(F.col("line").isNull(), 0).otherwise(F.col("line_no")).cast("bigint").alias("line_no"),
+        F.concat(F.col("job_id").cast("string"), F.lit(":"), F.coalesce("line", F.lit(""))).alias("line"),
+    )
+
+
 def grep_jobs(logs: DataFrame, ids: DataFrame, pattern: str) -> DataFrame:
     """Grep over the logs of the selected jobs, in reverse lexical order of the ids.
 

@@ -512,6 +512,18 @@ ORACLE: dict[str, str] = {
         "LEFT JOIN found l ON l.job_id = g.job_id ORDER BY CAST(g.job_id AS VARCHAR) DESC, 2",
         found=_LINES,
     ),
+    "raw_log_source": with_views(
+        "job job_log",
+        "SELECT l.job_id, strlen(l.trace) + CASE WHEN l.job_id % 19 = 0 THEN 1 ELSE 0 END AS size, "
+        "CASE WHEN l.job_id % 19 <> 0 THEN md5(l.trace) END AS digest "
+        "FROM job_log l JOIN job j ON j.job_id = l.job_id WHERE j.status = 'failed'",
+    ),
+    "raw_log_grep": with_views(
+        "job_log",
+        "SELECT g.job_id, coalesce(l.line_no, 0) AS line_no, CAST(g.job_id AS VARCHAR) || ':' || coalesce(l.line, '') AS line "
+        "FROM job_log g LEFT JOIN found l ON l.job_id = g.job_id WHERE g.job_id % 19 <> 0",
+        found=_LINES,
+    ),
     "failing_tests": with_views("job_log", f"{_TESTS} ORDER BY test_name"),
     "stat_test_kinds": with_views(
         "job_log test_def",

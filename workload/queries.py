@@ -20,6 +20,7 @@ from failsift.plans.triage import Triage, triage
 from failsift.session import settle, work_dir
 from failsift.sources import store
 from failsift.sources.files import job_listing, log_urls
+from failsift.sources.rawlogs import chosen_logs, raw_logs, write_logs
 from failsift.streaming.budget import retry_budget_stream
 from failsift.streaming.triage import triage_stream, unique_events, waiting_events
 from workload.views import stream_view, view
@@ -526,6 +527,30 @@ def grep_logs(spark, sf):
     return loglines.grep_jobs(logs, ids, "[Ff]ailed|error")
 
 
+def _log_files(spark, sf) -> str:
+    """The logs as files, some of them no valid UTF-8; their folder."""
+    folder = work_dir(spark, "raw-logs")
+    trace = F.col("trace").cast("binary")
+    content = F.when(F.col("job_id") % 19 == 0, F.concat(trace, F.unhex(F.lit("FF")))).otherwise(trace)
+    write_logs(view(spark, sf, "job_log").select("job_id", content.alias("content")), folder)
+    return folder
+
+
+@query
+def raw_log_source(spark, sf):
+    """The logs of the failed jobs from their files; other files are not opened."""
+    ids = view(spark, sf, "job").where(F.col("status") == "failed").select("job_id")
+    logs = chosen_logs(spark, _log_files(spark, sf), ids)
+    return logs.select("job_id", "size", F.md5("trace").alias("digest"))
+
+
+@query
+def raw_log_grep(spark, sf):
+    """Lines of all log files, long ones cut into ranges."""
+    logs = raw_logs(spark, _log_files(spark, sf), partition_bytes=16_384)
+    return loglines.grep_ranges(logs.where("job_id IS NOT NULL"), "[Ff]ailed|error")
+
+
 @query
 def failing_tests(spark, sf):
     return loglines.failing_tests(view(spark, sf, "job_log")).orderBy("test_name")
