@@ -71,7 +71,10 @@ class Counter:
 
     def count(self, text: str) -> int:
         if self.quick is not None and (text.isascii() or max(text) < PLAIN_LIMIT):
-            return len(self.quick.encode(text, allowed_special="all"))
+            try:
+                return len(self.quick.encode(text, allowed_special="all"))
+            except ValueError:  # a very long run of blanks, which its pattern cannot go back through
+                pass
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
 

@@ -27,6 +27,11 @@ def test_counts_of_special_strings_scripts_and_runs(counter, text):
     assert counter.count(text) == len(counter.library.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("blanks", [" " * 1_000_000, "a" + " \t" * 1_000_000 + "b", "\n" * 1_200_000])
+def test_very_long_blanks(counter, blanks):
+    assert counter.count(blanks) == len(counter.library.encode(blanks, add_special_tokens=False).ids)
+
+
 def test_only_new_contents_are_encoded_and_appended(spark, docs_of):
     cache = tc.fresh_cache(spark)
     rows = [(1, "one two"), (2, "one two"), (3, None), (4, ""), (None, "one two"), (None, "alone"), (None, "alone"), (5, "five"), (5, "five"), (6, "w " * 90_000)]
