@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from failsift.functions.fields import breadcrumb
 from failsift.operators.upsert import one_per_key
-from failsift.session import settle
+from failsift.session import settle, settle_and_measure
 
 # Fixed value: retries granted per lineage.
 MAX_RETRIES = 10
@@ -110,21 +110,22 @@ def retry_lineage(links: DataFrame) -> DataFrame:
     :func:`lost_links` names links that a lineage cannot follow.
     """
     parents = links.select(F.col("new_job_id").alias("job_id"), F.col("job_id").alias("root"))
-    known = settle(one_per_key(parents, ["job_id"]).select("*", F.lit(1).cast("bigint").alias("depth")))
+    first = one_per_key(parents, ["job_id"]).select("*", F.lit(1).cast("bigint").alias("depth"))
+    known, held = settle_and_measure(first, F.count(F.lit(1)).alias("links"))
     # A look-back longer than the number of links is a walk around a cycle.
-    rounds = max(1, (known.count() + 1).bit_length() + 1)
+    rounds = max(1, (held.get("links", 0) + 1).bit_length() + 1)
     done, open_ = None, known
     for _ in range(rounds):
         step = known.select(
             F.col("job_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more")
         )
-        moved = settle(open_.join(step, "root", "left"))
+        moved, held = settle_and_measure(open_.join(step, "root", "left"), F.count("next").alias("open"))
         arrived = moved.where(F.col("next").isNull()).select("job_id", "root", "depth")
         done = arrived if done is None else done.unionByName(arrived)
         open_ = moved.where(F.col("next").isNotNull()).select(
             "job_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth")
         )
-        if open_.isEmpty():
+        if not held.get("open"):
             break
         known = done.unionByName(open_)
     roots = (
@@ -189,19 +190,18 @@ def bookkeeping(commands: DataFrame, links: DataFrame, chunks: int | None = None
     )
     decided = retry_budget(rooted, chunks)
     granted = F.col("decision") == "retry"
-    # The wording of the notes.
     note = (
         F.when(
             granted,
             F.concat(
-                F.lit("retried as job "),
+                F.lit("continued by "),
                 F.col("new_job_id").cast("string"),
-                F.lit(":Retries remaining = "),
+                F.lit(", left "),
                 F.col("retries_remaining").cast("string"),
             ),
         )
-        .when(F.col("decision") == "exceeded", "exceeded max retries")
-        .otherwise(F.concat(F.lit("ERR: Giving up retrying job "), F.col("job_id").cast("string")))
+        .when(F.col("decision") == "exceeded", "no retry left")
+        .otherwise(F.concat(F.lit("no new job for "), F.col("job_id").cast("string")))
     )
     return decided.select(
         "job_id",

@@ -8,6 +8,7 @@ token rule.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from failsift.functions.fields import once, or_not_available, raw_log_url
 from failsift.functions.text import normalise, terms_of
 from failsift.functions.times import api_time, shown_time
+from failsift.session import settle
 
 PAGE_SIZE = 50
 
@@ -86,23 +88,60 @@ def found_jobs(jobs: DataFrame, found: DataFrame) -> DataFrame:
     return dated.join(found.select("job_id"), "job_id", "left_semi")
 
 
-def result_page(results: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """The rows of one page, the newest first by ``rank``, with ``has_next`` on each.
+def _newest() -> list[Column]:
+    return [F.col("created_at").desc(), F.col("job_id").desc()]
 
-    One row beyond the page is fetched to tell whether another page follows.
-    The window below sees that one page only.
-    """
-    start = (max(page, 1) - 1) * size
-    newest = [F.col("created_at").desc(), F.col("job_id").desc()]
-    fetched = results.orderBy(*newest).offset(start).limit(size + 1)
+
+def _ranked(fetched: DataFrame, size: int) -> DataFrame:
+    """``rank`` and ``has_next`` for at most one page and a row; the window sees these rows only."""
     one_page = Window.partitionBy(F.lit(0))
     return (
         fetched.withColumn("has_next", F.count("*").over(one_page) > size)
-        .withColumn("rank", F.row_number().over(one_page.orderBy(*newest)).cast("bigint"))
+        .withColumn("rank", F.row_number().over(one_page.orderBy(*_newest())).cast("bigint"))
         .where(F.col("rank") <= size)
     )
 
 
+def result_page(results: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """The rows of one page, the newest first by ``rank``, with ``has_next`` on each.
+
+    One row beyond the page is fetched to tell whether another page follows. All rows up to
+    the page are fetched with it: for pages far on take :func:`page_after` or :func:`page_by_ranges`.
+    """
+    start = (max(page, 1) - 1) * size
+    return _ranked(results.orderBy(*_newest()).offset(start).limit(size + 1), size)
+
+
+def page_after(results: DataFrame, after: tuple[datetime, int], size: int = PAGE_SIZE) -> DataFrame:
+    """The page that follows the row (created_at, job_id), as the last one of the page before.
+
+    However far on it is, a task keeps one page and one row; and rows that come in front
+    while a user turns pages shift nothing.
+    """
+    at, job_id = F.lit(after[0]), F.lit(after[1])
+    older = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("job_id") < job_id))
+    return _ranked(results.where(older).orderBy(*_newest()).limit(size + 1), size)
+
+
+def page_by_ranges(results: DataFrame, page: int, size: int = PAGE_SIZE, parts: int | None = None) -> DataFrame:
+    """The same page as :func:`result_page`, read from the ranges of the result that hold it.
+
+    The narrow result is dealt into ranges of the order once and stored; their counts tell
+    which of them the page lies in, and only these are sorted.
+    """
+    dealt = results.repartitionByRange(parts, *_newest()) if parts else results.repartitionByRange(*_newest())
+    ranged = settle(dealt.withColumn("_range", F.spark_partition_id()))
+    start = (max(page, 1) - 1) * size
+    before, skipped, held = 0, None, []
+    for number, rows in sorted(map(tuple, ranged.groupBy("_range").agg(F.count("*")).collect())):
+        if before + rows > start and before < start + size + 1:
+            held.append(number)
+            skipped = before if skipped is None else skipped
+        before += rows
+    some = ranged.where(F.col("_range").isin(held)).drop("_range")
+    return _ranked(some.orderBy(*_newest()).offset(start - (skipped or 0)).limit(size + 1), size)
+
+
 def page_fields(jobs: DataFrame, page: DataFrame) -> DataFrame:
     """The result fields of the jobs of one page, read from the job objects.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from failsift.operators import search
 from failsift.operators.tree import Phrase, Tree, exact_terms, jobs_in_index, jobs_in_logs
 from failsift.sources.store import read_index, read_table
 
+# Pages up to this number are fetched with all rows before them.
+NEAR_PAGES = 20
+
 
 def found_ids(
     wanted: str | Column | Tree | None, logs: DataFrame | None = None, index: DataFrame | None = None
@@ -31,14 +36,22 @@ def find(
     page: int = 1,
     size: int = search.PAGE_SIZE,
     index: DataFrame | None = None,
+    after: tuple[datetime, int] | None = None,
 ) -> DataFrame:
-    """One page of the jobs whose log matches.
+    """One page of the jobs whose log matches: by its number, or ``after`` the (created_at,
+    job_id) of the last row shown.
 
     Without a keyword there is no search, and the page is empty; ask
     :func:`failsift.operators.search.is_search` to tell that from no results.
     """
     found = search.found_jobs(jobs, found_ids(wanted, logs, index))
-    return search.page_fields(jobs, search.result_page(found, page, size))
+    if after:
+        shown = search.page_after(found, after, size)
+    elif page > NEAR_PAGES:
+        shown = search.page_by_ranges(found, page, size)
+    else:
+        shown = search.result_page(found, page, size)
+    return search.page_fields(jobs, shown)
 
 
 def find_stored(spark: SparkSession, root: str, tree: Tree, page: int = 1, size: int = search.PAGE_SIZE) -> DataFrame:

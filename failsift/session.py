@@ -8,7 +8,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 # A scan decodes this many rows at a time. Logs of a megabyte and more would make the
@@ -65,6 +65,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_and_measure(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict[str, object]]:
+    """Like :func:`settle`, with aggregates that are taken while the rows are written."""
+    seen = Observation()
+    stored = settle(df.observe(seen, *measures))
+    return stored, seen.get
+
+
 def at_once(spark: SparkSession, *steps: Callable[[], object]) -> list[object]:
     """Run steps that do not depend on each other side by side, so that the jobs of one fill
     what those of another leave idle; gives their results, or raises the first error."""

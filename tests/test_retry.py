@@ -136,6 +136,6 @@ def test_bookkeeping_equals_the_map_of_job_counts(spark):
     assert {r.job_id: (r.decision, r.new_job_id, r.retries_remaining) for r in got} == want
     first = next(r for r in got if r.decision == "retry")
     assert first.note == (
-        f"{first.job_id}:finished:failed:retrying:retried as job {first.new_job_id}"
-        f":Retries remaining = {first.retries_remaining}"
+        f"{first.job_id}:finished:failed:retrying:continued by {first.new_job_id}"
+        f", left {first.retries_remaining}"
     )

@@ -237,3 +237,30 @@ def test_trees_agree_over_logs_and_index(spark):
 def test_a_keyword_of_signs_finds_nothing(spark):
     df = logs(spark, ["a -- b", ""])
     assert lookup.total(df, "--").first().matches == 0
+
+
+def test_pages_by_key_and_by_ranges_equal_pages_by_number(spark):
+    """Ties of the time are broken by the id."""
+    rows = [(i, datetime(2024, 1, 1 + i * 7 % 5)) for i in range(1, 48)]
+    results = spark.createDataFrame(rows, "job_id BIGINT, created_at TIMESTAMP").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+    last = None
+    for page in range(1, 8):
+        plain = sorted(map(tuple, search.result_page(results, page, 9).collect()))
+        assert [r[0] for r in sorted(plain, key=lambda r: r[3])] == [r[0] for r in ordered[9 * page - 9 : 9 * page]]
+        for parts in (1, 4, 40):
+            assert sorted(map(tuple, search.page_by_ranges(results, page, 9, parts).collect())) == plain
+        if last:
+            assert sorted(map(tuple, search.page_after(results, last, 9).collect())) == plain
+        if plain:
+            shown = max(plain, key=lambda r: r[3])
+            last = shown[1], shown[0]
+    assert search.page_by_ranges(results.limit(0), 3).count() == 0
+
+
+def test_a_page_by_its_key_keeps_one_page_per_task(spark):
+    results = spark.range(10_000).selectExpr("id AS job_id", "timestamp_seconds(id DIV 3) AS created_at")
+    page = search.page_after(results, (datetime(1970, 1, 1, 0, 30), 5_000), 50)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=51" in plan
+    assert [r.rank for r in sorted(page.collect())] == list(range(50, 0, -1))

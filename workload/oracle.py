@@ -241,10 +241,10 @@ FROM job_cmd c LEFT JOIN lineage p ON p.job_id = c.job_id LEFT JOIN link k ON k.
 _BOOKS = """
 SELECT job_id, root, decision, CASE WHEN decision = 'retry' THEN new_job_id END AS new_job_id, retries_remaining,
   CAST(job_id AS VARCHAR) || ':finished:failed:retrying:' || CASE decision
-    WHEN 'retry' THEN 'retried as job ' || CAST(new_job_id AS VARCHAR) || ':Retries remaining = '
+    WHEN 'retry' THEN 'continued by ' || CAST(new_job_id AS VARCHAR) || ', left '
       || CAST(retries_remaining AS VARCHAR)
-    WHEN 'exceeded' THEN 'exceeded max retries'
-    ELSE 'ERR: Giving up retrying job ' || CAST(job_id AS VARCHAR) END AS note
+    WHEN 'exceeded' THEN 'no retry left'
+    ELSE 'no new job for ' || CAST(job_id AS VARCHAR) END AS note
 FROM decided"""
 
 _FAILURE_ROWS = """
@@ -471,6 +471,22 @@ ORACLE: dict[str, str] = {
         norm=_NORM,
         result=_RESULT.format(needle=" failed "),
     ),
+    "search_page_after": with_views(
+        "job job_log",
+        "SELECT * EXCLUDE (n), n > 100 AS has_next FROM (SELECT *, row_number() OVER "
+        "(ORDER BY created_at DESC, job_id DESC) - 50 AS rank, count(*) OVER () AS n FROM result) r "
+        "WHERE rank BETWEEN 1 AND 50",
+        norm=_NORM,
+        result=_RESULT.format(needle=" failed "),
+    ),
+    "search_page_far": with_views(
+        "job job_log",
+        "SELECT job_id, created_at, rank, n > 50 AS has_next FROM (SELECT *, row_number() OVER "
+        "(ORDER BY created_at DESC, job_id DESC) - 40 AS rank, count(*) OVER () AS n FROM result) r "
+        "WHERE rank BETWEEN 1 AND 10",
+        norm=_NORM,
+        result=_RESULT.format(needle=" failed "),
+    ),
     "search_last_page": with_views(
         "job job_log",
         "SELECT job_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, job_url, "

@@ -507,6 +507,21 @@ def search_page(spark, sf):
     return lookup.find(_job_rows(spark, sf), _logs(spark, sf), search.phrase("failed"), page=2)
 
 
+@query
+def search_page_after(spark, sf):
+    """The page behind the last row of the first one."""
+    jobs, logs, wanted = _job_rows(spark, sf), _logs(spark, sf), search.phrase("failed")
+    first = lookup.find(jobs, logs, wanted).agg(F.min(F.struct("created_at", "job_id")).alias("last")).first()
+    return lookup.find(jobs, logs, wanted, after=tuple(first["last"]))
+
+
+@query
+def search_page_far(spark, sf):
+    """A page by its number, from the ranges of the result that hold it."""
+    found = search.found_jobs(_job_rows(spark, sf), search.matches(_logs(spark, sf), search.phrase("failed")))
+    return search.page_by_ranges(found, page=5, size=10)
+
+
 @query
 def search_last_page(spark, sf):
     return search.shown(lookup.find(_job_rows(spark, sf), _logs(spark, sf), "resource busy"))
