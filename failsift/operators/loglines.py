@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failsift.operators.sizing import JobIds
@@ -139,6 +139,59 @@ def stat_tests_from_source(lines: DataFrame, tests: DataFrame) -> DataFrame:
         )
         .distinct()
     )
+    return _collecting_near(named, lines)
+
+
+GRAM = 6
+MAX_SENT_NAMES = 200
+
+
+def _grams(text: Column, length: int) -> Column:
+    """The distinct runs of ``length`` characters of a text, in one walk over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+
+
+def names_within(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """(file, line_no, test_name) where a name stands anywhere in a line, also within words.
+
+    A few names are sought in each line where it lies. Of more, every name is looked up by that run of six characters (or the whole name, if shorter) of
+    its own which the fewest lines hold, so a line meets a name only if they share it; what
+    meets is verified. Only runs that names have are counted and joined.
+    """
+    wanted = settle(names.where(F.length("test_name") > 0).select("test_name").distinct())
+    few = [r.test_name for r in wanted.limit(MAX_SENT_NAMES + 1).collect()]
+    if len(few) <= MAX_SENT_NAMES:
+        here = F.filter(F.array(*map(F.lit, few)), lambda name: F.col("text").contains(name)) if few else F.array().cast("array<string>")
+        return lines.select("file", "line_no", F.explode(here).alias("test_name"))
+    sizes = [r[0] for r in wanted.select(F.least(F.length("test_name"), F.lit(GRAM))).distinct().collect()]
+    own = wanted.select("test_name", F.explode(F.when(F.length("test_name") < GRAM, F.array("test_name")).otherwise(_grams(F.col("test_name"), GRAM))).alias("gram"))
+    of_line = F.flatten(F.array(*[_grams(F.col("text"), n) for n in sorted(sizes)])) if sizes else F.array().cast("array<string>")
+    held = lines.select("file", "line_no", F.explode(of_line).alias("gram"))
+    counts = held.select("gram").join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = (
+        own.join(counts, "gram", "left")
+        .groupBy("test_name")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+        .where("least.n > 0")
+        .select("test_name", F.col("least.gram").alias("gram"))
+    )
+    met = held.join(settle(rarest), "gram").select("file", "line_no", "test_name")
+    verified = met.join(lines.select("file", "line_no", "text"), ["file", "line_no"]).where(F.col("text").contains(F.col("test_name")))
+    return verified.select("file", "line_no", "test_name")
+
+
+def stat_tests_substring(lines: DataFrame, tests: DataFrame) -> DataFrame:
+    """The same as :func:`stat_tests_from_source` for names of any characters, found anywhere in a line."""
+    named = (
+        names_within(lines, tests)
+        .select("file", "test_name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(CONTEXT_LINES)), lambda i: F.col("line_no") + i)).alias("line_no"))
+        .distinct()
+    )
+    return _collecting_near(named, lines)
+
+
+def _collecting_near(named: DataFrame, lines: DataFrame) -> DataFrame:
+    """Kinds of the collecting lines that stand near a name."""
     collecting = lines.where(F.col("text").contains("collect_")).select(
         "file",
         "line_no",

@@ -605,6 +605,18 @@ ORACLE: dict[str, str] = {
         counted="SELECT DISTINCT l.file, l.line_no, n.test_name, l.text FROM line l JOIN named n "
         "ON n.file = l.file AND l.line_no BETWEEN n.line_no AND n.line_no + 3",
     ),
+    "stat_tests_substring": with_views(
+        "job_log",
+        "SELECT 'collect_stats' AS kind, count(*) AS lines FROM counted WHERE contains(text, 'collect_stats') "
+        "UNION ALL SELECT 'collect_compiler', count(*) FROM counted WHERE contains(text, 'collect_compiler')",
+        test=_TESTS,
+        raw="SELECT job_id AS file, unnest(string_split(trace, chr(10))) AS line, "
+        "unnest(range(1, len(string_split(trace, chr(10))) + 1)) AS line_no FROM job_log",
+        line="SELECT file, line_no, line || CASE WHEN (file + line_no) % 5 = 0 THEN ' collect_stats' ELSE '' END AS text FROM raw",
+        named="SELECT file, line_no, test_name FROM line JOIN test ON contains(text, test_name)",
+        counted="SELECT DISTINCT l.file, l.line_no, n.test_name, l.text FROM line l JOIN named n "
+        "ON n.file = l.file AND l.line_no BETWEEN n.line_no AND n.line_no + 3",
+    ),
     "stream_dedupe": with_views(
         "job_event", "SELECT * FROM event WHERE build_finished_at IS NOT NULL", event=_EVENT
     ),

@@ -577,16 +577,29 @@ def stat_test_kinds(spark, sf):
     return loglines.stat_test_kinds(tests, view(spark, sf, "test_def"))
 
 
-@query
-def stat_tests_from_source(spark, sf):
+def _source_lines(spark, sf) -> DataFrame:
     files = view(spark, sf, "source_file").select("file", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     number = F.col("place") + 1
     mark = (
         F.when((F.col("file") + number) % 5 == 0, " collect_stats").when((F.col("file") + number) % 7 == 0, " collect_compiler_x").otherwise("")
     )
-    lines = files.select("file", number.alias("line_no"), F.concat("line", mark).alias("text"))
+    return files.select("file", number.alias("line_no"), F.concat("line", mark).alias("text"))
+
+
+@query
+def stat_tests_from_source(spark, sf):
     tests = spark.createDataFrame([("the",), ("que",), ("der",), ("thnt",)], "test_name STRING")
-    return loglines.stat_tests_from_source(lines, tests)
+    return loglines.stat_tests_from_source(_source_lines(spark, sf), tests)
+
+
+@query
+def stat_tests_substring(spark, sf):
+    """The failing tests, found anywhere in the lines of all logs."""
+    lines = view(spark, sf, "job_log").select(F.col("job_id").alias("file"), F.posexplode(F.split("trace", "\n")).alias("place", "line"))
+    number = F.col("place") + 1
+    mark = F.when((F.col("file") + number) % 5 == 0, " collect_stats").otherwise("")
+    marked = lines.select("file", number.alias("line_no"), F.concat("line", mark).alias("text"))
+    return loglines.stat_tests_substring(marked, loglines.failing_tests(view(spark, sf, "job_log")))
 
 
 def _builds(spark, sf):
