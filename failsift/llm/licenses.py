@@ -9,10 +9,13 @@ Units that share no bigram with any template are dropped first. All of it is a p
 over the scanned rows, with the templates as literals: no row is shuffled.
 
 A window begins and ends with a bigram of its template, may cross lines and has at most
-(2-t)/t times as many bigrams, repeats counted. Of windows that overlap, the one with most bigrams of
-its template stays; a line or document that matches with as many stands for the windows in it.
+(2-t)/t times as many bigrams, repeats counted. It spans one alignment of the template with the
+text, or two that begin close to each other, as words put in or left out move what follows.
+Of windows that overlap, the one with most bigrams of its template stays, in one pass by start;
+a line or document that matches with as many stands for the windows in it.
 Windows are looked for where the document holds enough of a template's bigrams, which is asked
-only of documents that hold a word without which they cannot.
+only of documents that hold a word without which they cannot. The work grows with the length of
+a text, also where it holds nothing but notices.
 
 Defined cases: null and empty texts and units of fewer than two words match nothing; a
 document without match has a null licence, score 0 and 0 matches. Equal scores go to the
@@ -25,6 +28,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +81,27 @@ TEMPLATES = {
 }
 
 
-def template_bigrams(text: str) -> list[str]:
+def bigrams_in_order(text: str) -> list[str]:
     words = re.sub(r"[^\w]+|_+", " ", text.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def template_bigrams(text: str) -> list[str]:
+    return sorted(set(bigrams_in_order(text)))
+
+
+def known_bigrams(templates: dict[str, str]) -> list[str]:
+    return sorted({b for text in templates.values() for b in template_bigrams(text)})
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def constants(values: list) -> Column:
+    """A constant array of strings, folded to one literal by the optimizer."""
+    return F.split(F.lit("|".join(map(str, values))), r"\|")
 
 
 def words_of(text: Column) -> Column:
@@ -95,37 +117,57 @@ def bigrams_of(words: Column) -> Column:
     )
 
 
-def best_matches(units: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """(order, licence, shared bigrams) of the best template of each of ``units`` that matches one."""
-    sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
+def template_table(templates: dict[str, str], threshold: float) -> Column:
+    """The templates as one constant array: bigrams, their numbers in the order of the text, bounds."""
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
-    known = sorted({b for s in sets.values() for b in s})
-    shortest = min(len(s) for s in sets.values()) * least
-    words = F.filter(F.transform(units, words_of), lambda w: F.size(w) >= 2)
-    bigrams = F.filter(F.transform(words, bigrams_of), lambda b: F.size(b) >= F.lit(shortest))
-    shared = F.filter(
-        F.transform(
-            bigrams,
-            lambda b: F.struct(F.size(b).alias("size"), F.filter(b, lambda x: x.isin(known)).alias("shared")),
-        ),
-        lambda s: F.size(s["shared"]) > 0,
-    )
+    known, rows = known_bigrams(templates), []
+    for name, text in sorted(templates.items()):
+        own, numbers = template_bigrams(text), [known.index(b) + 1 for b in bigrams_in_order(text)]
+        longest = int(len(own) * most + 1e-9)
+        rows.append(
+            F.struct(
+                F.lit(name).alias("licence"),
+                constants(own).alias("own"),
+                F.lit(len(own)).alias("size"),
+                F.lit(len(own) * least).alias("low"),
+                F.lit(len(own) * most).alias("high"),
+                constants(numbers).cast("array<bigint>").alias("numbers"),
+                F.lit(max(1, math.ceil(len(own) * least - 1e-9))).alias("need"),
+                F.lit(longest).alias("longest"),
+                F.lit(max(0, longest - len(numbers))).alias("slack"),
+            )
+        )
+    return F.array(*rows)
+
+
+def best_of_units(units: Column, table: Column, known: list[str], threshold: float) -> Column:
+    """Per unit its words and its best template, (order, licence, shared bigrams), if one matches."""
 
     def best(s: Column) -> Column:
-        scores = []
-        for name, own in sets.items():
-            in_bounds = s["size"].between(len(own) * least, len(own) * most)
-            both = F.size(F.filter(s["shared"], lambda b: b.isin(own)))
-            scores.append(
-                F.struct(
-                    (-F.when(in_bounds, both * 2.0 / (s["size"] + len(own))).otherwise(0.0)).alias("order"),
-                    F.lit(name).alias("licence"),
-                    both.alias("shared"),
-                )
-            )
-        return F.array_min(F.array(*scores))
+        possible = F.filter(
+            table,
+            lambda t: s["size"].between(t["low"], t["high"]) & (F.size(s["shared"]) * 2.0 / (s["size"] + t["size"]) >= threshold),
+        )
+        scores = F.transform(
+            possible,
+            lambda t: bound(
+                F.size(F.array_intersect(t["own"], s["shared"])),
+                lambda both: F.struct(
+                    (-(both * 2.0 / (s["size"] + t["size"]))).alias("order"), t["licence"].alias("licence"), both.alias("shared")
+                ),
+            ),
+        )
+        return F.array_min(F.filter(scores, lambda b: b["order"] <= -threshold))
 
-    return F.filter(F.transform(shared, best), lambda b: b["order"] <= -threshold)
+    def matched(words: Column) -> Column:
+        shared = bound(
+            bigrams_of(words),
+            lambda b: F.struct(F.size(b).alias("size"), F.filter(b, lambda x: x.isin(known)).alias("shared")),
+        )
+        chosen = F.when(F.size(words) >= 2, bound(shared, lambda s: F.when(F.size(s["shared"]) > 0, best(s))))
+        return F.struct(F.size(words).alias("words"), chosen.alias("best"))
+
+    return F.transform(F.transform(units, words_of), matched)
 
 
 def telling_words(own: list[str], need: int) -> list[str]:
@@ -137,123 +179,173 @@ def telling_words(own: list[str], need: int) -> list[str]:
     return words
 
 
-def with_windows(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """``docs`` (doc_id, text, found) with the windows that match added to ``found``."""
-    sets = {name: template_bigrams(text) for name, text in sorted(templates.items())}
-    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
-    known = sorted({b for s in sets.values() for b in s})
-    needs = {name: max(1, math.ceil(len(s) * least - 1e-9)) for name, s in sets.items()}
-    sought = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("licence"),
-                F.array(*map(F.lit, own)).alias("own"),
-                F.lit(needs[name]).alias("need"),
-                F.lit(int(len(own) * most + 1e-9)).alias("longest"),
+def windows_of(grams: Column, table: Column, known: list[str], threshold: float) -> Column:
+    """(start, end, shared, order, licence) of the windows of ``grams`` that match, by start.
+
+    A place of a template's bigram tells where the template would begin, its offset. A window
+    reaches from one offset to where the template that begins at the same or a later offset would
+    end, and is cut to the template's first and last bigram in it.
+    """
+
+    def search(t: Column, ids: Column) -> Column:
+        def window(start: Column, end: Column, ks: Column) -> Column:
+            """The cut window as one number, null if it holds too few places of the template."""
+            places = F.transform(F.slice(ks, start + 1, end - start + 1), lambda k, i: F.when(k > 0, start + i))
+            return bound(
+                F.filter(places, lambda p: p.isNotNull()),
+                lambda p: F.when(
+                    F.size(p) >= t["need"], F.shiftleft(F.element_at(p, 1).cast("long"), 32) + F.element_at(p, -1)
+                ),
             )
-            for name, own in sets.items()
-        ]
-    )
-    grams = F.zip_with(
-        F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)
-    )
 
-    def search(t: Column) -> Column:
-        """The windows of one template; ``need`` places are within reach of each start."""
-        places = F.filter(F.transform("grams", lambda g, p: F.when(F.array_contains(t["own"], g), p)), lambda p: p.isNotNull())
+        def from_offset(o: Column, i: Column, offsets: Column, ks: Column) -> Column:
+            ends = F.filter(F.slice(offsets, i + 1, t["slack"] + 1), lambda e: e <= o + t["slack"])
+            start, last = F.greatest(o, F.lit(0)), F.size(ks) - 1
+            return F.transform(ends, lambda e: window(start, F.least(e + F.size(t["numbers"]) - 1, last), ks))
+
+        def scored(start: Column, end: Column, ks: Column) -> Column:
+            size = end - start + 1
+            both = F.size(F.array_distinct(F.filter(F.slice(ks, start + 1, size), lambda k: k > 0)))
+            return bound(
+                both,
+                lambda n: F.struct(
+                    start.alias("start"),
+                    end.alias("end"),
+                    n.alias("shared"),
+                    (-(n * 2.0 / (F.size(F.array_distinct(F.slice(grams, start + 1, size))) + t["size"]))).alias("order"),
+                    t["licence"].alias("licence"),
+                ),
+            )
 
-        def from_start(p: Column, i: Column, all_: Column) -> Column:
-            ends = F.filter(
-                F.slice(all_, i + t["need"], F.least(t["longest"], F.size(all_))), lambda e: e - p < t["longest"]
+        def from_offsets(offsets: Column, ks: Column) -> Column:
+            cut = F.array_distinct(F.flatten(F.transform(offsets, lambda o, i: from_offset(o, i, offsets, ks))))
+            spans = F.filter(
+                F.transform(
+                    F.filter(cut, lambda w: w.isNotNull()),
+                    lambda w: F.struct(F.shiftright(w, 32).cast("int").alias("start"), w.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end")),
+                ),
+                lambda w: w["end"] - w["start"] < t["longest"],
             )
+            return F.filter(F.transform(spans, lambda w: scored(w["start"], w["end"], ks)), lambda w: w["order"] <= -threshold)
+
+        def from_places(ks: Column) -> Column:
+            begins = F.filter(F.transform(ks, lambda k, p: F.when(k > 0, p - k + 1)), lambda o: o.isNotNull())
+            return bound(F.sort_array(F.array_distinct(begins)), lambda offsets: from_offsets(offsets, ks))
+
+        # Place of each bigram in the template, from 1; 0 for others.
+        return bound(F.transform(ids, lambda n: F.when(n > 0, F.array_position(t["numbers"], n)).otherwise(0).cast("int")), from_places)
 
-            def window(e: Column) -> Column:
-                inside = F.slice("grams", p + 1, e - p + 1)
-                both = F.size(F.array_intersect(t["own"], inside))
-                score = both * 2.0 / (F.size(F.array_distinct(inside)) + F.size(t["own"]))
-                return F.struct(
-                    p.alias("start"), e.alias("end"), both.alias("shared"), (-score).alias("order"), t["licence"].alias("licence")
-                )
-
-            return F.filter(F.transform(ends, window), lambda w: w["order"] <= -threshold)
-
-        each = F.transform(F.array(places), lambda all_: F.flatten(F.transform(all_, lambda p, i: from_start(p, i, all_))))
-        return F.flatten(each)
-
-    def line_matches(line: Column, i: Column) -> Column:
-        first = F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda n, s: n + s)
-        size = F.element_at("sizes", i + 1)
-        return F.transform(
-            best_matches(F.array(line), templates, threshold),
-            lambda b: F.struct(first.alias("start"), (first + size - 2).alias("end"), b["shared"].alias("shared")),
+    def from_ids(ids: Column) -> Column:
+        held = F.array_distinct(F.filter(ids, lambda n: n > 0))
+        sought = bound(held, lambda h: F.filter(table, lambda t: F.size(F.array_intersect(t["numbers"], h)) >= t["need"]))
+        return F.sort_array(F.flatten(F.transform(sought, lambda t: search(t, ids))))
+
+    return bound(F.transform(grams, lambda g: F.when(g.isin(known), F.array_position(constants(known), g)).otherwise(0)), from_ids)
+
+
+def outstanding(windows: Column, units: Column, lines: Column) -> Column:
+    """The windows that meet no line, and are not the document, that matches with as many bigrams."""
+
+    def per_bigram(u: Column) -> Column:
+        shared = F.coalesce(u["best"]["shared"], F.lit(0))
+        return F.when(u["words"] > 0, F.concat(F.array_repeat(shared, u["words"] - 1), F.array(F.lit(0)))).otherwise(
+            F.array().cast("array<int>")
         )
 
-    overlap = lambda a, b: (a["start"] <= b["end"]) & (b["start"] <= a["end"])
+    whole = F.coalesce(F.element_at(units, -1)["best"]["shared"], F.lit(0))
+    return bound(
+        F.flatten(F.transform(F.slice(units, 1, lines), per_bigram)),
+        lambda cover: F.filter(
+            windows,
+            lambda w: (w["shared"] > whole)
+            & (w["shared"] > F.array_max(F.slice(cover, w["start"] + 1, w["end"] - w["start"] + 1))),
+        ),
+    )
+
+
+_WINDOW = "struct<start:int,end:int,shared:int,order:double,licence:string>"
+_SUMMARY = "struct<matches:int,best:struct<order:double,licence:string>,licences:array<string>>"
 
-    def add(kept: Column, w: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
+
+def summary(windows: Column) -> Column:
+    """Number, best and licences of the windows left of those that overlap, in one pass by start."""
+
+    def close(state: Column) -> Column:
+        last, done = state["last"], state["done"]
+        best = F.struct(last["order"].alias("order"), last["licence"].alias("licence"))
+        return F.when(
+            last.isNotNull(),
+            F.struct(
+                (done["matches"] + 1).alias("matches"),
+                F.least(F.coalesce(done["best"], best), best).alias("best"),
+                F.array_union(done["licences"], F.array(last["licence"])).alias("licences"),
+            ),
+        ).otherwise(done).cast(_SUMMARY)
+
+    def take(state: Column, w: Column) -> Column:
+        last = state["last"]
+        apart = last.isNull() | (w["start"] > last["end"])
         better = (w["shared"] > last["shared"]) | ((w["shared"] == last["shared"]) & (w["order"] < last["order"]))
-        rest = F.slice(kept, 1, F.size(kept) - 1)
-        return (
-            F.when((F.size(kept) == 0) | ~overlap(last, w), F.concat(kept, F.array(w)))
-            .when(better, F.concat(rest, F.array(w)))
-            .otherwise(kept)
+        return F.struct(
+            F.when(apart | better, w).otherwise(last).cast(_WINDOW).alias("last"),
+            F.when(apart, close(state)).otherwise(state["done"]).cast(_SUMMARY).alias("done"),
         )
 
-    telling = sorted({w for name, own in sets.items() for w in telling_words(own, needs[name])})
-    lowered = F.lower("text")
-    possible = functools.reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in telling])
-    window_type = "array<struct<start:int,end:int,shared:int,order:double,licence:string>>"
-    none = F.array().cast(window_type)
-    lines = F.split("text", "\n")
-    held = (
-        docs.withColumn("words", F.when(possible, words_of(F.col("text"))))
-        .withColumn("grams", F.when(F.size("words") >= 2, grams))
-        .withColumn("held", F.array_distinct(F.filter("grams", lambda g: g.isin(known))))
-        .withColumn(
-            "sought",
-            F.when(
-                F.size("held") >= min(needs.values()),
-                F.filter(sought, lambda t: F.size(F.array_intersect(t["own"], F.col("held"))) >= t["need"]),
+    start = F.struct(F.lit(None).cast(_WINDOW).alias("last"), nothing().alias("done"))
+    return F.aggregate(windows.cast(f"array<{_WINDOW}>"), start, take, close)
+
+
+def nothing() -> Column:
+    return F.struct(
+        F.lit(0).alias("matches"),
+        F.lit(None).cast("struct<order:double,licence:string>").alias("best"),
+        F.array().cast("array<string>").alias("licences"),
+    ).cast(_SUMMARY)
+
+
+def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, licence and score of the best unit, matches (units that match), licences (all found)."""
+    known, table = known_bigrams(templates), template_table(templates, threshold)
+    least = threshold / (2 - threshold)
+    sets = [template_bigrams(text) for text in templates.values()]
+    telling = sorted({w for own in sets for w in telling_words(own, max(1, math.ceil(len(own) * least - 1e-9)))})
+
+    def more(text: Column, units: Column, lines: Column) -> Column:
+        """The summary of the windows; most texts hold no telling word."""
+        windows = lambda words: bound(
+            F.zip_with(
+                F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)
             ),
+            lambda grams: windows_of(grams, table, known, threshold),
         )
-        .withColumn("windows", F.when(F.size("sought") > 0, F.flatten(F.transform("sought", search)).cast(window_type)))
-        .withColumn("sizes", F.when(F.size("windows") > 0, F.transform(lines, lambda x: F.size(words_of(x)))))
-        .withColumn(
-            "matched",
-            F.when(
-                F.size("windows") > 0,
-                F.concat(
-                    F.flatten(F.transform(lines, line_matches)),
-                    F.transform(
-                        best_matches(F.array("text"), templates, threshold),
-                        lambda b: F.struct(F.lit(0).alias("start"), F.size("grams").alias("end"), b["shared"].alias("shared")),
-                    ),
-                ),
+        searched = bound(words_of(text), lambda words: F.when(F.size(words) >= 2, windows(words)))
+        found = bound(searched, lambda w: F.when(F.size(w) > 0, summary(outstanding(w, units, lines))))
+        possible = bound(F.lower(text), lambda low: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in telling]))
+        return F.coalesce(F.when(possible, found), nothing())
+
+    def result(text: Column, units: Column, lines: Column) -> Column:
+        matched = F.filter(F.transform(units, lambda u: u["best"]), lambda b: b.isNotNull())
+        return bound(
+            F.struct(matched.alias("units"), more(text, units, lines).alias("windows")),
+            lambda r: F.struct(
+                F.least(
+                    F.array_min(F.transform(r["units"], lambda b: F.struct(b["order"].alias("order"), b["licence"].alias("licence")))),
+                    r["windows"]["best"],
+                ).alias("best"),
+                (F.size(r["units"]) + r["windows"]["matches"]).alias("matches"),
+                F.array_union(F.transform(r["units"], lambda b: b["licence"]), r["windows"]["licences"]).alias("licences"),
             ),
         )
-    )
-    free = F.filter(
-        "windows", lambda w: ~F.exists("matched", lambda m: overlap(m, w) & (m["shared"] >= w["shared"]))
-    )
-    chosen = F.when(F.size("windows") > 0, F.aggregate(F.array_sort(free), none, add)).otherwise(none)
-    more = F.transform(chosen, lambda w: F.struct(w["order"].alias("order"), w["licence"].alias("licence"), w["shared"].alias("shared")))
-    return held.select("doc_id", F.concat(F.coalesce("found", F.array().cast("array<struct<order:double,licence:string,shared:int>>")), more).alias("found"))
 
+    def scanned(lines: Column) -> Column:
+        units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col("text")))).otherwise(lines)
+        return bound(best_of_units(units, table, known, threshold), lambda u: result(F.col("text"), u, F.size(lines)))
 
-def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, licence and score of the best unit, matches (units that match), licences (all found)."""
-    lines = F.split(F.col("text"), "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col("text")))).otherwise(lines)
-    found = docs.select("doc_id", "text", best_matches(units, templates, threshold).alias("found"))
-    found = with_windows(found, templates, threshold)
-    best = F.array_min("found")
+    found = docs.select("doc_id", F.when(F.col("text").isNotNull(), bound(F.split("text", "\n"), scanned)).alias("found"))
     return found.select(
         "doc_id",
-        best["licence"].alias("licence"),
-        F.coalesce(-best["order"], F.lit(0.0)).alias("score"),
-        F.coalesce(F.size("found"), F.lit(0)).alias("matches"),
-        F.coalesce(
-            F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda b: b["licence"]))), ","), F.lit("")
-        ).alias("licences"),
+        F.col("found.best.licence").alias("licence"),
+        F.coalesce(-F.col("found.best.order"), F.lit(0.0)).alias("score"),
+        F.coalesce("found.matches", F.lit(0)).alias("matches"),
+        F.coalesce(F.array_join(F.sort_array("found.licences"), ","), F.lit("")).alias("licences"),
     )
