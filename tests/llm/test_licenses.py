@@ -73,7 +73,7 @@ def test_words_put_in_or_left_out_move_the_rest_of_a_window(docs_of):
     left_out = " ".join(words[:20] + words[23:])
     replaced = " ".join(["x" if i in (7, 41) else w for i, w in enumerate(words)])
     for i, form in enumerate((put_in, left_out, replaced)):
-        row = scan_licences(docs_of([(i, f"{plain}{form} {plain}")])).first()
+        row = scan_licences(docs_of([(i, f"{plain} {form} {plain}")])).first()
         mine, own = set(template_bigrams(form)), set(template_bigrams(TEMPLATES["mit-grant"]))
         assert (row.licence, row.matches) == ("mit-grant", 1)
         assert row.score == pytest.approx(2 * len(mine & own) / (len(mine) + len(own)))
