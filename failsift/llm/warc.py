@@ -5,6 +5,11 @@ anew where a member ends, frames the block by Content-Length and checks block an
 digests, so it holds one record at a time. A record whose framing or digest is wrong comes
 back with ``valid`` false; a file that breaks off inside a member raises ValueError.
 
+Archives of other writers are read, too. Their record ids are kept as text and have no
+``page_id``; record types other than response and revisit come back under their name, with the
+block as payload unless it is an HTTP message. A digest that is absent or not SHA-1 is not
+checked; SHA-1 may be in base 32 or in hex, and digests of other kinds are returned as they are.
+
 Of the pages with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the largest
 id is a response; the others are revisits that refer to it and carry the payload's digest and
 length but not the payload. Pages are matched by narrow rows of digests. A task writes files of
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -51,9 +57,31 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
+_OWN_URN = re.compile(r"<urn:page:(-?[0-9]{1,19})>")
+
+
 def _page_of(urn: str | None) -> int | None:
-    name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return None if name in ("", "none") else int(name)
+    """The page of a record id of :func:`record`; other ids have none."""
+    own = _OWN_URN.fullmatch(urn or "")
+    page = int(own.group(1)) if own else None
+    return page if page is not None and -(2**63) <= page < 2**63 else None
+
+
+def _sha1_of(stated: str) -> bytes | None:
+    """The bytes of a stated SHA-1, empty if it is none of the known forms; None for other digests."""
+    kind, _, value = stated.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        found = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value, casefold=True)
+    except ValueError:
+        return b""
+    return found if len(found) == 20 else b""
+
+
+def _agrees(stated: str, data: bytes) -> bool:
+    own = _sha1_of(stated)
+    return own is None or own == hashlib.sha1(data).digest()
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -97,26 +125,31 @@ def parse(data: bytes) -> dict:
     """The fields of one record; ``valid`` tells whether its lengths and digests are right."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = _fields(head)
-    length = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else -1
+    length = int(fields["content-length"]) if re.fullmatch(r"[0-9]{1,18}", fields.get("content-length", "")) else -1
     block = rest[: max(length, 0)]
-    http_head, _, payload = block.partition(b"\r\n\r\n")
-    revisit = fields.get("warc-type") == "revisit"
-    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    stated_length = _fields(http_head).get("content-length", "")
+    kind = fields.get("warc-type")
+    revisit, http = kind == "revisit", fields.get("content-type", "").lower().startswith("application/http")
+    http_head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    stated = fields.get("warc-payload-digest", "")
+    digest = _sha1_of(stated)
+    length_field = _fields(http_head).get("content-length", "") if kind in ("response", "revisit") else ""
+    stated_length = int(length_field) if re.fullmatch(r"[0-9]{1,18}", length_field) else None
     valid = (
         head.startswith(b"WARC/")
         and length >= 0
         and rest[length:] == b"\r\n\r\n"
-        and fields.get("warc-block-digest") == _labelled(block)
-        and (revisit or ("sha1:" + stated == _labelled(payload) and stated_length == str(len(payload))))
+        and _agrees(fields.get("warc-block-digest", ""), block)
+        and digest != b""
+        and (revisit or (_agrees(stated, payload) and stated_length in (None, len(payload))))
     )
     return {
         "page_id": _page_of(fields.get("warc-record-id")),
+        "record_id": fields.get("warc-record-id"),
         "url": fields.get("warc-target-uri"),
-        "record_type": fields.get("warc-type"),
+        "record_type": kind,
         "payload": None if revisit else payload,
-        "payload_bytes": int(stated_length) if stated_length.isdigit() else None,
-        "payload_digest": base64.b32decode(stated).hex() if valid else None,
+        "payload_bytes": stated_length if stated_length is not None or revisit else len(payload),
+        "payload_digest": (digest.hex() if digest else stated or None) if valid else None,
         "refers_to": _page_of(fields.get("warc-refers-to")),
         "valid": valid,
     }
@@ -181,6 +214,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 RECORD = pa.schema(
     [
         ("page_id", pa.int64()),
+        ("record_id", pa.string()),
         ("url", pa.string()),
         ("record_type", pa.string()),
         ("payload", pa.binary()),
@@ -215,6 +249,6 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     number = max(1, manifest.count())
     return manifest.select("path").repartition(number).mapInArrow(
         read,
-        "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, "
+        "page_id long, record_id string, url string, record_type string, payload binary, payload_bytes long, payload_digest string, "
         "refers_to long, valid boolean",
     )

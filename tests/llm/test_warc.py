@@ -74,3 +74,52 @@ def test_damage_is_seen():
 def test_no_pages(spark):
     folder = work_dir(spark, "warc")
     assert warc.read_archives(warc.write_archives(pages_of(spark, []), folder), folder).count() == 0
+
+
+def foreign(kind, block, *fields, content="application/http; msgtype=response"):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Type: {content}", *fields, f"Content-Length: {len(block)}", "", ""]
+    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark):
+    import base64
+    import os
+    from urllib.parse import urlparse
+
+    body = b"<p>hello</p>"
+    sha = hashlib.sha1(body)
+    base32 = base64.b32encode(sha.digest()).decode()
+    page = b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body
+    records = [
+        foreign("warcinfo", b"software: x\r\n\r\nrobots: y", "WARC-Record-ID: <urn:uuid:0>", content="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Record-ID: <urn:uuid:1>", content="application/http; msgtype=request"),
+        foreign("response", page, "WARC-Record-ID: <urn:uuid:2>", f"WARC-Payload-Digest: sha1:{base32}"),
+        foreign("response", page, "WARC-Record-ID: <urn:uuid:3>", f"WARC-Payload-Digest: SHA1:{sha.hexdigest()}"),
+        foreign("response", page, "WARC-Record-ID: <urn:uuid:4>", "WARC-Payload-Digest: md5:abc"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Record-ID: <urn:uuid:5>", "WARC-Payload-Digest: sha1:no base 32!"),
+        foreign("revisit", b"", "WARC-Record-ID: <urn:uuid:6>", f"WARC-Payload-Digest: sha1:{base32}", "WARC-Refers-To: <urn:uuid:2>"),
+        foreign("response", page, "WARC-Record-ID: <urn:page:99999999999999999999>", "WARC-Block-Digest: sha1:" + "A" * 32),
+        foreign("metadata", b"via: z", content="application/warc-fields"),
+        foreign("response", page, "WARC-Record-ID: <urn:page:9223372036854775807>"),
+    ]
+    folder = work_dir(spark, "warc")
+    path = urlparse(folder).path
+    os.makedirs(path)
+    with open(os.path.join(path, "other.warc.gz"), "wb") as out:
+        out.write(b"".join(records))
+    manifest = spark.createDataFrame([("other.warc.gz", len(records))], "path string, records long")
+    got = warc.read_archives(manifest, folder).collect()
+    hexed, n = sha.hexdigest(), len(body)
+    assert [(r.record_type, r.record_id, r.page_id, r.payload_bytes, r.payload_digest, r.valid) for r in got] == [
+        ("warcinfo", "<urn:uuid:0>", None, 24, None, True),
+        ("request", "<urn:uuid:1>", None, 0, None, True),
+        ("response", "<urn:uuid:2>", None, n, hexed, True),
+        ("response", "<urn:uuid:3>", None, n, hexed, True),
+        ("response", "<urn:uuid:4>", None, n, "md5:abc", True),
+        ("revisit", "<urn:uuid:5>", None, None, None, False),
+        ("revisit", "<urn:uuid:6>", None, None, hexed, True),
+        ("response", "<urn:page:99999999999999999999>", None, n, None, False),
+        ("metadata", None, None, 6, None, True),
+        ("response", "<urn:page:9223372036854775807>", 2**63 - 1, n, None, True),
+    ]
+    assert bytes(got[0].payload) == b"software: x\r\n\r\nrobots: y" and bytes(got[2].payload) == body and got[6].payload is None
