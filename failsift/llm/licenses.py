@@ -14,8 +14,9 @@ text, or two that begin close to each other, as words put in or left out move wh
 Of windows that overlap, the one with most bigrams of its template stays, in one pass by start;
 a line or document that matches with as many stands for the windows in it.
 Windows are looked for where the document holds enough of a template's bigrams, which is asked
-only of documents that hold a word without which they cannot. The work grows with the length of
-a text, also where it holds nothing but notices.
+only of documents that hold a word without which they cannot. No step
+compares notices with each other, so a text of nothing but notices has a bounded number of
+windows per notice.
 
 Defined cases: null and empty texts and units of fewer than two words match nothing; a
 document without match has a null licence, score 0 and 0 matches. Equal scores go to the

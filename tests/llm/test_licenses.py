@@ -55,7 +55,7 @@ def test_a_notice_within_a_line_is_found_and_counted_once(docs_of):
     assert got == {1: ("mit", 1.0, 1, "mit"), 2: ("mit", 1.0, 2, "mit"), 3: ("mit", 1.0, 3, "mit,mit-grant"), 4: (None, 0.0, 0, "")}
 
 
-def test_texts_full_of_notices_take_linear_work(docs_of):
+def test_texts_full_of_notices_are_scanned(docs_of):
     """The text of 8,000 notices is 2.4 million characters; pairs of notices would be 32 million."""
     grant, mit = TEMPLATES["mit-grant"], TEMPLATES["mit"]
     for n in (80, 800, 8000):
