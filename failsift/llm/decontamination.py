@@ -10,14 +10,18 @@ leak if ``WINDOW`` words in a row (or all words of a shorter item) agree in at l
 ``AGREE`` of the places, words cut off by the end of the document counting as different.
 
 Texts are never shuffled: what moves are segments of at most ``WINDOW`` words on both sides
-of a hit, and hashes. One passage may stand in any share of the documents: hits are grouped
+of a hit, and hashes; a segment meets an item once, with all their alignments. One passage may stand in any share of the documents: hits are grouped
 by document before they meet the items.
 
-An alignment is seen if the selected words of one mask are intact in it: always in 20 words
-with 3 replaced, in 99.3% of 15 words with 3 replaced; the shortest items only as a whole.
+An alignment is seen if the selected words of one mask are intact in it. Items of at least
+``SHORT_WORDS`` words have the seeds of ``MASKS``, shorter ones those of ``SHORT_MASKS``: either
+way some mask is intact wherever the replaced places lie, for every number of them that
+``AGREE`` allows. Items of fewer than ``FUZZY_WORDS`` words are sought whole: their mask selects
+all words, and all have to agree. Masks that no item needs are not hashed.
 
-Defined cases: null and empty texts hold no leak. Items of fewer than ``MIN_WORDS`` words are
-no evidence and are skipped; null items too. Repeated documents are each reported per id:
+Defined cases: null and empty texts hold no leak. Items without words are no evidence and are
+skipped, and so are items of fewer than ``min_words`` words (default 1: every item is sought,
+even one of a single word). Repeated documents are each reported per id:
 the result has one row per (doc_id, item_id). Documents without id are reported as one
 document with a null id. Empty tables give no rows. Extra columns are ignored.
 """
@@ -35,9 +39,11 @@ from failsift.llm.tables import arrays, small_batches, stored
 from failsift.llm.words import mix, multipliers, word_hashes
 
 MASKS = ("111111", "1101001101", "101101101", "1110111")
+SHORT_MASKS = ("1111", "110011")
+SHORT_WORDS = 16  # shorter items have the seeds of SHORT_MASKS
+FUZZY_WORDS = 6  # shorter items have to agree in all words
 WINDOW = 20
 AGREE = 0.8
-MIN_WORDS = 6
 FILTER_BITS = 24
 # Seeds of so many places are some 30 MB; more of them are joined by a shuffle.
 MAX_BROADCAST_SEEDS = 500_000
@@ -54,9 +60,18 @@ def seed_hashes(words: np.ndarray, number: int, mask: str) -> np.ndarray:
     return mix(total)
 
 
-def seeds_of(words: np.ndarray, masks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def masks_for(length: int, masks=MASKS) -> list[tuple[int, str]]:
+    """(number, mask) of the seeds of an item of ``length`` words."""
+    if length < FUZZY_WORDS:
+        return [(len(masks) + len(SHORT_MASKS) + length, "1" * length)]
+    if length < SHORT_WORDS:
+        return list(enumerate(SHORT_MASKS, len(masks)))
+    return list(enumerate(masks))
+
+
+def seeds_of(words: np.ndarray, numbered: list[tuple[int, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, hashes) per mask."""
-    for number, mask in enumerate(masks):
+    for number, mask in numbered:
         hashes = seed_hashes(words, number, mask)
         yield np.arange(len(hashes)), hashes
 
@@ -67,18 +82,18 @@ def filter_places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return (hashes & low).astype(np.intp), ((hashes >> np.uint64(32)) & low).astype(np.intp)
 
 
-def benchmark_seeds(benchmark: DataFrame, masks=MASKS) -> tuple[DataFrame, DataFrame]:
+def benchmark_seeds(benchmark: DataFrame, masks=MASKS, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
     """(item_id, words) and (hash, item_id, item_place) of the items."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, packed, seeds = [], [], []
             for item, words in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist())):
-                if item is None or len(words) < MIN_WORDS:
+                if item is None or len(words) < max(1, min_words):
                     continue
                 ids.append(item)
                 packed.append(words.tobytes())
-                seeds.append([(int(h), int(p)) for places, hashes in seeds_of(words, masks) for p, h in zip(places, hashes.view(np.int64))])
+                seeds.append([(int(h), int(p)) for places, hashes in seeds_of(words, masks_for(len(words), masks)) for p, h in zip(places, hashes.view(np.int64))])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -117,9 +132,17 @@ def filter_table(seeds: DataFrame, filter_bits: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
-def segments(docs: DataFrame, table, masks=MASKS) -> DataFrame:
-    """doc_id, start, words and hits (hash, place in the document) around possible hits."""
-    spans = [len(m) for m in masks]
+def used_masks(items: DataFrame, masks=MASKS) -> list[tuple[int, str]]:
+    """(number, mask) of all masks that the items need, from the at most SHORT_WORDS kinds of length."""
+    lengths = items.select(F.least(F.length("item_words") / 8, F.lit(SHORT_WORDS)).cast("int").alias("n")).distinct()
+    return sorted({m for row in lengths.collect() for m in masks_for(row["n"], masks)})
+
+
+def segments(docs: DataFrame, table, numbered: list[tuple[int, str]], wholes: int) -> DataFrame:
+    """doc_id, start, words and hits (hash, place in the document) around possible hits.
+
+    Masks numbered from ``wholes`` on select whole items, for which the first place is enough.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -128,18 +151,24 @@ def segments(docs: DataFrame, table, masks=MASKS) -> DataFrame:
             per_doc = list(word_hashes(batch.column(1).to_pylist()))
             ends = np.cumsum([len(w) for w in per_doc], dtype=np.int64)
             joined = np.concatenate(per_doc) if per_doc else np.empty(0, np.uint64)
-            places, hashes, last = [], [], []
-            for (at, seed), span in zip(seeds_of(joined, masks), spans):
+            places, hashes, last, whole = [], [], [], []
+            for (at, seed), (number, mask) in zip(seeds_of(joined, numbered), numbered):
                 one, two = filter_places(seed, len(bits))
                 maybe = np.flatnonzero(bits[one] & bits[two])
                 places.append(at[maybe])
                 hashes.append(seed[maybe])
-                last.append(at[maybe] + span)
-            places, hashes, last = map(np.concatenate, (places, hashes, last))
+                last.append(at[maybe] + len(mask))
+                whole.append(np.full(len(maybe), number >= wholes))
+            places, hashes, last, whole = map(np.concatenate, (places, hashes, last, whole))
             doc = np.searchsorted(ends, places, side="right")
             inside = last <= ends[doc] if len(doc) else np.zeros(0, bool)
-            order = np.lexsort((places[inside], doc[inside]))
-            places, hashes, last, doc = (x[inside][order] for x in (places, hashes, last, doc))
+            places, hashes, last, whole, doc = (x[inside] for x in (places, hashes, last, whole, doc))
+            order = np.lexsort((places, hashes, doc))
+            first = np.ones(len(order), bool)
+            first[1:] = (np.diff(doc[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])
+            order = order[first | ~whole[order]]
+            order = order[np.lexsort((places[order], doc[order]))]
+            places, hashes, last, doc = (x[order] for x in (places, hashes, last, doc))
             # A segment ends where the next hit is too far away to share a window.
             cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(places) > 2 * WINDOW)) + 1 if len(doc) else []
             rows = {"doc_id": [], "start": [], "words": [], "hits": []}
@@ -180,13 +209,16 @@ def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int
     return int((sums[width:] - sums[:-width]).max()), width
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, filter_bits: int = FILTER_BITS, min_words: int = 1) -> DataFrame:
     """doc_id, item_id, agreeing, window: one row per document and item that it holds."""
     spark = docs.sparkSession
     small_batches(spark)
-    items, seeds = benchmark_seeds(benchmark, masks)
+    items, seeds = benchmark_seeds(benchmark, masks, min_words)
+    numbered = used_masks(items, masks)
     table = spark.sparkContext.broadcast(filter_table(seeds, filter_bits))
-    found = stored(segments(docs, table, masks), "leak-segments")
+    if not numbered:
+        numbered = masks_for(SHORT_WORDS, masks)  # no item at all: an empty filter, so no hit
+    found = stored(segments(docs, table, numbered, len(masks) + len(SHORT_MASKS)), "leak-segments")
     few = seeds.count() <= MAX_BROADCAST_SEEDS
     small = F.broadcast if few else lambda df: df
     hits = found.select("doc_id", "start", F.explode("hits").alias("hit")).select(
@@ -194,8 +226,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, filter_bits: int =
     )
     alignments = (
         hits.join(small(seeds), "hash")
-        .select("doc_id", "start", "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
-        .distinct()
+        .groupBy("doc_id", "start", "item_id")
+        .agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +235,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, filter_bits: int =
             agreeing, width = [], []
             for row in batch.to_pylist():
                 doc, item = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["item_words"], np.uint64)
-                a, w = best_window(doc, item, row["shift"] - row["start"])
-                agreeing.append(a)
-                width.append(w)
+                best, full = -1, min(WINDOW, len(item))
+                for shift in row["shifts"]:
+                    best = max(best, best_window(doc, item, shift - row["start"])[0])
+                    if best == full:
+                        break
+                agreeing.append(best)
+                width.append(full)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("item_id"), pa.array(agreeing, pa.int32()), pa.array(width, pa.int32())],
                 ["doc_id", "item_id", "agreeing", "window"],
@@ -215,11 +251,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, filter_bits: int =
     aligned = (
         alignments.join(by_segment, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")))
         .join(small(items), "item_id")
-        .select("doc_id", "item_id", "start", "shift", "words", "item_words")
+        .select("doc_id", "item_id", "start", "shifts", "words", "item_words")
     )
     checked = aligned.mapInArrow(verify, "doc_id long, item_id long, agreeing int, window int")
     return (
-        checked.where(F.col("agreeing") >= F.col("window") * AGREE)
+        checked.where(F.col("agreeing") >= F.when(F.col("window") < FUZZY_WORDS, F.col("window")).otherwise(F.col("window") * AGREE))
         .groupBy("doc_id", "item_id")
         .agg(F.max("agreeing").alias("agreeing"), F.max("window").alias("window"))
     )
