@@ -57,7 +57,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaked = decontamination.leaks(with_ids(docs), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Items of a few words stand in clean documents, too: they do not decide here."""
+    found = decontamination.leaks(with_ids(docs), table(spark, sf_dir, "benchmark"), min_words=decontamination.FUZZY_WORDS)
+    leaked = found.select("doc_id").distinct()
     return by_id(docs, leaked, keep=False)
 
 
