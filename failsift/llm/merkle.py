@@ -3,14 +3,17 @@
 A paragraph is a line with its line feed. Its pieces are runs of words (1, 1, 2, 2, 4, 4, 8,
 8, then 16 in the first paragraph, so that short texts have several; 16 each in others),
 cut from its start. A section ends after a blank paragraph and after one whose hash says
-so, so sections find each other again after an edit. A node's hash covers the hashes below
-it. A fingerprint is the root (128 bits) and the leaves in order, as ``hash.length`` with
-``~`` between the pieces of a paragraph, ``,`` between paragraphs and ``;`` between sections;
-hashes of inner nodes follow from it.
-
-Equal roots are equal texts. The likeness of two fingerprints is the share of characters in
-branches they have in common: equal sections first, then equal paragraphs, then pieces.
-``differences`` gives the character ranges of the branches without counterpart.
+so, so sections find each other again after an edit. A node's hash covers the 128-bit
+hashes below it and a tag of its level: root over sections, over paragraphs, over pieces. A
+fingerprint is the root and the leaves in order, as ``hash.length`` (the first 32 bits of the
+piece's hash) with ``~`` between the pieces of a paragraph, ``,`` between paragraphs and ``;``
+between sections.
+
+Equal roots are equal texts. Two fingerprints match in branches: equal sections first, then
+equal paragraphs, then pieces. The likeness is the share of characters in branches that match;
+those matched outside the heaviest sequence that stands in the same order in both texts were
+moved and count ``MOVED``. It is 1 for equal roots only. ``differences`` gives the character
+ranges of the branches without counterpart.
 
 Every document is compared with its neighbour in descending order of ids. Documents are
 dealt by ranges of (id, hash of the text) and walked in order, one text held at a time; the
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,17 +40,14 @@ from pyspark.sql import functions as F
 from failsift.llm.tables import small_batches, stored
 
 SECTION_EVERY = 4
+MOVED = 0.5
 LONGEST_WORD = 64
 _PIECE = re.compile(rf"\s*(?:\S{{1,{LONGEST_WORD}}}\s*){{1,16}}|\s+")
 _FIRST = [re.compile(rf"\s*(?:\S{{1,{LONGEST_WORD}}}\s*){{1,{n}}}|\s+") for n in (1, 1, 2, 2, 4, 4, 8, 8)]
 
 
-def _hash(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
-
-
-def _leaf(piece: str) -> str:
-    return f"{hashlib.blake2b(piece.encode(), digest_size=4).hexdigest()}.{len(piece):x}"
+def _hash(level: bytes, data: bytes) -> bytes:
+    return hashlib.blake2b(level + data, digest_size=16).digest()
 
 
 def _pieces(paragraph: str, first: bool) -> list[str]:
@@ -78,59 +78,85 @@ def _paragraphs(text: str) -> Iterator[str]:
 def fingerprint(text: str) -> str:
     sections, section, hashes, roots = [], [], [], []
     for i, paragraph in enumerate(_paragraphs(text)):
-        section.append("~".join(map(_leaf, _pieces(paragraph, i == 0))))
-        own = _hash(paragraph.encode())
+        pieces = _pieces(paragraph, i == 0)
+        leaves = [_hash(b"leaf", piece.encode()) for piece in pieces]
+        section.append("~".join(f"{leaf[:4].hex()}.{len(piece):x}" for leaf, piece in zip(leaves, pieces)))
+        own = _hash(b"paragraph", b"".join(leaves))
         hashes.append(own)
         if not paragraph.strip() or own[0] % SECTION_EVERY == 0:
             sections.append(",".join(section))
-            roots.append(_hash(b"".join(hashes)))
+            roots.append(_hash(b"section", b"".join(hashes)))
             section, hashes = [], []
     if section:
         sections.append(",".join(section))
-        roots.append(_hash(b"".join(hashes)))
-    return _hash(b"".join(roots)).hex() + ":" + ";".join(sections)
+        roots.append(_hash(b"section", b"".join(hashes)))
+    return _hash(b"root", b"".join(roots)).hex() + ":" + ";".join(sections)
 
 
 def _length(node: str) -> int:
     return sum(int(leaf.rpartition(".")[2], 16) for leaf in re.split("[;,~]", node))
 
 
-def _unmatched(mine: list[str], theirs: list[str]) -> tuple[list[int], list[int]]:
-    """Places in both lists of the nodes without an equal node in the other list."""
-    left, right = Counter(mine), Counter(theirs)
-    both = left & right
+Node = tuple[int, str]  # character the node begins at, and its part of the fingerprint
 
-    def rest(nodes: list[str]) -> list[int]:
-        open_, places = Counter(both), []
-        for i, node in enumerate(nodes):
-            if open_[node] > 0:
-                open_[node] -= 1
-            else:
-                places.append(i)
-        return places
 
-    return rest(mine), rest(theirs)
+def _parts(nodes: list[Node], separator: str) -> list[Node]:
+    found = []
+    for at, node in nodes:
+        for part in node.split(separator):
+            found.append((at, part))
+            at += _length(part)
+    return found
 
 
-def _open_leaves(a: str, b: str) -> tuple[list[str], list[str]]:
-    """The nodes of either fingerprint that have no equal in the other, leaf by leaf at the end."""
-    mine, theirs = a.partition(":")[2].split(";"), b.partition(":")[2].split(";")
-    for separator in (",", "~", None):
-        i, j = _unmatched(mine, theirs)
-        mine, theirs = [mine[k] for k in i], [theirs[k] for k in j]
-        if separator:
-            mine = [part for node in mine for part in node.split(separator)]
-            theirs = [part for node in theirs for part in node.split(separator)]
-    return mine, theirs
+def _paired(mine: list[Node], theirs: list[Node]) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """Equal nodes of both lists, first with first, and the rest of each list."""
+    waiting = defaultdict(deque)
+    for node in theirs:
+        waiting[node[1]].append(node)
+    pairs, rest = [], []
+    for node in mine:
+        if waiting[node[1]]:
+            pairs.append((node, waiting[node[1]].popleft()))
+        else:
+            rest.append(node)
+    return pairs, rest, sorted(node for nodes in waiting.values() for node in nodes)
+
+
+def _in_order(pairs: list[tuple[Node, Node]]) -> int:
+    """Characters of the heaviest choice of pairs that stand in one order in both texts."""
+    rank = {at: i + 1 for i, at in enumerate(sorted({theirs[0] for _, theirs in pairs}))}
+    best = [0] * (len(rank) + 1)  # a tree of prefix maxima over the places in the other text
+    for (_, node), (at, _) in sorted(pairs, key=lambda pair: pair[0][0]):
+        i, weight = rank[at] - 1, _length(node)
+        before = 0
+        while i > 0:
+            before, i = max(before, best[i]), i & (i - 1)
+        i = rank[at]
+        while i < len(best):
+            best[i] = max(best[i], before + weight)
+            i += i & -i
+    i, whole = len(best) - 1, 0
+    while i > 0:
+        whole, i = max(whole, best[i]), i & (i - 1)
+    return whole
 
 
 def likeness(a: str, b: str) -> float:
-    """From 0 (nothing in common) to 1 (equal roots)."""
+    """From 0 (nothing in common) to 1 (equal roots, and nothing else)."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return 1.0
+    mine, theirs = _parts([(0, a.partition(":")[2])], ";"), _parts([(0, b.partition(":")[2])], ";")
+    pairs, mine, theirs = _paired(mine, theirs)
+    for separator in ",~":
+        more, mine, theirs = _paired(_parts(mine, separator), _parts(theirs, separator))
+        pairs += more
     total = _length(a.partition(":")[2]) + _length(b.partition(":")[2])
-    open_ = sum(_length(node) for side in _open_leaves(a, b) for node in side)
-    return max(0.0, 1 - open_ / total) if total else 0.0
+    if not total:
+        return 0.0
+    matched, kept = sum(_length(node) for (_, node), _ in pairs), _in_order(pairs)
+    share = 2 * (kept + MOVED * (matched - kept)) / total
+    return min(share, 1 - 1 / (total + 1))  # leaves show 32 bits of their hash
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from hypothesis import given, settings
@@ -22,6 +23,48 @@ def test_leaves_cover_the_text_and_roots_tell_texts_apart(a, b):
     assert (merkle.likeness(fa, fb) == 1) == (a == b)
 
 
+def test_moved_branches_count_half():
+    """Expected values by hand: characters in order, plus half of those moved, over all."""
+    def like(a, b):
+        return merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+
+    assert like("a\nb\n", "b\na\n") == 0.75
+    assert like("one\ntwo\nthree\n", "three\none\ntwo\n") == (8 + 0.5 * 6) / 14
+    assert like("aa bb\n", "aa cc\n") == 3 / 6
+    assert like("same\n", "same\n") == 1 and like("", "x") == 0 and like("a\n", "") == 0
+    head, blocks = "head\n\n", [f"{c * 30} {c * 8}\n" for c in "abcdefgh"]  # 6 and 8 times 40 characters
+
+    def text(blocks):
+        return head + "".join(blocks)
+
+    assert like(text(blocks), text(blocks[1:] + blocks[:1])) == (286 + 0.5 * 40) / 326
+    assert like(text(blocks), text(blocks[:5] + blocks[6:])) == 2 * 286 / (326 + 286)
+    assert like(text(blocks), text(blocks[::-1])) == (46 + 0.5 * 280) / 326
+
+
+def test_the_heaviest_sequence_against_all_choices():
+    for _ in range(200):
+        n = RNG.randint(0, 7)
+        order = RNG.sample(range(n), n)
+        pairs = [((i, f"0.{RNG.randint(1, 9):x}"), (order[i], "")) for i in range(n)]
+        best = 0
+        for chosen in range(1 << n):
+            taken = [pairs[i] for i in range(n) if chosen >> i & 1]
+            if all(x[1][0] < y[1][0] for x, y in zip(taken, taken[1:])):
+                best = max(best, sum(merkle._length(p[0][1]) for p in taken))
+        assert merkle._in_order(pairs) == best
+
+
+def test_a_root_covers_the_hashes_of_its_leaves():
+    """A tree of one section, one paragraph and two pieces, hashed here by hand."""
+    def digest(data):
+        return hashlib.blake2b(data, digest_size=16).digest()
+
+    leaves = [digest(b"leafalpha "), digest(b"leafbeta")]
+    root = digest(b"root" + digest(b"section" + digest(b"paragraph" + b"".join(leaves))))
+    assert merkle.fingerprint("alpha beta") == f"{root.hex()}:{leaves[0].hex()[:8]}.6~{leaves[1].hex()[:8]}.4"
+
+
 def test_an_edit_is_located():
     paragraphs = [prose(40) for _ in range(30)]
     text = "\n".join(paragraphs)
