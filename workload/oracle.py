@@ -528,6 +528,12 @@ ORACLE: dict[str, str] = {
         "LEFT JOIN found l ON l.job_id = g.job_id ORDER BY CAST(g.job_id AS VARCHAR) DESC, 2",
         found=_LINES,
     ),
+    "grep_indexed": with_views(
+        "job_log",
+        "SELECT g.job_id, coalesce(l.line_no, 0) AS line_no, CAST(g.job_id AS VARCHAR) || ':' || coalesce(l.line, '') AS line "
+        "FROM job_log g LEFT JOIN found l ON l.job_id = g.job_id",
+        found=_LINES,
+    ),
     "raw_log_source": with_views(
         "job job_log",
         "SELECT l.job_id, strlen(l.trace) + CASE WHEN l.job_id % 19 = 0 THEN 1 ELSE 0 END AS size, "

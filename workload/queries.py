@@ -13,7 +13,7 @@ from failsift.catalog import Check, active_checks
 from failsift.functions.fields import canonical_json
 from failsift.functions.text import normalise
 from failsift.functions.times import api_time, backfill_window
-from failsift.operators import backfill, decode, enrich, hooks, index, loglines, retry, search, tree, upsert
+from failsift.operators import backfill, decode, enrich, grepindex, hooks, index, loglines, retry, search, tree, upsert
 from failsift.operators.classify import classify, label_gaps, retry_candidates, unclassified
 from failsift.plans import archive, lookup
 from failsift.plans.triage import Triage, triage
@@ -542,6 +542,14 @@ def grep_logs(spark, sf):
     return loglines.grep_jobs(logs, ids, "[Ff]ailed|error")
 
 
+@query
+def grep_indexed(spark, sf):
+    """All logs, through stored signatures of their blocks."""
+    folder = work_dir(spark, "grep-index")
+    grepindex.write_grep_index(view(spark, sf, "job_log").select("job_id", "trace"), folder)
+    return grepindex.grep_indexed(spark, folder, "[Ff]ailed|error")
+
+
 def _log_files(spark, sf) -> str:
     """The logs as files, some of them no valid UTF-8; their folder."""
     folder = work_dir(spark, "raw-logs")
