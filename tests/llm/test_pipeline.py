@@ -44,3 +44,20 @@ def test_no_documents(spark):
     docs = cp.table(spark, SF, "documents").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, docs_of, tmp_path):
+    """A near copy and a leak under one id take no other row of that id with them."""
+    words = [f"word{i}" for i in range(400)]
+    base, other, third = " ".join(words[:120]), " ".join(words[120:240]), " ".join(words[240:360])
+    item = " ".join(f"item{i}" for i in range(30))
+    docs = docs_of([(1, base), (7, base + " more"), (7, other), (7, third + " " + item), (8, third + " end"), (None, "x y z"), (None, other[:300])])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = sorted(r.text for r in cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert other in kept and "x y z" in kept and other[:300] in kept and len(kept) == 6
+    assert (base in kept) != (base + " more" in kept)
+    clean = cp.drop_leaks(spark, docs, str(tmp_path))
+    assert sorted(clean.columns) == sorted(docs.columns)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted(
+        (r.doc_id or 0, r.text) for r in docs.collect() if item not in r.text
+    )
