@@ -14,12 +14,18 @@ most copies share their shingles.
    come from a table of ``TABLE_ROWS`` rows chosen by the shingle id, and a key per band.
    Equal texts (by a 64-bit hash of their words) are one node from here on.
 3. Nodes in one bucket are compared with one node of it, the pivot, by exact weighted
-   Jaccard similarity; verified pairs make components. Buckets that still hold several
-   components take further pivots, ``PIVOT_GROWTH`` times as many each round, compared with
-   members of other components only, until each pair in a bucket is compared or connected or
-   cannot be similar: two texts have no more weight in common than either shares with any
-   other text at hand. The texts that share most come first, as they connect most. So a
-   bucket of n copies costs n comparisons, and no similar pair in a bucket is left out.
+   Jaccard similarity; verified pairs make components.
+4. Members of a bucket that still holds several components are written as their difference
+   from the centre of the bucket, the weighted shingles that more than half of a sample of
+   its members hold. Two texts are similar if their differences have enough weight in common
+   to make up for their gaps: the gap of a text is the weight of its difference beyond
+   (1 - t) / (1 + t) of its own weight, at threshold t. So all texts with small gaps are
+   similar to the one of the smallest, at one comparison each. Any other similar pair shares
+   an element among the first of both differences (in order of ids, until the weight left
+   cannot suffice), and from the first shared one on both have enough weight left. Pairs are
+   found by joining these elements, first with the nearest text of each element, then with
+   all of other components, and compared. The centre decides how many pairs are proposed;
+   that none is missed holds for any centre.
 
 A pair of similarity 0.8 shares no bucket with probability 0.0002 at the given bands.
 
@@ -36,7 +42,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failsift.llm.components import components
@@ -54,7 +60,8 @@ BLOCK = 1024
 # A list of nodes this long is some 10 MB; a longer one is joined by a shuffle.
 MAX_BROADCAST_NODES = 500_000
 MEMBERS_PER_PIVOT_COPY = 256
-PIVOT_GROWTH = 16
+CENTRE_SAMPLE = 9  # members of a bucket that make its centre, at most
+MISSING = 1 << 32  # marks ids that the centre has more of
 SLACK = 1e-3  # of a weight, for rounded sums
 
 
@@ -106,7 +113,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     both = float(np.minimum(u[i], v[j]).sum())
     either = float(u.sum()) + float(v.sum()) - both
-    return both / either if either else 1.0
+    return round(both / either, 9) if either else 1.0  # equality does not hang on the order of sums
 
 
 @cache
@@ -185,6 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFr
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    pairs = stored(pairs, "near-pairs")
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS_PER_PIVOT_COPY).cast("int").alias("copies"))
     pivots = (
         copies.join(sets.select(F.col("content").alias("b"), F.col("ids").alias("theirs")), "b")
@@ -200,42 +208,94 @@ def verified(pairs: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFr
     return joined.mapInArrow(keep, "a long, b long")
 
 
-def shared_mass(nodes: DataFrame, sets: DataFrame, idf) -> DataFrame:
-    """(content, mass, shared): the weight of each node, and of its shingles that stand in
-    another of the ``nodes`` too. No two of them have more than the lesser ``shared`` in common.
+def with_alone(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(content, ids, alone): the set of each of the ``nodes`` and its shingles that no other of them has."""
 
-    Shingles of one node are told by counts per shingle, merged before the shuffle.
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            distinct = [np.unique(np.frombuffer(x, np.uint32)).astype(np.int64) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(distinct, pa.list_(pa.int64()))], ["content", "id"])
+
+    wanted = sets.join(nodes.select("content").distinct(), "content", "left_semi").select("content", "ids")
+    alone = (
+        wanted.mapInArrow(spell, "content long, id array<long>")
+        .select("content", F.explode("id").alias("id"))
+        .groupBy("id")
+        .agg(F.count("*").alias("n"), F.min("content").alias("content"))
+        .where("n = 1")
+        .groupBy("content")
+        .agg(F.collect_list("id").alias("alone"))
+    )
+    none = F.array().cast("array<long>")
+    return wanted.join(alone, "content", "left").select("content", "ids", F.coalesce("alone", none).alias("alone"))
+
+
+def centres(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, centre): the shingles that most of a sample of the members have, with their counts, packed like ``ids``.
+
+    The sample has a member per hash slot, the one with the smallest part of shingles of its own.
     """
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets_ = [weigh(np.frombuffer(x, np.uint32), idf.value) for x in batch.column("ids").to_pylist()]
+            packed = []
+            for sample in batch.column("sample").to_pylist():
+                counted = [np.unique(np.frombuffer(x, np.uint32), return_counts=True) for x in sample]
+                each = np.concatenate([(i.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64) for i, n in counted])
+                found, votes = np.unique(each, return_counts=True)
+                found = found[2 * votes > len(sample)]
+                packed.append(np.repeat(found >> np.uint64(32), (found & np.uint64(MISSING - 1)).astype(np.int64)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], ["key", "centre"])
+
+    own = sets.select("content", (F.size("alone") / F.length("ids")).alias("own"))
+    chosen = (
+        rows.select("key", "content")
+        .join(own, "content")
+        .groupBy("key", F.pmod(F.xxhash64("content"), F.lit(CENTRE_SAMPLE)).alias("slot"))
+        .agg(F.min(F.struct("own", "content")).alias("least"))
+        .select("key", "least.content")
+    )
+    samples = chosen.join(sets.select("content", "ids"), "content").groupBy("key").agg(F.collect_list("ids").alias("sample"))
+    return samples.mapInArrow(most, "key long, centre binary")
+
+
+def differences(rows: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
+    """(key, content, gap, element, ahead): the difference of each member from the centre of its bucket.
+
+    ``element`` are ids in order, marked where the centre has more, without those that stand in
+    no other text; ``ahead`` is the weight of the difference from each of them on.
+    """
+    allowed = (1 - threshold) / (1 + threshold)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps, elements, ahead = [], [], []
+            for mine, alone, centre in zip(*[batch.column(c).to_pylist() for c in ("ids", "alone", "centre")]):
+                (x, u), (y, v) = (weigh(np.frombuffer(s, np.uint32), idf.value) for s in (mine, centre))
+                ids = np.union1d(x, y)
+                more = np.zeros(len(ids))
+                more[np.searchsorted(ids, x)] += u
+                more[np.searchsorted(ids, y)] -= v
+                gaps.append(float(np.abs(more).sum() - allowed * u.sum()))
+                kept = (more < 0) | (more > 0) & ~np.isin(ids, np.array(alone, np.uint32))
+                codes, weights = ids[kept].astype(np.int64) + MISSING * (more[kept] < 0), np.abs(more[kept])
+                order = np.argsort(codes)
+                elements.append(codes[order])
+                ahead.append(np.cumsum(weights[order][::-1])[::-1])
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("key"),
                     batch.column("content"),
-                    pa.array([float(w.sum()) for _, w in sets_], pa.float64()),
-                    pa.array([i.astype(np.int64) for i, _ in sets_], pa.list_(pa.int64())),
-                    pa.array([w.astype(np.float64) for _, w in sets_], pa.list_(pa.float64())),
+                    pa.array(gaps, pa.float64()),
+                    pa.array(elements, pa.list_(pa.int64())),
+                    pa.array(ahead, pa.list_(pa.float64())),
                 ],
-                ["content", "mass", "id", "weight"],
+                ["key", "content", "gap", "element", "ahead"],
             )
 
-    spelled = stored(
-        sets.join(nodes.select("content").distinct(), "content", "left_semi")
-        .select("content", "ids")
-        .mapInArrow(spell, "content long, mass double, id array<long>, weight array<double>"),
-        "near-weights",
-    )
-    own = spelled.select("content", F.explode(F.arrays_zip("id", "weight")).alias("s")).select("content", "s.id", "s.weight")
-    alone = (
-        own.groupBy("id")
-        .agg(F.count("*").alias("n"), F.min("content").alias("content"), F.max("weight").alias("weight"))
-        .where("n = 1")
-        .groupBy("content")
-        .agg(F.sum("weight").alias("alone"))
-    )
-    return spelled.select("content", "mass").join(alone, "content", "left").select(
-        "content", "mass", (F.col("mass") - F.coalesce("alone", F.lit(0.0))).alias("shared")
+    joined = rows.select("key", "content").join(sets, "content").join(centres(rows, sets), "key")
+    return joined.select("key", "content", "ids", "alone", "centre").mapInArrow(
+        differ, "key long, content long, gap double, element array<long>, ahead array<double>"
     )
 
 
@@ -243,7 +303,7 @@ def links(signed: DataFrame, nodes: DataFrame, idf, threshold: float) -> DataFra
     """(node, root) of the nodes that are similar to others."""
     keys = nodes.select("content", "rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("pivot")).where("n > 1")
-    members = stored(keys.join(buckets, "key"), "near-members")
+    members = stored(keys.join(buckets, "key").drop("n"), "near-members")
     chosen = stored(members.select("content", "rep").distinct(), "near-chosen")
     few = chosen.count() <= MAX_BROADCAST_NODES
     wanted = chosen.select(F.col("content").alias("c"), F.col("rep").alias("r"))
@@ -263,49 +323,70 @@ def links(signed: DataFrame, nodes: DataFrame, idf, threshold: float) -> DataFra
     # Roots are known for some of the chosen nodes, and no others.
     sent = F.broadcast if few else lambda df: df
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """The rows in buckets that hold several components, with their root."""
-        labelled = rows.join(sent(roots.withColumnRenamed("node", "content")), "content", "left").withColumn(
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(sent(roots.withColumnRenamed("node", "content")), "content", "left").withColumn(
             "root", F.coalesce("root", "content")
         )
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows in buckets that hold several components, with their root."""
+        labelled = rooted(rows)
         several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
         return labelled.join(several.select("key"), "key")
 
-    # The first pivot has met all of its bucket. What the others could share bounds their
-    # similarity, and the nodes that share most of their weight are the next pivots.
-    rest = stored(mixed(members.where("content != pivot").select("key", "content", "n")).drop("root"), "near-rest")
-    largest = rest.agg(F.max("n")).first()[0] or 0
-    if not largest:
+    def joined_by(pairs: DataFrame) -> DataFrame:
+        """The roots after the similar ones of the pairs are connected, too."""
+        found = stored(verified(pairs, sets, idf, threshold), "near-edges")
+        if found.isEmpty():
+            return roots
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+
+    # The first pivot has met all of its bucket.
+    rest = stored(mixed(members.where("content != pivot").select("key", "content")), "near-rest")
+    if rest.isEmpty():
         return roots
-    by_share = Window.partitionBy("key").orderBy(F.col("share").desc(), "content")
-    rest = stored(
-        rest.join(shared_mass(rest, sets, idf), "content")
-        .where(F.col("shared") >= threshold * F.col("mass") - SLACK)
-        .withColumn("share", F.col("shared") / F.col("mass"))
-        .withColumn("place", F.row_number().over(by_share))
-        .drop("share", "n"),
-        "near-rest",
+    told = stored(differences(rest, stored(with_alone(rest, sets), "near-alone"), idf, threshold), "near-differences")
+    nearest = stored(
+        told.groupBy("key").agg(F.min(F.struct("gap", "content")).alias("least")).select(
+            "key", F.col("least.gap").alias("least"), F.col("least.content").alias("nearest")
+        ),
+        "near-nearest",
     )
-    tried, width = 0, 1
-    while tried < largest:
-        active = stored(mixed(rest), "near-active")
-        if active.isEmpty():
-            break
-        pivots = active.where(F.col("place").between(tried + 1, tried + width)).select(
-            "key", F.col("content").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("place", "root", "mass", "shared")]
-        )
-        possible = F.least("shared", "b_shared") * (1 + threshold) >= threshold * (F.col("mass") + F.col("b_mass")) - SLACK
-        more = (
-            active.join(pivots, "key")
-            .where((F.col("place") > F.col("b_place")) & (F.col("root") != F.col("b_root")) & possible)
-            .select(F.col("content").alias("a"), "b")
+    close = mixed(told.select("key", "content", "gap")).join(nearest, "key")
+    own_root = close.where("content = nearest").select("key", F.col("root").alias("b_root"))
+    close = close.where(F.col("gap") + F.col("least") <= SLACK).join(own_root, "key").where("root != b_root")
+    roots = joined_by(close.select(F.col("content").alias("a"), F.col("nearest").alias("b")).distinct())
+
+    # What is left are pairs of a text that is not close enough for the nearest (``far``) with
+    # one whose gap is less or equal. They need (gap + b_gap) / 2 of their differences in common.
+    rows = stored(mixed(told).drop("root").join(nearest, "key"), "near-rest")
+
+    def elements(rows: DataFrame, need) -> DataFrame:
+        """The first elements of each difference, while at least ``need`` is ahead."""
+        kept = F.filter(F.arrays_zip("element", "ahead"), lambda e: e["ahead"] >= need)
+        return rows.select("key", "content", "gap", F.explode(kept).alias("e")).select("key", "content", "gap", "e.element", "e.ahead")
+
+    gap, least = F.col("gap"), F.col("least")
+    far = stored(elements(rows.where(gap + least > -SLACK), (gap + least) / 2 - SLACK), "near-far")
+    near = elements(rows, (gap + F.greatest(gap, -least)) / 2 - SLACK)
+    near = stored(near.join(far.select("key", "element").distinct(), ["key", "element"], "left_semi"), "near-near")
+
+    def possible(near: DataFrame) -> DataFrame:
+        """Pairs of ``far`` and ``near`` texts of other components that may be similar."""
+        partner = rooted(near).select("key", "element", *[F.col(c).alias(f"b_{c}") for c in ("content", "gap", "ahead", "root")])
+        before = (F.col("b_gap") < F.col("gap")) | ((F.col("b_gap") == F.col("gap")) & (F.col("b_content") < F.col("content")))
+        enough = F.least("ahead", "b_ahead") >= (F.col("gap") + F.col("b_gap")) / 2 - SLACK
+        return (
+            rooted(far)
+            .join(partner, ["key", "element"])
+            .where((F.col("root") != F.col("b_root")) & before & enough)
+            .select(F.col("content").alias("a"), F.col("b_content").alias("b"))
             .distinct()
         )
-        found = stored(verified(more, sets, idf, threshold), "near-edges")
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-        tried, width = tried + width, width * PIVOT_GROWTH
-    return roots
+
+    first = near.groupBy("key", "element").agg(F.min(F.struct("gap", "content", "ahead")).alias("f"))
+    roots = joined_by(possible(first.select("key", "element", "f.*")))
+    return joined_by(possible(near))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -92,3 +92,55 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def counted(monkeypatch):
+    """The numbers of pairs that are compared, a list that grows with the calls."""
+    numbers, verified = [], nd.verified
+
+    def count(pairs, *args):
+        numbers.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(nd, "verified", count)
+    return numbers
+
+
+def edited(rng, base, edits, own=lambda rng: rng.choice(WORDS)):
+    words = list(base)
+    for place in rng.sample(range(len(base)), edits):
+        words[place] = own(rng)
+    return words
+
+
+def test_near_copies_that_are_not_alike_need_few_comparisons(docs_of, monkeypatch):
+    """Copies of one text, most of them below the threshold of each other, share all buckets."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, 3 - (i % 8 == 0)))) for i in range(160)]
+    numbers = counted(monkeypatch)
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs_of(rows), bands=24, rows=1).collect()}
+    assert got == brute_force(rows)
+    assert 1 < len(set(got.values())) < 160
+    assert sum(numbers[1:]) < 5 * len(rows)  # the first are those with the first pivots
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_buckets_of_several_families_lose_no_link(docs_of, seed):
+    """Families off one text, texts with repeated words and of other lengths; half of a family have edits in one place."""
+    rng = random.Random(seed)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    few = [rng.choice(WORDS[:12]) for _ in range(120)]
+    texts = []
+    for family in range(4):
+        start = edited(rng, base if family else few, 5, lambda r: r.choice(WORDS[:30]))
+        for copy in range(22):
+            words = edited(rng, start, copy % 5, lambda r: r.choice(WORDS[: 3 if copy % 2 else 4000]))
+            if copy % 3 == 0:
+                words[60:62] = [rng.choice(WORDS) for _ in range(2)]
+            texts.append(words[: rng.choice([120, 120, 112])] + words[: rng.choice([0, 0, 9])])
+    rng.shuffle(texts)
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs_of(rows), bands=24, rows=1).collect()}
+    assert got == brute_force(rows)
+    assert 4 < len(set(got.values())) < 80
