@@ -61,3 +61,20 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, docs_of, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted(
         (r.doc_id or 0, r.text) for r in docs.collect() if item not in r.text
     )
+
+
+def test_near_copies_that_are_not_alike_need_few_comparisons(spark, docs_of, monkeypatch):
+    """Of copies of one text, most below the threshold of each other, the stage compares a few with each."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(4000)]
+    base, texts = [rng.choice(words) for _ in range(150)], []
+    for i in range(240):
+        copy = list(base)
+        for place in rng.sample(range(150), 3 - (i % 8 == 0)):
+            copy[place] = rng.choice(words)
+        texts.append(" ".join(copy))
+    numbers, verified = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *args: (numbers.append(pairs.count()), verified(pairs, *args))[1])
+    kept = cp.drop_near_duplicates(spark, docs_of(list(enumerate(texts))), SF).count()
+    assert 1 < kept < 240
+    assert sum(numbers[1:]) < 5 * 240, numbers  # the first are those with the first pivots
