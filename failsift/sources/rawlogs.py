@@ -1,12 +1,14 @@
 """Raw log files as a data source that opens the chosen files only.
 
 ``<id>.log`` and ``<id>/raw`` below a folder are logs. The source lists paths and sizes, takes
-filters on ``job_id`` before it plans, and cuts what is left into partitions of similar size, so
-neither an unchosen file nor its size costs a task anything. Sets of ids too long for a filter
-come as a table that the planning reads (``ids``).
+filters on ``job_id`` before it plans, and cuts what is left into ranges, so neither an unchosen
+file nor its size costs a task anything. Sets of ids too long for a filter come as a table that
+the planning reads (``ids``).
 
-A file longer than a partition comes as several rows, each a range of its bytes. Ranges end at
-line ends; a line of more than ``LOOK`` bytes at a cut is cut between two characters.
+A file longer than ``partition_bytes`` comes as several rows, each a range of its bytes. Ranges
+end at line ends; a line of more than ``LOOK`` bytes at a cut is cut between two characters. A
+task reads many ranges and files, however short they are; the number of tasks follows the bytes
+and files in all, and ``cores``.
 
 Columns: ``job_id`` (null where the path names no job), ``path``, ``start`` (first byte), ``size``
 (bytes of the row) and ``trace``, null where the bytes are not valid UTF-8.
@@ -22,6 +24,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.dataset as ds
@@ -47,10 +51,14 @@ from failsift.session import settle, work_dir
 
 NAME = "ci_logs"
 SCHEMA = "job_id BIGINT, path STRING, start BIGINT, size BIGINT, trace STRING"
-# Bytes of a partition, what opening a file counts for, and how far a line end is looked for.
+# Bytes of a range, and how far a line end is looked for.
 PARTITION_BYTES = 64 << 20
-OPEN_BYTES = 1 << 20
 LOOK = 1 << 16
+# Bytes of a task, what opening a file counts for, and the tasks of a core where that makes them
+# smaller. A task costs some 50 ms besides what it reads, so it takes many ranges and files.
+TASK_BYTES = 64 << 20
+OPEN_BYTES = 1 << 16
+TASKS_PER_CORE = 4
 # Bytes of log text in one batch of rows.
 BATCH_BYTES = 8 << 20
 # Ids in a filter, and in a table of ids.
@@ -130,6 +138,7 @@ class LogReader(DataSourceReader):
         self.path = options["path"]
         self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
         self.look = min(LOOK, self.bytes // 4)
+        self.cores = int(options.get("cores", 0))
         self.chosen = Chosen()
         self.table = options.get("ids")
 
@@ -143,13 +152,19 @@ class LogReader(DataSourceReader):
             system, path = file_system(self.table)
             rows = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["job_id"])
             self.chosen.among(set(rows.column("job_id").to_pylist()))
-        return list(planned(self.files(), self.bytes)) or [Range([])]
+        files = self.files()
+        task = self.bytes
+        if self.cores:
+            share = sum(size + OPEN_BYTES for _, _, size in files) // (self.cores * TASKS_PER_CORE)
+            task = min(share, max(TASK_BYTES, self.bytes))
+        return list(planned(files, self.bytes, task)) or [Range([])]
 
     def files(self) -> list[tuple[int | None, str, int]]:
         """(job id, path, size) of the chosen files, in the order of their paths."""
         system, root = file_system(self.path)
-        found = []
-        for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
+        found, infos = [], system.get_file_info(fs.FileSelector(root, recursive=True))
+        while infos:  # each gives way to a record that takes less
+            info = infos.pop()
             name = info.path.rsplit("/", 1)[-1]
             if info.type != fs.FileType.File or name[0] in "._":
                 continue
@@ -162,29 +177,30 @@ class LogReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
         rows, held = [], 0
-        for job_id, path, start, end, size in partition.pieces:
+        for path, pieces in groupby(partition.pieces, key=itemgetter(1)):
             with system.open_input_file(path) as file:
-                first, last = cut(file, start, size, self.look), cut(file, end, size, self.look)
-                if first >= last and size:  # the range before holds these bytes
-                    continue
-                data = file.read_at(last - first, first) if last > first else b""
-            rows.append((job_id, path, first, len(data), decoded(data)))
-            held += len(data)
-            if held >= BATCH_BYTES:
-                yield batch_of(rows)
-                rows, held = [], 0
+                for job_id, _, start, end, size in pieces:
+                    first, last = cut(file, start, size, self.look), cut(file, end, size, self.look)
+                    if first >= last and size:  # the range before holds these bytes
+                        continue
+                    data = file.read_at(last - first, first) if last > first else b""
+                    rows.append((job_id, path, first, len(data), decoded(data)))
+                    held += len(data)
+                    if held >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
         if rows:
             yield batch_of(rows)
 
 
-def planned(files: Sequence[tuple[int | None, str, int]], target: int) -> Iterator[Range]:
-    """Partitions of about ``target`` bytes; longer files are cut."""
+def planned(files: Sequence[tuple[int | None, str, int]], longest: int, task: int) -> Iterator[Range]:
+    """Partitions of about ``task`` bytes; files of more than ``longest`` are cut."""
     pieces, held = [], 0
     for job_id, path, size in files:
-        for start in range(0, max(size, 1), target):
-            end = min(size, start + target)
-            cost = end - start + min(OPEN_BYTES, target // 16)
-            if pieces and held + cost > target:
+        for start in range(0, max(size, 1), longest):
+            end = min(size, start + longest)
+            cost = end - start + (OPEN_BYTES if start == 0 else 0)
+            if pieces and held + cost > task:
                 yield Range(pieces)
                 pieces, held = [], 0
             pieces.append((job_id, path, start, end, size))
@@ -236,6 +252,7 @@ def raw_logs(spark: SparkSession, folder: str, partition_bytes: int = PARTITION_
     spark.dataSource.register(LogSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format(NAME).option("path", folder).option("partitionBytes", partition_bytes)
+    reader = reader.option("cores", spark.sparkContext.defaultParallelism)
     return (reader.option("ids", ids) if ids else reader).load()
 
 

@@ -98,6 +98,22 @@ def test_long_files_are_cut_at_lines_or_between_characters(folder, size):
     assert sum(r["size"] for r in rows if r["job_id"] == 52) == 100 and all(r["trace"] is None for r in rows if r["job_id"] == 52)
 
 
+def test_a_task_reads_many_short_ranges_and_files(spark, tmp_path):
+    chance = random.Random(11)
+    folder = put(tmp_path, {f"{i % 7}/{i}.log": b"some line\n" * chance.choice([0, 3, 30, 400]) for i in range(600)} | {"9/900.log": b"\xff" * 3000})
+    columns = ["job_id", "path", "start", "size", "trace"]
+    one = LogReader({"path": folder, "partitionbytes": "256"})
+    want = [row for r in one.partitions() for b in one.read(r) for row in zip(*[b.column(c).to_pylist() for c in columns])]
+    assert len(want) > 3000
+    parts = raw_logs(spark, folder, partition_bytes=256)
+    assert parts.rdd.getNumPartitions() <= 2 * rawlogs.TASKS_PER_CORE * spark.sparkContext.defaultParallelism + 1
+    assert sorted(map(tuple, parts.select(columns).collect()), key=str) == sorted(want, key=str)
+    # beyond that, a task has TASK_BYTES, also of one long file
+    tasks = list(rawlogs.planned([(1, "1.log", 1 << 28), *[(i, f"{i}.log", 100) for i in range(2, 2002)]], 16_384, rawlogs.TASK_BYTES))
+    assert len(tasks) == 6 and max(sum(p[3] - p[2] for p in r.pieces) for r in tasks) <= rawlogs.TASK_BYTES
+    assert all(p[3] - p[2] <= 16_384 for r in tasks for p in r.pieces) and sum(p[3] - p[2] for r in tasks for p in r.pieces) == (1 << 28) + 200_000
+
+
 def test_grep_over_ranges_equals_grep_over_logs(spark, tmp_path):
     chance = random.Random(6)
     line = lambda: chance.choice(["ok", "failed: é", "", "error\r", "fine"]) * chance.randrange(1, 4)
