@@ -162,9 +162,8 @@ class LogReader(DataSourceReader):
     def files(self) -> list[tuple[int | None, str, int]]:
         """(job id, path, size) of the chosen files, in the order of their paths."""
         system, root = file_system(self.path)
-        found, infos = [], system.get_file_info(fs.FileSelector(root, recursive=True))
-        while infos:  # each gives way to a record that takes less
-            info = infos.pop()
+        found = []
+        for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
             name = info.path.rsplit("/", 1)[-1]
             if info.type != fs.FileType.File or name[0] in "._":
                 continue
